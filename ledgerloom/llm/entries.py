@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
+from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -29,6 +34,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
     }
 

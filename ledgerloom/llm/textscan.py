@@ -144,7 +144,7 @@ def inside_texts(first: np.ndarray, k: int, n: int) -> np.ndarray:
 def whole(h: np.ndarray) -> np.uint64:
     """Hash of one whole word sequence, its length included."""
     q = _powers(_Q, len(h))
-    return mix(np.array([np.sum(h * q, dtype=np.uint64) + _U(len(h)) * _R], np.uint64))[0]
+    return mix(np.sum(h * q, dtype=np.uint64, keepdims=True) + np.full(1, len(h), np.uint64) * _R)[0]
 
 
 def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
