@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
 from ledgerloom.llm.ngram_join import near_duplicate_classes
+from ledgerloom.llm.token_store import new_store_path, read_documents, write_token_store
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +33,17 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_store_path(spark)
+    write_token_store(table(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op9_token_id_output": op9_token_id_output,
     }
 
 
