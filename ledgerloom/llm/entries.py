@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
+from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import near_duplicate_classes
+from ledgerloom.llm.quality_rules import judge
+from ledgerloom.llm.substring_dedup import remove_copied_substrings
 from ledgerloom.llm.token_store import new_store_path, read_documents, write_token_store
 from ledgerloom.session import table
 
@@ -33,21 +36,47 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.col("mix_copies").cast("long").alias("n_copies"),
+        F.col("mix_copy").cast("long").alias("copy"),
+        F.round("mix_rate", 6).alias("rate"),
+        F.col("mix_key").alias("order_key"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_store_path(spark)
     write_token_store(table(spark, sf_dir, "documents"), path)
     return read_documents(spark, path)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_copied_substrings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_source_mixing": op4_source_mixing,
+        "op6_quality_rules": op6_quality_rules,
         "op9_token_id_output": op9_token_id_output,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": sql.OP2,
         "op3_benchmark_decontamination": sql.OP3,
+        "op4_source_mixing": sql.OP4,
+        "op10_substring_dedup": sql.OP10,
     }

@@ -19,3 +19,45 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS k
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id
+           WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+     r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+OP4 = """
+WITH sizes AS (SELECT coalesce(source, '') AS source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY 1),
+     rates AS (SELECT source, CASE WHEN chars > 0
+                      THEN sqrt(chars) / sum(sqrt(chars)) OVER () * sum(chars) OVER () / chars ELSE 0 END AS rate FROM sizes),
+     parts AS (SELECT source, rate, greatest(ceil(rate / 32), 1)::BIGINT AS parts FROM rates),
+     cdf AS (SELECT source, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+             FROM parts, range(0, 113) t(k) WHERE rate > 0),
+     drawn AS (SELECT d.doc_id, p.source, p.rate, part,
+                      (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || part::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296 AS u
+               FROM documents d JOIN parts p ON coalesce(d.source, '') = p.source, unnest(range(1, p.parts + 1)) t(part)),
+     counted AS (SELECT doc_id, source, rate, count(*) FILTER (WHERE c.c < u)::BIGINT AS n_copies
+                 FROM drawn JOIN cdf c USING (source) GROUP BY 1, 2, 3)
+SELECT doc_id, source, n_copies, copy, round(rate, 6) AS rate,
+       md5('1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS order_key
+FROM counted, unnest(range(0, n_copies)) t(copy)
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+     f AS (SELECT k, min(doc_id) AS m FROM x GROUP BY 1),
+     c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM x JOIN f USING (k) WHERE f.m < x.doc_id),
+     g AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM g ANTI JOIN c USING (doc_id, j) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
