@@ -14,6 +14,7 @@ from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.llm.quality_rules import judge
 from ledgerloom.llm.substring_dedup import remove_copied_substrings
 from ledgerloom.llm.token_store import new_store_path, read_documents, write_token_store
+from ledgerloom.llm.toxicity import detect
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_store_path(spark)
     write_token_store(table(spark, sf_dir, "documents"), path)
@@ -68,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_source_mixing": op4_source_mixing,
         "op6_quality_rules": op6_quality_rules,
+        "op7_toxicity": op7_toxicity,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
     }
