@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
+from ledgerloom.llm.html_text import extract_main_text
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.llm.quality_rules import judge
@@ -49,6 +50,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_source_mixing": op4_source_mixing,
+        "op5_html_extraction": op5_html_extraction,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,
         "op9_token_id_output": op9_token_id_output,
