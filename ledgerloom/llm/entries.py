@@ -13,6 +13,7 @@ from ledgerloom.llm.html_text import extract_main_text
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.llm.quality_rules import judge
+from ledgerloom.llm.recurrent_lm import score_documents
 from ledgerloom.llm.substring_dedup import remove_copied_substrings
 from ledgerloom.llm.token_store import new_store_path, read_documents, write_token_store
 from ledgerloom.llm.toxicity import detect
@@ -62,6 +63,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_store_path(spark)
     write_token_store(table(spark, sf_dir, "documents"), path)
@@ -80,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op5_html_extraction": op5_html_extraction,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
     }
