@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
 from ledgerloom.llm.html_text import extract_main_text
+from ledgerloom.llm.line_dedup import dedup_lines
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.llm.quality_rules import judge
@@ -22,6 +24,12 @@ from ledgerloom.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.array_join("kept_lines", ",").cast("binary")).alias("kept_md5")
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -79,6 +87,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_source_mixing": op4_source_mixing,
@@ -88,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
