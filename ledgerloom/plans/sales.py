@@ -1,33 +1,256 @@
-"""Sales queries."""
+"""Sales, accounting and CRM queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.domain import SKIP, ilike, name_search, read_group, search_read
+from ledgerloom.plans import model
+from ledgerloom.plans.model import AS_OF, oracle
 from ledgerloom.plans.registry import register
-from ledgerloom.session import table
+
+
+def period_start(unit: str | None, as_of: str = AS_OF):
+    """First instant of the month, quarter or year of as_of; no unit, no bound."""
+    if unit not in ("month", "quarter", "year"):
+        return None
+    return F.date_trunc(unit, F.lit(as_of).cast("timestamp_ntz")).cast("timestamp_ntz")
+
+
+def day_range(field: str, since: str | None = None, until: str | None = None) -> list:
+    """Both days included: up to the instant before the day after."""
+    low = F.lit(since).cast("timestamp_ntz") if since else SKIP
+    high = F.lit(until).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY") if until else SKIP
+    return [(field, ">=", low), (field, "<", high)]
 
 
 @register(
     "sales_summary",
-    """
-    SELECT c.c_custkey AS partner_id, c.c_name AS partner,
-           SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS amount_total,
-           SUM(SUM(CAST(o.o_totalprice AS DECIMAL(18,2)))) OVER () AS grand_total
-    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-    WHERE o.o_orderstatus IN ('O', 'F') AND o.o_orderdate >= TIMESTAMP '2000-01-01'
-    GROUP BY 1, 2
-    """,
-)
-def sales_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed revenue per customer this period; the total is over all groups, with no cap."""
-    orders = table(spark, sf_dir, "orders").where(
-        F.col("o_orderstatus").isin("O", "F") & (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    )
-    sums = orders.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount_total"))
+    oracle(
+        """SELECT o.partner_id, p.name AS partner, SUM(o.amount_total) AS amount_total, SUM(SUM(o.amount_total)) OVER () AS grand_total
+        FROM sale_order o LEFT JOIN partner p ON p.id = o.partner_id
+        WHERE state IN ('sale', 'done') AND date_order >= TIMESTAMP '2001-01-01' GROUP BY 1, 2""",
+        "sale_order", "partner",
+    ),
+)
+def sales_summary(spark: SparkSession, d: str, unit: str | None = "year", as_of: str = AS_OF) -> DataFrame:
+    """Confirmed revenue per customer this period, and over all of them; every group counts."""
+    start = period_start(unit, as_of)
+    domain = [("state", "in", ["sale", "done"]), ("date_order", ">=", SKIP if start is None else start)]
+    sums = read_group(spark, d, "sale_order", domain, {"amount_total": "amount_total"}, ["partner_id"]).drop("n")
     total = sums.agg(F.sum("amount_total").alias("grand_total"))
-    named = sums.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return named.select(F.col("c_custkey").alias("partner_id"), F.col("c_name").alias("partner"), "amount_total").join(
-        F.broadcast(total)
+    names = model.partner(spark, d).select(F.col("id").alias("partner_id"), F.col("name").alias("partner"))
+    return sums.join(names, "partner_id", "left").join(F.broadcast(total)).select("partner_id", "partner", "amount_total", "grand_total")
+
+
+@register(
+    "list_sale_orders",
+    oracle(
+        """SELECT o.id, o.name, p.name AS partner_id_name, date_order, state, amount_total FROM sale_order o LEFT JOIN partner p ON p.id = o.partner_id
+        WHERE state = 'sale' AND contains(lower(p.name), '01') AND date_order >= TIMESTAMP '1999-03-01' AND date_order < TIMESTAMP '2000-03-02'""",
+        "sale_order", "partner",
+    ),
+)
+def list_sale_orders(spark: SparkSession, d: str, state="sale", partner="01", since="1999-03-01", until="2000-03-01", limit: int | None = None) -> DataFrame:
+    domain = [("state", "=", state), ("partner_id.name", "ilike", partner), *day_range("date_order", since, until)]
+    return search_read(spark, d, "sale_order", domain, ["id", "name", "partner_id.name", "date_order", "state", "amount_total"], "date_order desc, id", limit)
+
+
+@register(
+    "sale_order_detail",
+    oracle(
+        """SELECT o.name, o.state, o.amount_total, l.product_id, l.qty, l.price_subtotal, (l.price_subtotal / l.qty)::DECIMAL(18,4) AS price_unit,
+        CASE COUNT(*) OVER (PARTITION BY o.name) WHEN 0 THEN 'missing' ELSE 'ok' END AS status
+        FROM sale_order o JOIN sale_order_line l ON l.order_id = o.id WHERE o.name IN ('S00007', 'S00042', 'S00100')""",
+        "sale_order", "sale_order_line",
+    ),
+)
+def sale_order_detail(spark: SparkSession, d: str, refs=("S00007", "S00042", "S00100")) -> DataFrame:
+    """Lines of the orders with these references; a reference that several orders bear is marked, not guessed."""
+    heads = model.sale_order(spark, d).where(F.col("name").isin(list(refs)))
+    status = heads.groupBy("name").agg(F.when(F.count("*") > 1, "duplicate").otherwise("ok").alias("status"))
+    lines = model.sale_order_line(spark, d)
+    return heads.join(status, "name").join(lines, heads["id"] == lines["order_id"]).select(
+        "name", "state", "amount_total", "product_id", "qty", "price_subtotal", (F.col("price_subtotal").cast("double") / F.col("qty").cast("double")).cast("decimal(18,4)").alias("price_unit"), "status"
     )
+
+
+@register("product_price", oracle("SELECT id, name, coalesce(list_price, 0)::DECIMAL(18,2) AS price FROM product WHERE contains(lower(name), 'part#1')", "product"))
+def product_price(spark: SparkSession, d: str, text: str = "part#1") -> DataFrame:
+    """List price only; no price counts as 0."""
+    p = model.product(spark, d).where(ilike(F.col("name"), text))
+    return p.select("id", "name", F.coalesce("list_price", F.lit(0)).cast("decimal(18,2)").alias("price"))
+
+
+def _top_products(spark: SparkSession, d: str, metric: str, limit: int = 10) -> DataFrame:
+    sums = read_group(spark, d, "sale_order_line", [("order_id.state", "in", ["sale", "done"])], {"qty": "qty", "revenue": "price_subtotal"}, ["product_id"])
+    return sums.drop("n").orderBy(F.desc(metric), "product_id").limit(limit)
+
+
+_TOP = "SELECT product_id, SUM(qty) AS qty, SUM(price_subtotal) AS revenue FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE o.state IN ('sale', 'done') GROUP BY 1 ORDER BY {} DESC, product_id LIMIT 10"
+
+
+@register("top_products_qty", oracle(_TOP.format("qty"), "sale_order_line", "sale_order"))
+def top_products_qty(spark: SparkSession, d: str) -> DataFrame:
+    return _top_products(spark, d, "qty")
+
+
+@register("top_products_revenue", oracle(_TOP.format("revenue"), "sale_order_line", "sale_order"))
+def top_products_revenue(spark: SparkSession, d: str) -> DataFrame:
+    return _top_products(spark, d, "revenue")
+
+
+@register(
+    "customer_detail",
+    oracle(
+        """SELECT p.id, p.name, p.balance, COUNT(o.id) AS n_orders, COUNT(o.id) >= 100 AS capped FROM partner p LEFT JOIN sale_order o ON o.partner_id = p.id GROUP BY 1, 2, 3""",
+        "partner", "sale_order",
+    ),
+)
+def customer_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Profile and exact order count; capped says where a count cut at 100 would have been."""
+    counts = model.sale_order(spark, d).groupBy("partner_id").agg(F.count("*").alias("c"))
+    p = model.partner(spark, d).join(counts, F.col("id") == F.col("partner_id"), "left")
+    n = F.coalesce("c", F.lit(0))
+    return p.select("id", "name", "balance", n.alias("n_orders"), (n >= 100).alias("capped"))
+
+
+@register(
+    "list_invoices",
+    oracle(
+        "SELECT i.id, i.name, p.name AS partner_id_name, invoice_date, amount_total, payment_state FROM invoice i LEFT JOIN partner p ON p.id = i.partner_id WHERE move_type = 'out_invoice' AND state = 'posted' AND payment_state = 'partial' AND contains(lower(p.name), '07')",
+        "invoice", "partner",
+    ),
+)
+def list_invoices(spark: SparkSession, d: str) -> DataFrame:
+    domain = [("move_type", "=", "out_invoice"), ("state", "=", "posted"), ("payment_state", "=", "partial"), ("partner_id.name", "ilike", "07")]
+    return search_read(spark, d, "invoice", domain, ["id", "name", "partner_id.name", "invoice_date", "amount_total", "payment_state"], "invoice_date desc, id")
+
+
+@register(
+    "overdue_invoices",
+    oracle(
+        f"SELECT id, name, partner_id, invoice_date_due, amount_residual, date_diff('day', invoice_date_due, TIMESTAMP '{AS_OF}')::INT AS days_late FROM invoice WHERE move_type = 'out_invoice' AND state = 'posted' AND payment_state IN ('not_paid', 'partial') AND invoice_date_due < TIMESTAMP '{AS_OF}'",
+        "invoice",
+    ),
+)
+def overdue_invoices(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+    """Posted and unpaid, due strictly before as_of."""
+    today = F.lit(as_of).cast("timestamp_ntz")
+    domain = [("move_type", "=", "out_invoice"), ("state", "=", "posted"), ("payment_state", "in", ["not_paid", "partial"]), ("invoice_date_due", "<", today)]
+    due = search_read(spark, d, "invoice", domain, ["id", "name", "partner_id", "invoice_date_due", "amount_residual"], "invoice_date_due, id")
+    return due.withColumn("days_late", F.date_diff(F.lit(as_of).cast("date"), F.col("invoice_date_due").cast("date")))
+
+
+@register(
+    "partner_balance",
+    oracle(
+        """SELECT partner_id, SUM(CASE WHEN move_type IN ('out_invoice', 'out_refund') THEN amount_residual ELSE 0 END)::DECIMAL(28,2) AS receivable,
+        SUM(CASE WHEN move_type = 'in_invoice' THEN amount_residual ELSE 0 END)::DECIMAL(28,2) AS payable FROM invoice WHERE state = 'posted' GROUP BY 1""",
+        "invoice",
+    ),
+)
+def partner_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What a partner owes and is owed, side by side and never netted."""
+    i = model.invoice(spark, d).where("state = 'posted'")
+    pick = lambda kinds: F.sum(F.when(F.col("move_type").isin(kinds), F.col("amount_residual")).otherwise(F.lit(0))).cast("decimal(28,2)")
+    return i.groupBy("partner_id").agg(pick(["out_invoice", "out_refund"]).alias("receivable"), pick(["in_invoice"]).alias("payable"))
+
+
+@register(
+    "posted_invoice_lookup",
+    oracle(
+        """SELECT w.name, CASE WHEN COUNT(i.id) = 0 THEN 'missing' WHEN COUNT(i.id) > 1 THEN 'duplicate' WHEN max(i.state) <> 'posted' THEN 'not_posted' ELSE 'ok' END AS status
+        FROM (SELECT name FROM invoice UNION SELECT name || 'X' FROM invoice WHERE id % 10 = 3) w LEFT JOIN invoice i ON i.name = w.name GROUP BY 1""",
+        "invoice",
+    ),
+)
+def posted_invoice_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Exact numbers asked for, each told apart: missing, duplicate, not posted, ok."""
+    i = model.invoice(spark, d)
+    asked = i.select("name").union(i.where("id % 10 = 3").select(F.concat("name", F.lit("X")))).distinct()
+    found = i.groupBy("name").agg(F.count("*").alias("n"), F.max("state").alias("s"))
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(n == 0, "missing").when(n > 1, "duplicate").when(F.col("s") != "posted", "not_posted").otherwise("ok")
+    return asked.join(found, "name", "left").select("name", status.alias("status"))
+
+
+@register(
+    "invoice_detail",
+    oracle(
+        "SELECT i.name, l.product_id, l.qty, l.price_subtotal FROM invoice i JOIN (SELECT *, 'product' AS display_type FROM sale_order_line UNION ALL SELECT o_orderkey, -1, 0, 0, 'payment_term' FROM orders) l ON l.order_id = i.id WHERE display_type = 'product' AND i.move_type = 'out_invoice'",
+        "invoice", "sale_order_line",
+    ),
+)
+def invoice_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Product lines of invoices; payment-term lines don't count."""
+    terms = model.invoice(spark, d).select(F.col("id").alias("order_id"), F.lit(-1).alias("product_id"), F.lit(0).alias("qty"), F.lit(0).alias("price_subtotal"), F.lit("payment_term").alias("display_type"))
+    lines = model.sale_order_line(spark, d).withColumn("display_type", F.lit("product")).unionByName(terms).where("display_type = 'product'")
+    i = model.invoice(spark, d).where("move_type = 'out_invoice'")
+    return i.join(lines, i["id"] == lines["order_id"]).select("name", "product_id", F.col("qty").cast("decimal(18,2)").alias("qty"), F.col("price_subtotal").cast("decimal(18,4)").alias("price_subtotal"))
+
+
+@register("draft_invoices", oracle("SELECT id, name, partner_id, amount_total FROM invoice WHERE state = 'draft' AND move_type IN ('out_invoice', 'in_invoice', 'out_refund', 'in_refund') ORDER BY id DESC LIMIT 10", "invoice"))
+def draft_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """The ten newest drafts."""
+    domain = [("state", "=", "draft"), ("move_type", "in", ["out_invoice", "in_invoice", "out_refund", "in_refund"])]
+    return search_read(spark, d, "invoice", domain, ["id", "name", "partner_id", "amount_total"], "id desc", 10)
+
+
+@register("open_invoices", oracle("SELECT id, name, amount_total, amount_residual FROM invoice WHERE state = 'posted' AND payment_state IN ('not_paid', 'partial') AND amount_residual BETWEEN 1000 AND 90000", "invoice"))
+def open_invoices(spark: SparkSession, d: str, low: int = 1000, high: int = 90000) -> DataFrame:
+    """Amounts are matched against what is still open, not against the total."""
+    domain = [("state", "=", "posted"), ("payment_state", "in", ["not_paid", "partial"]), ("amount_residual", ">=", low), ("amount_residual", "<=", high)]
+    return search_read(spark, d, "invoice", domain, ["id", "name", "amount_total", "amount_residual"])
+
+
+@register("lead_duplicates", oracle("SELECT a.id AS lead_id, b.id AS other_id, a.email_from = b.email_from AS same_email, a.phone = b.phone AS same_phone FROM lead a JOIN lead b ON a.id <> b.id AND (a.email_from = b.email_from OR a.phone = b.phone)", "lead"))
+def lead_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Leads that share an e-mail address or a phone number: two equi-joins, not one join by OR."""
+    a, b = model.lead(spark, d).select(F.col("id").alias("lead_id"), "email_from", "phone"), model.lead(spark, d).select(F.col("id").alias("other_id"), F.col("email_from").alias("e"), F.col("phone").alias("p"))
+    by_mail = a.join(b, (a["email_from"] == b["e"]) & (F.col("lead_id") != F.col("other_id")))
+    by_phone = a.join(b, (a["phone"] == b["p"]) & (F.col("lead_id") != F.col("other_id")))
+    cols = ["lead_id", "other_id", (F.col("email_from") == F.col("e")).alias("same_email"), (F.col("phone") == F.col("p")).alias("same_phone")]
+    return by_mail.select(*cols).union(by_phone.select(*cols)).distinct()
+
+
+@register("list_crm_leads", oracle("SELECT id, name, stage FROM lead WHERE type = 'opportunity' AND contains(lower(stage), 'prop')", "lead"))
+def list_crm_leads(spark: SparkSession, d: str) -> DataFrame:
+    return search_read(spark, d, "lead", [("type", "=", "opportunity"), ("stage", "ilike", "PROP")], ["id", "name", "stage"], "id desc")
+
+
+@register("find_customer", oracle("SELECT id, name FROM partner WHERE contains(lower(name), '0001') ORDER BY id LIMIT 5", "partner"))
+def find_customer(spark: SparkSession, d: str) -> DataFrame:
+    return name_search(spark, d, "partner", "0001")
+
+
+@register("find_supplier", oracle("SELECT id, name FROM vendor WHERE contains(lower(name), '2') ORDER BY id LIMIT 5", "vendor"))
+def find_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return name_search(spark, d, "vendor", "2")
+
+
+@register("find_lead", oracle("SELECT id, name FROM lead WHERE contains(lower(name), '77') ORDER BY id LIMIT 5", "lead"))
+def find_lead(spark: SparkSession, d: str) -> DataFrame:
+    return name_search(spark, d, "lead", "77")
+
+
+@register("find_product", oracle("SELECT id, name FROM product WHERE contains(lower(name), '12') ORDER BY id LIMIT 5", "product"))
+def find_product(spark: SparkSession, d: str) -> DataFrame:
+    return name_search(spark, d, "product", "12")
+
+
+@register(
+    "discount_quote",
+    oracle(
+        """SELECT o.id, o.partner_id % 3 AS tier, pct, (o.amount_total * (1 - pct))::DECIMAL(24,4) AS net FROM (
+        SELECT *, least([0.00, 0.05, 0.10][partner_id % 3 + 1] + CASE WHEN amount_total >= 150000 THEN 0.02 ELSE 0 END, 0.15)::DECIMAL(4,2) AS pct FROM sale_order) o""",
+        "sale_order",
+    ),
+)
+def discount_quote(spark: SparkSession, d: str, threshold: int = 150_000) -> DataFrame:
+    """Tier discount (0, 5 or 10 %), 2 % more from the threshold on, 15 % at most."""
+    pct = F.get(F.array(*[F.lit(x).cast("decimal(4,2)") for x in ("0.00", "0.05", "0.10")]), (F.col("partner_id") % 3).cast("int"))
+    extra = F.when(F.col("amount_total") >= threshold, F.lit("0.02").cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)"))
+    o = model.sale_order(spark, d).withColumn("pct", F.least(pct + extra, F.lit("0.15").cast("decimal(4,2)")).cast("decimal(4,2)"))
+    return o.select("id", (F.col("partner_id") % 3).alias("tier"), "pct", (F.col("amount_total") * (1 - F.col("pct"))).cast("decimal(24,4)").alias("net"))
