@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from ledgerloom.plans import sales, supply  # noqa: F401
+from ledgerloom.plans import ledger, sales, supply  # noqa: F401
