@@ -53,7 +53,7 @@ def strip_thoughts(c: Column) -> Column:
 
 
 def strip_thinking_and_fence(c: Column) -> Column:
-    bare = F.trim(F.regexp_replace(c, "(?s)<think>.*?</think>", ""))
+    bare = F.regexp_replace(F.regexp_replace(c, "(?s)<think>.*?</think>", ""), r"\A\s+|\s+\z", "")
     inner = F.regexp_extract(bare, r"(?s)\A```(?:json)?\s*(.*?)\s*```\z", 1)
     return F.when(bare.rlike(r"(?s)\A```(?:json)?\s*.*?\s*```\z"), inner).otherwise(bare)
 
