@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from ledgerloom.plans import language, ledger, relational, sales, supply  # noqa: F401
+from ledgerloom.plans import language, ledger, relational, retrieval, sales, supply  # noqa: F401
