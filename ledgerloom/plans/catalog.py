@@ -1,3 +1,13 @@
 """Imports every module that registers queries."""
 
-from ledgerloom.plans import language, ledger, relational, retrieval, sales, supply  # noqa: F401
+from ledgerloom.plans import (  # noqa: F401
+    commands,
+    documents,
+    evalkit,
+    language,
+    ledger,
+    relational,
+    retrieval,
+    sales,
+    supply,
+)
