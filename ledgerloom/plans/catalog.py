@@ -11,3 +11,4 @@ from ledgerloom.plans import (  # noqa: F401
     sales,
     supply,
 )
+from ledgerloom.streaming import ledgers  # noqa: F401
