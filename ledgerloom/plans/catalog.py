@@ -2,6 +2,7 @@
 
 from ledgerloom.plans import (  # noqa: F401
     commands,
+    details,
     documents,
     evalkit,
     language,
