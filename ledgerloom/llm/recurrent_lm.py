@@ -29,14 +29,14 @@ VOCABULARY = CLASS_SIZE * CLASSES - 1  # and the token of all other words
 UNKNOWN = VOCABULARY
 HIDDEN = 16
 WINDOW = 32
-TRAIN_ROWS, SCORE_ROWS = 384, 2048
+TRAIN_ROWS, SCORE_ROWS = 512, 2048
 #: Training cuts longer documents into sequences of this many tokens; scoring never cuts.
 SEQUENCE = 1024
 #: Shares of the training documents (in sixteenths, by hash) that the rounds use, one after the other.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 RATE = 0.02
 #: Most words whose counts are sent to all tasks; the rarer ones are looked up by a join.
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 19
 #: Most partial averages that reach the driver in a round.
 PARTIALS = 32
 END = np.uint64(0x5EED0F7E57E4D000)
@@ -396,9 +396,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if held > HEAD_WORDS:
             break
         least = b["cell"]
-    rows = counts.where(cell >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    n = rows["n"].to_numpy(np.int64)
-    hashes = rows["token"].to_numpy(np.int64).view(np.uint64)
+    rows = (counts.where(cell >= least) if least is not None else counts.limit(0)).select("token", "n").toArrow().combine_chunks()
+    n = rows.column("n").to_numpy().astype(np.int64)
+    hashes = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.lexsort((hashes, -n))
     hashes, n = hashes[order], n[order]
     ids = np.minimum(np.arange(len(n)), UNKNOWN).astype(np.int32)
