@@ -75,8 +75,8 @@ def mix_sources(
         F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), "mix_parts", "mix_cdf"
     )
     named = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draw = lambda part: F.size(F.filter("mix_cdf", lambda c: c < uniform(F.lit(str(seed)), named, part.cast("string"))))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts").cast("int")), F.lit(0), lambda n, part: n + draw(part))
+    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts").cast("int")), lambda part: uniform(F.lit(str(seed)), named, part.cast("string")))
+    drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("mix_cdf", lambda c: c < u)))
     base = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_parts", "mix_cdf")
     joined = base.join(steps, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("mix_source"))
     copied = joined.withColumn("mix_copies", drawn).where("mix_copies > 0").drop("mix_source", "mix_parts", "mix_cdf")
