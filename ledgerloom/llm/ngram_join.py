@@ -8,14 +8,14 @@ token sets have a Jaccard similarity of ``percent`` / 100 or more. The join is e
 2. Tokens travel as packed arrays to the task of their hash range, which finds those that occur
    in two documents or more. A document of which fewer than ``percent`` of the tokens recur
    cannot link, whatever the groups are: this is the matrix bound with everything else as one group.
-3. The documents left are partitioned into groups of similar ones: each is compared with the first
-   document of the rarest tokens it must share with any partner (its prefix), and linked ones merge.
-4. Only where a prefix token still lies in several groups does a group have to be looked at again:
-   the matrix holds each such group's token union, and a document's overlap with that union bounds its
-   overlap with every member. Groups below the bound are skipped, the others opened: first one
-   member of each (most of them merge), then every member that shares a prefix token.
-
-A group of copies thus costs one comparison per document, not one per pair.
+3. The documents left are partitioned into groups of similar ones, each around the pivot of most of its
+   tokens, with which it is compared at once.
+4. The matrix holds, for tokens of several groups, each group's token union. A document's overlap with a
+   group's union bounds the overlap with every member: groups below what a link needs are skipped. In
+   the groups left, and in its own unless it is of the group's main component, a document is held
+   against all members by their postings, one block of members to a task.
+
+A group of copies thus costs one comparison per document that its pivot settles, and no pair is a row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textscan as ts
@@ -32,8 +32,25 @@ from ledgerloom.session import cut
 
 #: Tokens that one hash range holds, about; the number of ranges grows with the corpus.
 RANGE_TOKENS = 2_000_000
-#: Rounds in which a group is opened by one member only, before all of its members are.
-SAMPLED_ROUNDS = 2
+#: Rounds of dropping documents that can't link outside their group, as others have dropped out.
+PRUNE_ROUNDS = 2
+#: Members of a group that one task opens, about; larger groups are split by hash.
+BLOCK_MEMBERS = 1000
+
+
+#: Bytes of a token's hash that travel: two documents' sets agree on 48 bits by chance about once in 1e9 pairs.
+TOKEN_BYTES = 6
+
+
+def packed(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].copy()
+
+
+def unpacked(data) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :TOKEN_BYTES] = flat
+    return out.reshape(-1).view("<u8")
 
 
 def need(n, percent: int):
@@ -45,7 +62,7 @@ def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text; a text of fewer words is one shingle."""
     words = ts.scan(column, ts.SPACED)
     h = words.hashes()
-    w = ts.windows(h, k)
+    w = ts.windows(h, k) >> np.uint64(64 - 8 * TOKEN_BYTES)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= k:
@@ -54,7 +71,7 @@ def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
             fresh[1:] = s[1:] != s[:-1]
             out.append(s[fresh])
         elif b > a:
-            out.append(np.array([ts.whole(h[a:b])], np.uint64))
+            out.append(np.array([ts.whole(h[a:b])], np.uint64) >> np.uint64(64 - 8 * TOKEN_BYTES))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -94,7 +111,7 @@ def _dealt(k: int, ranges: int):
             if not len(flat):
                 continue
             doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            part = ((flat >> np.uint64(33)) % np.uint64(ranges)).astype(np.uint16 if ranges < 1 << 16 else np.uint32)
+            part = ((flat >> np.uint64(17)) % np.uint64(ranges)).astype(np.uint16 if ranges < 1 << 16 else np.uint32)
             order = np.argsort(part, kind="stable")
             flat, doc, part = flat[order], doc[order], part[order]
             # a run is what one document has in one range
@@ -108,7 +125,7 @@ def _dealt(k: int, ranges: int):
                     pa.array(part[starts].astype(np.int64), pa.int64()),
                     ts.binaries(ids[doc[cutting]].astype(np.int64), docs_each),
                     ts.binaries(runs, docs_each),
-                    ts.binaries(flat, tokens_each),
+                    ts.binaries(packed(flat).reshape(-1), tokens_each * TOKEN_BYTES),
                 ],
                 names=["part", "docs", "runs", "tokens"],
             )
@@ -120,7 +137,7 @@ def _recurring(table: pa.Table) -> pa.Table:
     """The tokens of one hash range that occur in several documents, by document, with how many."""
     ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("docs")])
     runs = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("runs")])
-    tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")])
+    tokens = np.concatenate([unpacked(x.as_buffer()) for x in table.column("tokens")])
     doc = np.repeat(np.arange(len(ids)), runs)
     order = np.argsort(tokens)
     tokens, doc = tokens[order], doc[order]
@@ -137,8 +154,8 @@ def _recurring(table: pa.Table) -> pa.Table:
         {
             "doc_id": pa.array(ids[doc[first]], pa.int64()),
             "n": pa.array(counts, pa.int64()),
-            "tokens": ts.binaries(tokens, counts),
-            "dfs": ts.binaries(df.astype(np.uint32), counts),
+            "tokens": ts.binaries(packed(tokens).reshape(-1), counts * TOKEN_BYTES),
+            "dfs": ts.binaries(np.minimum(df, 65535).astype(np.uint16), counts),
         }
     )
 
@@ -148,8 +165,8 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for pieces in batch.column("pieces").to_pylist():
-            t = np.concatenate([np.frombuffer(p["tokens"], np.uint64) for p in pieces])
-            d = np.concatenate([np.frombuffer(p["dfs"], np.uint32) for p in pieces])
+            t = np.concatenate([unpacked(p["tokens"]) for p in pieces])
+            d = np.concatenate([np.frombuffer(p["dfs"], np.uint16) for p in pieces])
             t, at = np.unique(t, return_index=True)
             out.append(t[np.lexsort((t, d[at]))].tobytes())
         yield pa.RecordBatch.from_arrays(
@@ -157,27 +174,6 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _prefixes(percent: int):
-    """One row for each token of a document's prefix: any partner has one of these in its own prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
-            heads = [s[: max(0, len(s) - need(m, percent) + 1)] for s, m in zip(sets, n.tolist(), strict=True)]
-            size = np.array([len(x) for x in heads], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]), pa.int64()),
-                    pa.array(np.repeat(batch.column("doc_id").to_numpy(), size), pa.int64()),
-                    pa.array(np.repeat(n, size), pa.int64()),
-                ],
-                names=["token", "doc_id", "n"],
-            )
-
-    return run
-
-
 def _linked(percent: int):
     """Keep the pairs whose similarity is high enough, by their whole token sets."""
 
@@ -195,121 +191,167 @@ def _linked(percent: int):
                 both = np.sort(np.concatenate([x, y]))
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * shared >= percent * (n + m - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["x", "to"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) that link."""
+    """Those of pairs(a, b) that link, as (x, to)."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(_linked(percent), "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_linked(percent), "x long, to long")
+
+
+def roots(forest: DataFrame, rounds: int = 40) -> DataFrame:
+    """forest(x, to), an edge to each x's parent -> the same with each tree's root, by doubling."""
+    for _ in range(rounds):
+        onward = forest.select(F.col("x").alias("to"), F.col("to").alias("next"))
+        step = forest.select("x", "to").join(onward.hint("merge"), "to", "left").select("x", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        forest = cut(step)
+        if forest.where("moved").isEmpty():
+            return forest.drop("moved")
+    raise RuntimeError("the forest is too deep")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of each node: nodes(doc_id), edges(a, b) -> (doc_id, comp).
+def merged(label: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
+    """label(doc_id, comp) joined further along links(x, to) between components.
 
-    Labels spread over edges and then jump along labels, so rounds grow with the logarithm of
-    a chain's length; each round is cut in the shared folder.
+    In each round a component follows its smallest neighbour below it; that makes a forest, whose roots
+    are found by doubling. Links that the forest left out are seen again, between larger components.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    label = cut(nodes.select("doc_id", F.col("doc_id").alias("comp")))
-    if both.isEmpty():
-        return label
     for _ in range(rounds):
-        near = both.join(label.select(F.col("doc_id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = label.join(near, label["doc_id"] == near["a"], "left").select(
-            "doc_id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp")
-        )
-        # a label's own label, and the lower label that any of its bearers has found
-        down = step.groupBy(F.col("old").alias("r")).agg(F.min("comp").alias("low"))
-        step = step.join(down, step["old"] == down["r"], "left").select("doc_id", "old", F.least("comp", F.coalesce("low", "comp")).alias("comp"))
-        jump = step.select(F.col("doc_id").alias("r"), F.col("comp").alias("low"))
-        step = step.join(jump, step["comp"] == jump["r"], "left").select("doc_id", "old", F.least("comp", F.coalesce("low", "comp")).alias("comp"))
-        step = cut(step)
-        label = step.select("doc_id", "comp")
-        if step.where("old <> comp").isEmpty():
+        for end in ("x", "to"):
+            now = label.select(F.col("doc_id").alias(end), F.col("comp").alias(f"{end}_now")).hint("merge")
+            links = links.join(now, end).drop(end).withColumnRenamed(f"{end}_now", end)
+        links = cut(links.where("x <> to").select(F.greatest("x", "to").alias("x"), F.least("x", "to").alias("to")).distinct())
+        if links.isEmpty():
             return label
-    raise RuntimeError("connected components did not settle")
+        forest = roots(links.groupBy("x").agg(F.min("to").alias("to")))
+        label = cut(label.withColumnRenamed("comp", "x").join(forest.hint("merge"), "x", "left").select("doc_id", F.coalesce("to", "x").alias("comp")))
+    raise RuntimeError("components did not settle")
 
 
-def _clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, comp) over sets(doc_id, n, tokens): exact components of the links among them."""
-    prefix = cut(sets.mapInArrow(_prefixes(percent), "token long, doc_id long, n long"))
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pivot = prefix.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"))
-    first = (
-        prefix.join(pivot, "token")
-        .select(F.col("doc_id").alias("a"), "n", F.col("p.doc_id").alias("b"), F.col("p.n").alias("m"))
-        .where((F.col("a") != F.col("b")) & near("n", "m"))
-        .groupBy("a")
-        .agg(F.min("b").alias("b"))
+def _stars(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(group, label): groups of similar documents, and components by links with their pivots.
+
+    A token's pivot is the document most of whose tokens recur (an original rather than a changed copy). A
+    document is compared with the pivot of most of its tokens, and belongs to its group if they are a third
+    or more; pivots follow their own, always towards documents that recur more.
+    """
+    rows = sets.mapInArrow(_exploded, "doc_id long, n long, token long, held long")
+    order = F.struct(F.col("held") / F.col("n"), -F.col("doc_id"))
+    pivot = rows.groupBy("token").agg(F.max_by("doc_id", order).alias("b"))
+    best = cut(
+        rows.join(pivot.hint("merge"), "token")
+        .where(F.col("doc_id") != F.col("b"))
+        .groupBy(F.col("doc_id").alias("a"), "b", "n")
+        .agg(F.count("*").alias("shared"))
+        .groupBy("a", "n")
+        .agg(F.max_by(F.struct("b", "shared"), F.struct("shared", -F.col("b"))).alias("p"))
+        .select("a", "p.b", (F.col("p.shared") * 3 >= F.col("n")).alias("close"))
     )
-    edges = cut(_verified(first, sets, percent))
-    label = components(sets.select("doc_id"), edges)
-    for turn in range(SAMPLED_ROUNDS + 1):
-        marked = prefix.join(label, "doc_id")
-        several = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        open_rows = cut(marked.join(several.select("token"), "token"))
-        if open_rows.isEmpty():
-            break
-        groups = open_rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        asked = (
-            open_rows.join(groups.withColumnRenamed("comp", "group"), "token")
-            .where((F.col("comp") != F.col("group")) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-            .select("doc_id", "n", "group")
-            .distinct()
-        )
-        # the matrix: token unions of the groups asked for; a document's overlap with them bounds its links
-        union = (
-            label.join(asked.select(F.col("group").alias("comp")).distinct(), "comp")
-            .join(sets, "doc_id")
-            .select("comp", "tokens")
-            .mapInArrow(_exploded("comp", "group"), "group long, token long")
-            .distinct()
-        )
-        own = sets.join(asked.select("doc_id").distinct(), "doc_id").select("doc_id", "tokens").mapInArrow(_exploded("doc_id", "doc_id"), "doc_id long, token long")
-        bound = asked.join(own, "doc_id").join(union, ["group", "token"]).groupBy("doc_id", "n", "group").agg(F.count("*").alias("held"))
-        opened = cut(bound.where(F.col("held") * 100 >= F.col("n") * percent).select("doc_id", "group"))
-        members = open_rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"))
-        if turn < SAMPLED_ROUNDS:  # one member that shares a token: the first, then the last
-            pick = (F.min_by if turn == 0 else F.max_by)(F.struct("b", "m"), "b")
-            members = members.groupBy("token", "group").agg(pick.alias("x")).select("token", "group", "x.b", "x.m")
-        pairs = (
-            open_rows.join(opened, "doc_id")
-            .select("token", "group", F.col("doc_id").alias("a"), "n")
-            .join(members, ["token", "group"])
-            .where(near("n", "m"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        if turn < SAMPLED_ROUNDS:
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
-        fresh = cut(_verified(pairs, sets, percent))
-        if not fresh.isEmpty():
-            edges = edges.union(fresh)
-            label = components(sets.select("doc_id"), edges)
-    return label
+    links = _verified(best.select("a", "b"), sets, percent)
+    label = merged(sets.select("doc_id", F.col("doc_id").alias("comp")), links)
+    tree = roots(best.where("close").select(F.col("a").alias("x"), F.col("b").alias("to")))
+    group = sets.select("doc_id").join(tree.hint("merge"), F.col("doc_id") == F.col("x"), "left").select("doc_id", F.coalesce("to", "doc_id").alias("group"))
+    return cut(group), label
 
 
-def _exploded(key: str, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
-            size = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(key).to_numpy(), size), pa.int64()),
-                    pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()),
-                ],
-                names=[name, "token"],
-            )
+def _asked_elsewhere(sets: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, group): documents and other groups whose token union may hold a partner.
+
+    The matrix has, for tokens of several groups, each group's token union. A document too few of
+    whose tokens lie in other groups is done; of the others, those are asked whose overlap with a group's
+    union reaches what any link needs.
+    """
+    rows = sets.mapInArrow(_exploded, "doc_id long, n long, token long, held long").join(group.hint("merge"), "doc_id")
+    for _ in range(PRUNE_ROUNDS):
+        several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
+        rows = cut(rows.drop("held").join(several.hint("merge"), "token"))
+        able = rows.groupBy("doc_id", "n").agg(F.count("*").alias("held")).where(F.col("held") * 100 >= F.col("n") * percent)
+        rows = rows.join(able.select("doc_id", "held").hint("merge"), "doc_id").select("token", "doc_id", "n", "group", "held")
+    rows = cut(rows)
+    union = rows.select("token", "group").distinct()
+    spread = union.groupBy("token").agg(F.count("*").alias("wide"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("wide", "token"))
+    prefix = rows.join(spread.hint("merge"), "token").withColumn("rank", rank).where(F.col("rank") <= F.col("held") - F.ceil(F.col("n") * percent / 100) + 1)
+    near = prefix.select("token", F.col("group").alias("other")).distinct()
+    pairs = prefix.select("token", "doc_id", "n", "group").join(near.hint("merge"), "token").where("group <> other").select("doc_id", "n", F.col("other").alias("group")).distinct()
+    held = pairs.join(rows.select("doc_id", "token").hint("merge"), "doc_id").join(union.hint("merge"), ["group", "token"]).groupBy("doc_id", "n", "group").agg(F.count("*").alias("held"))
+    return held.where(F.col("held") * 100 >= F.col("n") * percent).select("doc_id", "group")
+
+
+def _opened(percent: int):
+    """Links of asking documents with one block of a group's members, by the members' postings."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        if left.num_rows and right.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("tokens")]
+            size = right.column("n").to_numpy()
+            comp = right.column("comp").to_numpy()
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            known, start = np.unique(flat, return_index=True)
+            stop = np.append(start[1:], len(flat))
+            for q, n, own in zip(left.column("tokens"), left.column("n").to_pylist(), left.column("comp").to_pylist(), strict=True):
+                q = np.frombuffer(q.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(known, q), len(known) - 1)
+                at = at[known[at] == q]
+                runs = stop[at] - start[at]
+                hits = owner[np.repeat(start[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())]
+                shared = np.bincount(hits, minlength=len(sets))
+                for c in np.unique(comp[(100 * shared >= percent * (n + size - shared)) & (comp != own)]).tolist():
+                    found.add((own, c))
+        pairs = sorted(found)
+        return pa.table({"x": pa.array([a for a, _ in pairs], pa.int64()), "to": pa.array([b for _, b in pairs], pa.int64())})
 
     return run
 
 
+def _clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, comp) over sets(doc_id, n, tokens): exact components of the links among them."""
+    group, label = _stars(sets, percent)
+    # in its own group a document asks unless it is of the group's main component, whose members the others meet
+    placed = group.join(label.hint("merge"), "doc_id")
+    main = placed.groupBy("group", "comp").agg(F.count("*").alias("k")).groupBy("group").agg(F.sum("k").alias("size"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    main = cut(main)
+    own = placed.join(main.hint("merge"), "group").where("comp <> main").select("doc_id", "group")
+    asked = cut(own.union(_asked_elsewhere(sets, group, percent)))
+    blocks = main.select("group", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    full = sets.join(label.hint("merge"), "doc_id")
+    wanted = asked.select("group").distinct().join(blocks.hint("merge"), "group")
+    members = (
+        full.join(group.hint("merge"), "doc_id").join(wanted.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    )
+    queries = asked.join(full.hint("merge"), "doc_id").join(blocks.hint("merge"), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["group", "block", "n", "comp", "tokens"]
+    links = (
+        queries.select(*[F.expr(c).alias(c) for c in columns])
+        .groupBy("group", "block")
+        .cogroup(members.select(*[F.expr(c).alias(c) for c in columns]).groupBy("group", "block"))
+        .applyInArrow(_opened(percent), "x long, to long")
+    )
+    return merged(label, cut(links))
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
+        size = np.array([len(x) for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(batch.column("doc_id").to_numpy(), size), pa.int64()),
+                pa.array(np.repeat(batch.column("n").to_numpy(), size), pa.int64()),
+                pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()),
+                pa.array(np.repeat(size, size), pa.int64()),
+            ],
+            names=["doc_id", "n", "token", "held"],
+        )
+
+
 def near_duplicate_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
