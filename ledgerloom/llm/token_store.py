@@ -1,9 +1,9 @@
 """Token-id output as directly addressable codes.
 
 Format. A store is a folder of Parquet files written by Spark; a row is one segment, a run of whole
-documents in ascending id order. Columns: ``segment`` (its rank in that order), ``start`` (ids before
-the segment), ``docs`` (int64 ids), ``counts`` (uint32 tokens of each), ``n_tokens`` and the code's
-levels. Level 0 holds the low CHUNK_BITS[0] bits of every id, one byte each; where an id has higher
+documents in ascending id order. Columns: ``range`` and ``seq`` (its place in that order), ``own`` (ids
+before it in its range), ``n_tokens``, ``docs`` (int64 ids), ``counts`` (uint32 tokens of each) and the
+code's levels. Level 0 holds the low CHUNK_BITS[0] bits of every id, one byte each; where an id has higher
 bits a continuation bitmap (uint64 words) is set, and level 1 holds the next chunk of just those ids,
 and so on. A rank directory (uint32 per bitmap word: bits set before it) turns a position on one
 level into its position on the next, so any token is read by a few array accesses; no block is
@@ -30,11 +30,11 @@ CHUNK_BITS = (8, 8, 8, 8)
 #: Tokens after which a segment ends (it ends with a document).
 SEGMENT_TOKENS = 1 << 18
 #: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000
 END_ID = 0
 
 SEGMENT_SCHEMA = (
-    "range int, seq int, n_tokens long, docs binary, counts binary, levels array<binary>, more array<binary>, ranks array<binary>"
+    "range int, seq int, own long, n_tokens long, docs binary, counts binary, levels array<binary>, more array<binary>, ranks array<binary>"
 )
 
 
@@ -202,16 +202,17 @@ def _segments(tokenizer: str):
         docs: list[int | None] = []
         counts: list[int] = []
         parts: list[np.ndarray] = []
-        held, seq, part = 0, 0, 0
+        held, seq, part, own = 0, 0, 0, 0
 
         def segment() -> pa.RecordBatch:
-            nonlocal held, seq
+            nonlocal held, seq, own
             ids = np.concatenate(parts)
             levels, more, ranks = dac_encode(ids)
             row = pa.RecordBatch.from_pydict(
                 {
                     "range": pa.array([part], pa.int32()),
                     "seq": pa.array([seq], pa.int32()),
+                    "own": pa.array([own], pa.int64()),
                     "n_tokens": pa.array([len(ids)], pa.int64()),
                     "docs": pa.array([np.array(docs, "<i8").tobytes()], pa.binary()),
                     "counts": pa.array([np.array(counts, "<u4").tobytes()], pa.binary()),
@@ -221,7 +222,7 @@ def _segments(tokenizer: str):
                 }
             )
             docs.clear(), counts.clear(), parts.clear()
-            held, seq = 0, seq + 1
+            held, seq, own = 0, seq + 1, own + len(ids)
             return row
 
         for batch in batches:
@@ -269,19 +270,20 @@ def write_token_store(
     return read_directory(docs.sparkSession, path)
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(range, seq, n_tokens, start) of every segment: a few numbers for each 2**18 tokens.
+def _with_starts(spark: SparkSession, path: str) -> DataFrame:
+    """Segments with start, the ids before them.
 
-    Starts are summed within each range first and then over ranges, so only the ranges' totals,
-    one row for each task that wrote, meet in one task.
+    Only the ranges' totals, one row for each task that wrote, are summed in one task and broadcast.
     """
-    seg = spark.read.parquet(f"{path}/segments").select("range", "seq", "n_tokens")
+    seg = spark.read.parquet(f"{path}/segments")
     total = seg.groupBy("range").agg(F.sum("n_tokens").alias("all"))
-    before = total.select(
-        "range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("base")
-    )
-    within = seg.withColumn("own", F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq")) - F.col("n_tokens"))
-    return within.join(before, "range").select("range", "seq", "n_tokens", (F.col("base") + F.col("own")).alias("start"))
+    before = total.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("base"))
+    return seg.join(F.broadcast(before), "range").withColumn("start", F.col("base") + F.col("own")).drop("base", "own")
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(range, seq, n_tokens, start) of every segment: a few numbers for each 2**18 tokens."""
+    return _with_starts(spark, path).select("range", "seq", "n_tokens", "start")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +304,6 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _with_starts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/segments").join(read_directory(spark, path).select("range", "seq", "start"), ["range", "seq"])
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per stored document: doc_id, start, n_tokens and ids_crc32, decoded from the files."""
     return _with_starts(spark, path).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
