@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped in one pass: each block of text becomes a line, and what stands in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments becomes an empty one.
-A line weighs as many characters as it has outside links. Over the sums of BLOCK lines on end the
-text surges where a sum first reaches SURGE characters and dives where a whole block is empty again; the
-lines between are kept. Where a page marks its article, the article's lines reach the surge by
-themselves and lines outside it weigh nothing.
+Markup is stripped in one pass: each block of text becomes a line; what stands in menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments leaves no line, nor do blanks between
+tags. A line weighs as many characters as it has outside links. The text dives where a whole block of
+BLOCK lines on end weighs nothing, and surges in a stretch between two dives if a block's sum reaches
+SURGE characters (or the page's highest sum, if that is less). All lines from the first stretch that
+surges to the end of the last one are kept, light lines and links among them too. Where a page marks its
+article, the body is sought among the article's lines only, and their links weigh as text.
 """
 
 from __future__ import annotations
@@ -90,7 +91,8 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        lines.append((line, max(0, len(line) - linked), articles > 0))
+        if line:
+            lines.append((line, max(0, len(line) - linked), articles > 0))
         linked = 0
 
     def leave(to: int) -> None:
@@ -113,10 +115,7 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         tag, closes = m[3].lower(), m[2] == "/"
         if tag in BLOCKS:
-            if text:
-                flush()
-            elif lines and lines[-1][0]:
-                lines.append(("", 0, articles > 0))
+            flush()
         elif tag == "br":
             text.append(" ")
         if closes:
@@ -143,40 +142,35 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             articles += 1
             marked |= not dropped
         links += tag == "a"
-        if dropped and tag in BLOCKS:
-            lines.append(("", 0, articles > 0))
-    if text:
-        flush()
+    flush()
     return lines, marked
 
 
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by an empty line."""
     lines, marked = strip_markup(page or "")
-    if marked:
-        weights = [max(SURGE, w) if inside and line else 0 for line, w, inside in lines]
-    else:
-        weights = [w for _, w, _ in lines]
+    article = [line for line in lines if line[2]] if marked else []
+    if article:
+        lines = article
+    weights = [len(line) if article else w for line, w, _ in lines]
     n = len(lines)
     sums = [sum(weights[i : i + BLOCK]) for i in range(n)]
-    regions, at = [], 0
+    surge = min(SURGE, max(sums, default=0))
+    if not surge:
+        return ""
+    stretches, at = [], 0
     while at < n:
-        if weights[at] and sums[at] >= SURGE:  # surge
-            stop = at
-            while stop < n and sums[stop]:  # until a whole block is empty: dive
-                stop += 1
-            regions.append((at, stop))
-            at = stop
-        at += 1
-    if not marked and len(regions) > 1:  # the distribution's main body, and others of its order
-        size = [sum(weights[a:b]) for a, b in regions]
-        regions = [r for r, s in zip(regions, size, strict=True) if 4 * s >= max(size)]
-    kept = [lines[i][0] for a, b in regions for i in range(a, b) if lines[i][0] and (weights[i] or not marked)]
-    if not marked:
-        kept = [
-            lines[i][0] for a, b in regions for i in range(a, b) if lines[i][0] and 2 * weights[i] >= len(lines[i][0])
-        ]
-    return "\n\n".join(kept)
+        stop, light = at, 0
+        while stop < n and light < BLOCK:  # until a whole block is empty: dive
+            light = 0 if weights[stop] else light + 1
+            stop += 1
+        end = stop - light if light == BLOCK else stop
+        if max(sums[at:end], default=0) >= surge:
+            stretches.append((at, end))
+        at = stop
+        while light >= BLOCK and at < n and not weights[at]:
+            at += 1
+    return "\n\n".join(line for line, _, _ in lines[stretches[0][0] : stretches[-1][1]])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

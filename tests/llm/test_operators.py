@@ -182,6 +182,23 @@ def test_html():
     assert html_text.main_text("<article><p>cut off &am") == "cut off &am"
 
 
+def test_html_body_by_distribution():
+    """No article tag: only the distribution can tell the body from the link lists around it."""
+    links = lambda name: "<ul>" + "".join(f"<li><a href=x>{name} {i}</a></li>" for i in range(5)) + "</ul>"
+    long = "a sentence of the main text that is long enough to make a surge by its own characters alone"
+    body = ["Title", "By Someone", long, "Short one.", "See the long linked name of a source here", "After the advert.", "Brief.", f"{long} {long} {long} {long} {long}", "The end."]
+    html = [f"<h1>{body[0]}</h1>", *[f"<p>{x}</p>\n" for x in body[1:]]]
+    html[4] = "<p>See <a href=x>the long linked name of a source</a> here</p>"
+    html.insert(5, "<div class=ad><div><div><p>Buy</p><div>now</div></div></div></div>\n\n")
+    page = f"<body>{links('Top')}<div class=x>\n<div>\n{''.join(html)}</div></div>{links('Bottom')}<div>Made by us</div></body>"
+    assert html_text.main_text(page).split("\n\n") == body
+    assert html_text.main_text(page.replace("<div class=x>", "<main>")).split("\n\n")[: len(body)] == body
+    # a dive inside the body cuts nothing, a small stretch after one is kept if it surges
+    halves = f"<div><p>{long * 9}</p>{links('Mid')}<p>{long}</p><p>Last.</p></div>{links('Bottom')}"
+    assert html_text.main_text(halves).split("\n\n") == [long * 9, *[f"Mid {i}" for i in range(5)], long, "Last."]
+    assert html_text.main_text("<body><p>Only this.</p></body>") == "Only this."
+
+
 def test_quality_statistics(docs):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert len(got) == len(texts())
