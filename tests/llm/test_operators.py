@@ -254,6 +254,27 @@ def test_pairs_weigh_more_than_their_parts():
     assert z[2] > 0 > max(z[0], z[1], z[3])
 
 
+def test_pairs_of_terms_without_signal_of_their_own():
+    """Each term has the same share in both classes; rows are positive that have both terms or neither."""
+    rng = np.random.default_rng(0)
+    sets, y = [], []
+    for a, b in [(0, 0), (0, 1), (1, 0), (1, 1)] * 1000:
+        sets.append(np.array([1] * a + [2] * b + [int(rng.integers(10, 20))], np.int32))
+        y.append(float(a == b))
+    model, bias = toxicity.train(np.array(y), np.concatenate(sets), np.array([len(s) for s in sets]))
+    z = toxicity.logits(model, bias, np.array([1, 2, 1, 2], np.int32), np.array([1, 1, 2, 0]))
+    assert min(z[2], z[3]) > 0 > max(z[0], z[1])
+
+
+def test_a_rare_term_weighs():
+    """A word of five rows, all toxic, among thousands: too few for four standard errors."""
+    y = np.array([float(i % 3 == 0) for i in range(3000)])
+    sets = [np.array(([1] if i < 15 and i % 3 == 0 else []) + [10 + i % 50], np.int32) for i in range(3000)]
+    model, bias = toxicity.train(y, np.concatenate(sets), np.array([len(s) for s in sets]))
+    z = toxicity.logits(model, bias, np.array([1, 10, 10], np.int32), np.array([2, 1]))
+    assert z[0] > z[1] + 0.2
+
+
 def test_gradients(monkeypatch):
     """One step of training against numeric differences of the loss."""
     counts = np.ones(recurrent_lm.CLASSES * recurrent_lm.CLASS_SIZE)
