@@ -7,12 +7,13 @@ sums over all words, are taken over the whole corpus by Spark.
 
 Training passes once over all training documents in rounds of growing shares; in a round each task
 trains on its own documents from the present weights by truncated backpropagation (WINDOW tokens, the
-state carried on from window to window), and the tasks' weights are averaged by the tokens they saw.
-Scoring carries the state through the whole document.
+state carried on from window to window through the whole document), and the tasks' weights are averaged by
+the tokens they saw. Training and scoring alike start a document from the end token and a state of zero.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,6 @@ UNKNOWN = VOCABULARY
 HIDDEN = 16
 WINDOW = 32
 TRAIN_ROWS, SCORE_ROWS = 512, 2048
-#: Training cuts longer documents into sequences of this many tokens; scoring never cuts.
-SEQUENCE = 1024
 #: Shares of the training documents (in sixteenths, by hash) that the rounds use, one after the other.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 RATE = 0.02
@@ -99,8 +98,7 @@ def log_probabilities(w: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray
     return out
 
 
-def _output_gradients(w: dict, h: np.ndarray, targets: np.ndarray, grads: dict) -> np.ndarray:
-    scale = np.float32(1.0 / len(h))
+def _output_gradients(w: dict, h: np.ndarray, targets: np.ndarray, grads: dict, scale: np.float32) -> np.ndarray:
     a = h @ w["wc"] + w["bc"]
     p = np.exp(a - a.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
@@ -125,59 +123,86 @@ def _output_gradients(w: dict, h: np.ndarray, targets: np.ndarray, grads: dict)
     return dh
 
 
-def sequences(ids: np.ndarray, first: np.ndarray, rows: int, longest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sequences(first: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of at most rows sequences of like lengths, longest first: (their numbers, start and length)."""
     start, length = first[:-1], np.diff(first)
-    if longest:
-        pieces = np.maximum(1, -(-length // longest))
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(start, pieces) + nth * longest
-        length = np.minimum(np.repeat(length, pieces) - nth * longest, longest)
     order = np.argsort(-length, kind="stable")
     for b in range(0, len(order), rows):
         pick = order[b : b + rows]
         yield pick, np.stack([start[pick], length[pick]])
 
 
-def _windows(ids: np.ndarray, span: np.ndarray, width: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Steps of a block, window by window: (inputs, targets) of the sequences that go on."""
+def lanes(first: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences dealt to at most rows lanes that run side by side, each to the one with least to do.
+
+    Gives the order of the tokens, lane after lane (longest first), each lane's start, and which tokens begin a sequence.
+    """
+    length = np.diff(first)
+    queues = [(0, k, []) for k in range(min(rows, len(length)))]
+    for i in np.argsort(-length, kind="stable").tolist():
+        size, k, held = queues[0]
+        held.append(i)
+        heapq.heapreplace(queues, (size + int(length[i]), k, held))
+    queues.sort(key=lambda q: (-q[0], q[1]))
+    docs = np.array([i for _, _, held in queues for i in held], np.int64)
+    size = length[docs]
+    at = np.repeat(first[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    begins = np.zeros(len(at), bool)
+    begins[(np.cumsum(size) - size)[size > 0]] = True
+    return at, np.concatenate([[0], np.cumsum([q[0] for q in queues])]).astype(np.int64), begins
+
+
+def _windows(ids: np.ndarray, before: np.ndarray, span: np.ndarray, width: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Steps of a block, window by window: (inputs, targets, places) of the sequences that go on."""
     start, length = span
-    end_id = ids[start[0] + length[0] - 1] if len(ids) else 0
     for t0 in range(0, int(length[0]), width):
         steps = []
         for t in range(t0, min(t0 + width, int(length[0]))):
-            k = int(np.searchsorted(-length, -t, "left"))  # those longer than t
-            at = start[:k] + t
-            steps.append((ids[at - 1] if t else np.full(k, end_id, ids.dtype), ids[at]))
-        yield t0, steps
+            at = start[: int(np.searchsorted(-length, -t, "left"))] + t  # those longer than t
+            steps.append((before[at], ids[at], at))
+        yield steps
+
 
+def _inputs(ids: np.ndarray, begins: np.ndarray, end: int | None) -> np.ndarray:
+    """Each token's predecessor; the end token before a sequence's first (by default the last token of all)."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[begins] = ids[-1] if end is None else end
+    return before
 
-def train_on(w: dict, memory: dict, ids: np.ndarray, first: np.ndarray) -> None:
+
+def train_on(w: dict, memory: dict, ids: np.ndarray, first: np.ndarray, end: int | None = None) -> None:
     """One pass of truncated backpropagation over the sequences; w and memory (squared gradients) change."""
-    for _, span in sequences(ids, first, TRAIN_ROWS, SEQUENCE):
-        h = np.zeros((span.shape[1], HIDDEN), np.float32)
-        for _, steps in _windows(ids, span, WINDOW):
+    if len(ids):
+        last = ids[-1] if end is None else end
+        at, edges, begins = lanes(first, TRAIN_ROWS)
+        ids = ids[at]
+        before, goes_on = _inputs(ids, begins, last), (~begins).astype(np.float32)[:, None]
+        h = np.zeros((len(edges) - 1, HIDDEN), np.float32)
+        scale = None  # of the first window, the largest: a token weighs the same in those of few lanes
+        for steps in _windows(ids, before, np.stack([edges[:-1], np.diff(edges)]), WINDOW):
             seen, outs = [], []
-            for x, _ in steps:
-                h = h[: len(x)]
+            for x, _, at in steps:
+                h = h[: len(x)] * goes_on[at]
                 after = _step(w, x, h)
                 seen.append((x, h, *after[1:]))
                 outs.append(after[0])
                 h = after[0]
             grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
-            dout = _output_gradients(w, np.concatenate(outs), np.concatenate([y for _, y in steps]), grads)
-            upto = np.cumsum([len(x) for x, _ in steps])
+            scale = scale or np.float32(1 / sum(len(x) for x in outs))
+            dout = _output_gradients(w, np.concatenate(outs), np.concatenate([y for _, y, _ in steps]), grads, scale)
+            upto = np.cumsum([len(x) for x, *_ in steps])
             dx, back = [], np.zeros((0, HIDDEN), np.float32)
             for i in range(len(steps) - 1, -1, -1):
-                x, before, z, r, n, hun = seen[i]
+                x, held, z, r, n, hun = seen[i]
                 dh = dout[upto[i] - len(x) : upto[i]]
                 dh[: len(back)] += back
                 dan = dh * (1 - z) * (1 - n * n)
-                daz = dh * (before - n) * z * (1 - z)
+                daz = dh * (held - n) * z * (1 - z)
                 dar = dan * hun * r * (1 - r)
                 du = np.concatenate([daz, dar, dan * r], axis=1)
-                grads["u"] += before.T @ du
-                back = dh * z + du @ w["u"].T
+                grads["u"] += held.T @ du
+                back = (dh * z + du @ w["u"].T) * goes_on[steps[i][2]]
                 dx.append(np.concatenate([daz, dar, dan], axis=1))
             inputs = np.concatenate([x for x, *_ in reversed(seen)])
             dx = np.concatenate(dx)
@@ -191,18 +216,23 @@ def train_on(w: dict, memory: dict, ids: np.ndarray, first: np.ndarray) -> None:
                 w[k] -= RATE * g / np.sqrt(memory[k])
 
 
-def score_on(w: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def score_on(w: dict, ids: np.ndarray, first: np.ndarray, end: int | None = None) -> np.ndarray:
     """Natural log-probability of each sequence, its state carried from its first to its last token."""
     total = np.zeros(len(first) - 1)
-    for pick, span in sequences(ids, first, SCORE_ROWS, None):
+    if not len(ids):
+        return total
+    begins = np.zeros(len(ids), bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    before = _inputs(ids, begins, end)
+    for pick, span in sequences(first, SCORE_ROWS):
         h = np.zeros((span.shape[1], HIDDEN), np.float32)
-        for _, steps in _windows(ids, span, WINDOW):
+        for steps in _windows(ids, before, span, WINDOW):
             outs = []
-            for x, _ in steps:
+            for x, *_ in steps:
                 h = _step(w, x, h[: len(x)])[0]
                 outs.append(h)
-            lp = log_probabilities(w, np.concatenate(outs), np.concatenate([y for _, y in steps]))
-            sizes = [len(y) for _, y in steps]
+            lp = log_probabilities(w, np.concatenate(outs), np.concatenate([y for _, y, _ in steps]))
+            sizes = [len(y) for _, y, _ in steps]
             rows = np.concatenate([np.arange(k) for k in sizes])
             total[pick[: sizes[0]]] += np.bincount(rows, lp, sizes[0])
     return total
@@ -277,12 +307,13 @@ def _trained(shared, vocabulary):
         w = {k: v.copy() for k, v in like.items()}
         memory = {k: np.full_like(v, 1e-6) for k, v in w.items()}
         find, seen = Lookup(vocabulary.value), 0
+        end = int(find.find(np.array([END]))[0]) % (UNKNOWN + 1)  # -1: among all other words
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 h, first = tokens(batch.column("text").slice(at, 4096))
                 ids = find.find(h)
                 ids[ids < 0] = UNKNOWN
-                train_on(w, memory, ids, first)
+                train_on(w, memory, ids, first, end)
                 seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [flat(w).tobytes()]})
@@ -330,11 +361,12 @@ def _scored(shared, head):
         find = Lookup(hashes)
         logs = np.append(np.log10(counts + 1.0), 0.0)
         ids_of = np.append(ids_of, UNKNOWN)
+        end = int(ids_of[find.find(np.array([END]))[0]])
         for batch in batches:
             h, first = tokens(batch.column("text"))
             at = find.find(h)  # -1 takes the appended values
             ids = ids_of[at]
-            lm = score_on(w, ids, first) / np.log(10)
+            lm = score_on(w, ids, first, end) / np.log(10)
             n = len(first) - 1
             doc = np.repeat(np.arange(n), np.diff(first))
             own = logs[at]

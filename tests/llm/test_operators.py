@@ -298,6 +298,36 @@ def test_gradients(monkeypatch):
             assert abs(abs(numeric) - memory[k].ravel()[at] ** 0.5) < 2e-3 * max(1e-2, abs(numeric)), k
 
 
+def test_training_carries_long_documents_on(monkeypatch):
+    """Each token is trained on after its true predecessor and the state of all tokens before it, as in scoring."""
+    rng = np.random.default_rng(4)
+    sizes = [2500, 3, 1500, 1, 40]
+    ids = rng.integers(0, 200, sum(sizes)).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    ids[first[1:] - 1] = 7  # the end token
+    w = recurrent_lm.new_weights(np.ones(recurrent_lm.CLASSES * recurrent_lm.CLASS_SIZE))
+    monkeypatch.setattr(recurrent_lm, "RATE", 0.0)
+    step = recurrent_lm._step
+
+    def states(run):
+        seen = []
+
+        def spy(w, x, h):
+            seen.extend(zip(x.tolist(), np.round(h.sum(axis=1), 3).tolist(), strict=True))
+            return step(w, x, h)
+
+        monkeypatch.setattr(recurrent_lm, "_step", spy)
+        run()
+        return sorted(seen)
+
+    trained = states(lambda: recurrent_lm.train_on(w, {k: np.ones_like(v) for k, v in w.items()}, ids, first))
+    scored = states(lambda: recurrent_lm.score_on(w, ids, first))
+    before = sorted(x for a, b in zip(first[:-1], first[1:], strict=True) for x in [7, *ids[a : b - 1].tolist()])
+    assert [x for x, _ in trained] == before and sum(h == 0 for _, h in trained) >= len(sizes)
+    assert [x for x, _ in scored] == before
+    assert np.abs(np.array(trained) - np.array(scored)).max() < 2e-3
+
+
 def test_lm_scores(docs):
     out = {r.doc_id: r for r in recurrent_lm.score_documents(docs).collect()}
     toks = {i: [*words(t), None] for i, t in texts().items()}
