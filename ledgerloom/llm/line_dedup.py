@@ -4,60 +4,95 @@ A line's tokens are its distinct shingles of SHINGLE words (the whole line if it
 goes if an earlier line, by document id and then place, has a token set of Jaccard similarity PERCENT / 100
 or more. Lines with equal sets are one class from the start; its first line stands for it.
 
-Tokens are ordered by rarity: corpus counts of BUCKETS hash cells (a table of fixed size) rank them, and
-a token's key is its cell's rank before its hash, so one sort of integers orders by rarity. Two similar
-lines share a token in their prefixes, the first n - ceil(n * PERCENT / 100) + 1 keys. Candidates meet
-on prefix tokens; the length filter and the positional filter (tokens still to come on the shorter
-side) thin them, and the sets decide. First each line meets the earliest line of its tokens, which
-settles groups of copies with one comparison per line; only lines still without a match meet the others.
+Tokens are ordered by rarity: a pass over the corpus counts CELLS hash cells (a table of fixed size), and a
+token's key is its cell's rank before its hash, so one sort of integers orders by rarity. A token that
+makes up more than a cell's usual share of the corpus stands out and comes last; all others are rare alike. Two
+similar lines share a token in their prefixes, the first n - ceil(n * PERCENT / 100) + 1 keys.
+
+Prefix tokens travel once, and only those that recur go on. The length filter and the positional filter
+(tokens still to come on the shorter side) thin the candidates, and the sets decide. First each line
+meets the earliest line of its tokens, which settles groups of copies with one comparison per line; lines
+still without a match meet all others that share a token and lie in a near band of lengths.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import cut, saved
 
 SHINGLE = 5
 PERCENT = 75
-BUCKET_BITS = 15
-BUCKETS = 1 << BUCKET_BITS
+CELL_BITS = 16
+CELLS = 1 << CELL_BITS
+LOW_BITS = (1 << (64 - CELL_BITS)) - 1
 SPACE = "[ \\t-\\r]+"
+WORD = "[^ \\t-\\r]"
+#: A cell with this many times the usual share of the corpus is dealt over several tasks.
+HOT_SHARE = 16
 #: Documents with candidate lines are fetched by a broadcast of their ids up to this many, else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, line_no, h: token hashes) of lines with a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.filter(F.split("line", SPACE), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    hashed = words.withColumn("h1", F.transform("w", lambda w: F.xxhash64(w)))
-    n = F.greatest(F.size("h1") - (SHINGLE - 1), F.lit(0))
-    pair = lambda a, b: F.xxhash64(a, b)
-    hashed = hashed.withColumn("h2", F.zip_with(F.slice("h1", 1, n + 2), F.slice("h1", 2, n + 2), pair))
-    hashed = hashed.withColumn("h4", F.zip_with(F.slice("h2", 1, n), F.slice("h2", 3, n), pair))
-    whole = F.array(F.xxhash64("h1", F.lit(1)))
-    tokens = F.when(F.size("h1") < SHINGLE, whole).otherwise(F.array_distinct(F.zip_with("h4", F.slice("h1", SHINGLE, n), pair)))
-    return hashed.select("doc_id", "line_no", tokens.alias("h"))
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """Rank of each hash cell, rarest first, as an array literal of BUCKETS numbers."""
-    cells = lines.select(F.explode("h").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("cell")).agg(F.count("*").alias("n"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in cells.collect():  # at most BUCKETS rows
+    """docs(doc_id, text) -> (doc_id, line_no, line) of lines with a word."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "line_no", F.array_remove(F.split("line", SPACE), "").alias("w"))
+
+
+def _places() -> Column:
+    """Places in w at which a token starts; a line of fewer words than a shingle has one token."""
+    return F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+
+
+def _token(i: Column) -> Column:
+    """Hash of the words from place i on; places after the last word are null and don't count."""
+    return F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)])
+
+
+def _cell(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
+
+
+def _cells(docs: DataFrame) -> np.ndarray:
+    """Tokens of the corpus in each hash cell."""
+    tokens = _worded(_lines(docs)).select("w", F.explode(_places()).alias("i")).select(_cell(_token(F.col("i"))).alias("cell"))
+    counts = np.zeros(CELLS, np.int64)
+    for r in tokens.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CELLS rows
         counts[r["cell"]] = r["n"]
-    rank = np.empty(BUCKETS, np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
-    return F.lit(rank)
+    return counts
+
+
+def _listed(values: np.ndarray, kind: str) -> Column:
+    """An array literal, handed over as one string that the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
+
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """What changes each cell's number to its rank, rarest first, in the upper bits of a token."""
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    return ((rank ^ np.arange(CELLS, dtype=np.uint64)) << np.uint64(64 - CELL_BITS)).view(np.int64)
 
-def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
-    """(doc_id, line_no, keys): tokens rarest first."""
-    key = lambda h: F.shiftleft(F.element_at(rank, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int") + 1), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
-    return lines.select("doc_id", "line_no", F.sort_array(F.transform("h", key)).alias("keys"))
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Tasks that the tokens of each rank are dealt over: one but for hot cells."""
+    usual = max(1.0, counts.sum() / CELLS) * HOT_SHARE
+    return np.sort(np.maximum(1, np.ceil(counts / usual)).astype(np.int32), kind="stable")
+
+
+def _keyed(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(doc_id, line_no, keys): distinct tokens, rarest first (keys sort as unsigned numbers by their cells' ranks)."""
+    by_cell = _listed(ranks, "bigint")
+    key = lambda h: F.get(by_cell, _cell(h)).bitwiseXOR(h).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order = unsigned order
+    return _worded(lines).select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(F.transform(_places(), _token)), key)).alias("keys"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -65,76 +100,103 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * PERCENT / (100 + PERCENT))
 
 
-def _may_match(n: str, i: str, m: str, j: str) -> Column:
+def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
     """Length filter and positional filter: this token and those after it on either side must do."""
-    n, i, m, j = F.col(n), F.col(i), F.col(m), F.col(j)
     return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n) & (1 + F.least(n - i, m - j) >= _needed(n, m))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Later lines x of pairs(x, y) whose sets are similar."""
-    a = sets.select(F.col("id").alias("x"), F.col("keys").alias("kx"))
-    b = sets.select(F.col("id").alias("y"), F.col("keys").alias("ky"))
+    """Later lines (doc_id, line_no) of pairs (with the earlier line in to_doc, to_line) whose sets are similar."""
+    a = sets.select("doc_id", "line_no", F.col("keys").alias("kx"))
+    b = sets.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("keys").alias("ky"))
     both = F.size(F.array_intersect("kx", "ky"))
-    return pairs.join(a, "x").join(b, "y").where(100 * both >= PERCENT * (F.size("kx") + F.size("ky") - both)).select("x").distinct()
+    near = pairs.join(a, ["doc_id", "line_no"]).join(b, ["to_doc", "to_line"])
+    return near.where(100 * both >= PERCENT * (F.size("kx") + F.size("ky") - both)).select("doc_id", "line_no").distinct()
+
+
+def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
+    """Prefix tokens of several lines: (token, doc_id, line_no, n, i) and the earliest line that has it (to_doc, to_line, m, j).
+
+    A hot token is dealt over several tasks, each with an earliest line of its own; its rows all go on.
+    """
+    rows = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+    share = F.lit(1)
+    if shares.max() > 1:
+        share = F.get(_listed(shares, "int"), F.shiftrightunsigned(F.col("token").bitwiseXOR(F.lit(-(1 << 63))), 64 - CELL_BITS).cast("int"))
+    rows = rows.withColumn("share", share)
+    rows = rows.withColumn("part", F.when(F.col("share") > 1, F.pmod(F.hash("doc_id", "line_no"), F.col("share"))).otherwise(0))
+    of_token = Window.partitionBy("token", "part").orderBy("doc_id", "line_no")
+    upto = of_token.rowsBetween(Window.unboundedPreceding, 0)
+    earliest = F.first(F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))).over(upto)
+    rows = rows.withColumns({"p": earliest, "more": (F.row_number().over(of_token) > 1) | F.lead("n").over(of_token).isNotNull()})
+    return rows.where("more or share > 1").select("token", "doc_id", "line_no", "n", "i", "p.*")
 
 
 def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (classes(doc_id, line_no) of first lines, later(doc_id, line_no) of those with an earlier match)."""
-    lines = _lines(docs)
-    rank = _rarity(lines)
-    keyed = _keyed(lines, rank).withColumn("n", F.size("keys"))
+    counts = _cells(docs)
+    ranks = _ranks(counts)
+    keyed = _keyed(_lines(docs), ranks).withColumn("n", F.size("keys"))
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
     sealed = keyed.select(F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), "n", F.struct("doc_id", "line_no").alias("id"), prefix.alias("prefix"))
-    first = cut(sealed.groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix")).select("id", "n", "prefix"))
-    rows = first.select("id", "n", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    shared = rows.groupBy("token").agg(F.min(F.struct("id", "n", "i")).alias("p"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = cut(rows.join(shared, "token"))
-    star = (
-        met.where((F.col("id") != F.col("p.id")))
-        .select(F.col("id").alias("x"), "n", "i", F.col("p.id").alias("y"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
-        .where(_may_match("n", "i", "m", "j"))
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("shared"))
-        .groupBy("x")
-        .agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
-    )
-    star = cut(star)
-    ids = met.select("id").distinct()
-    wanted = cut(ids.groupBy("id.doc_id").agg(F.collect_set("id.line_no").alias("nos")))
+    first = sealed.groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
+    first = saved(first.select("id.doc_id", "id.line_no", "n", "prefix"))
+    met = saved(_recurring(first, _shares(counts)))
+    line, to = ["doc_id", "line_no"], ["to_doc", "to_line"]
+    near = _may_match(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
+    star = met.where(near & ((F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))))
+    star = star.groupBy(*line, *to).agg(F.count("*").alias("shared")).groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p"))
+    star = saved(star.select(*line, "p.*"))
+    ids = met.select(*line).distinct()
+    wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = _keyed(_lines(texts), rank).select(F.struct("doc_id", "line_no").alias("id"), "keys")
-    sets = cut(sets.join(F.broadcast(ids) if few and ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
+    listed = F.broadcast(wanted) if few else wanted
+    texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    sets = saved(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks))
     settled = cut(_verified(star, sets))
-    late = met.join(settled.withColumnRenamed("x", "id"), "id", "left_anti").select("token", F.col("id").alias("x"), "n", "i")
-    early = met.select("token", F.col("id").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"))
-    pairs = late.join(early, "token").where((F.col("y") < F.col("x")) & _may_match("n", "i", "m", "j")).select("x", "y").distinct()
-    later = settled.union(_verified(pairs.join(star, ["x", "y"], "left_anti"), sets))
-    return first.select("id.*"), later.select("x.*")
+    # lines without a match so far meet the lines of a near band of lengths, each pair once
+    width = math.log(100 / PERCENT)
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / width).cast("int")
+    late = met.join(settled, line, "left_anti").select("token", *line, "n", "i", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
+    early = met.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))
+    before = F.struct(*to) < F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
+    pairs = late.join(early, ["token", "band"]).where(before & near).select(*line, *to).distinct()
+    later = settled.union(_verified(pairs.join(star, [*line, *to], "left_anti"), sets))
+    return first.select(*line), later
+
+
+def _one_per_id(texts: DataFrame) -> DataFrame:
+    """texts(doc_id, text) with one row for each id: where rows share an id, the smallest text."""
+    again = cut(texts.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    if again.isEmpty():
+        return texts
+    return texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document id: doc_id, n_lines, n_removed and kept_lines (places of the lines that stay, in order).
 
     Lines are cut at line feeds. Defined results: null and empty texts have no lines; lines without words
-    are not counted and never removed; rows that share an id are one document whose lines at one place
-    count once; rows whose id is null are left out, as they have no place in the order. Other columns are not looked at.
+    are not counted and never removed; of rows that share an id the smallest text counts (a null
+    only if there is no other); rows whose id is null are left out, as they have no place in the order. Other
+    columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    texts = _one_per_id(texts)
     first, later = find_first_lines(texts)
     kept = first.join(later, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
-    worded = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))).cast("long")
-    sizes = texts.groupBy("doc_id").agg(F.max(worded).alias("n_lines"))
+    sizes = texts.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"))
     return sizes.join(kept, "doc_id", "left").select(
         "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept_lines"), F.lit(0))).alias("n_removed"), F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines")
     )
 
 
 def drop_later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with texts of the lines that stay (and of those without words), joined by line feeds."""
+    """docs with texts of the lines that stay (and of those without words), joined by line feeds.
+
+    Rows whose id is null, and null texts, stay as they are; of rows that share an id each keeps the places
+    that stay in the text that counts.
+    """
     kept = dedup_lines(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("kept_lines").alias("__kept"))
-    lines = F.filter(
-        F.split(F.col(text_col), "\n"), lambda x, i: ~x.rlike("[^ \\t-\\r]") | F.array_contains("__kept", i)
-    )
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~x.rlike(WORD) | F.array_contains("__kept", i))
     return docs.join(kept, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, F.when(F.col("__id").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).drop("__id", "__kept")
