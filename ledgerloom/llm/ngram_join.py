@@ -6,20 +6,22 @@ token sets have a Jaccard similarity of ``percent`` / 100 or more. The join is e
 1. Documents with the same token set form one class at once; the one with the smallest id stands
    for it.
 2. Tokens travel as packed arrays to the task of their hash range, which finds those that occur
-   in two documents or more. A document of which fewer than ``percent`` of the tokens recur
+   in two documents or more; those that recur within a slice of rows are known at once and travel once. What
+   recurs is put together by document, again packed. A document of which fewer than ``percent`` of the tokens recur
    cannot link, whatever the groups are: this is the matrix bound with everything else as one group.
 3. The documents left are partitioned into groups of similar ones, each around the pivot of most of its
    tokens, with which it is compared at once.
 4. The matrix holds, for tokens of several groups, each group's token union. A document's overlap with a
    group's union bounds the overlap with every member: groups below what a link needs are skipped. In
    the groups left, and in its own unless it is of the group's main component, a document is held
-   against all members by their postings, one block of members to a task.
+   against all members of a near size by their postings, one block of askers and one of members to a task.
 
 A group of copies thus costs one comparison per document that its pivot settles, and no pair is a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,31 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textscan as ts
-from ledgerloom.session import cut
+from ledgerloom.session import cut, saved
 
 #: Tokens that one hash range holds, about; the number of ranges grows with the corpus.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 500_000
+#: Ranges are cut by the tokens' upper bits; with at least this many (a byte's values) the first byte needn't travel.
+LEAST_RANGES = 256
 #: Rounds of dropping documents that can't link outside their group, as others have dropped out.
 PRUNE_ROUNDS = 2
-#: Members of a group that one task opens, about; larger groups are split by hash.
+#: Members of a group, and documents asking for it, that one task holds against each other, about.
 BLOCK_MEMBERS = 1000
 
 
-#: Bytes of a token's hash that travel: two documents' sets agree on 48 bits by chance about once in 1e9 pairs.
-TOKEN_BYTES = 6
-
-
-def packed(tokens: np.ndarray) -> np.ndarray:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].copy()
-
-
-def unpacked(data) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :TOKEN_BYTES] = flat
-    return out.reshape(-1).view("<u8")
-
-
 def need(n, percent: int):
     """Tokens that a set of n has to share with any partner."""
     return -(-n * percent // 100)
@@ -62,7 +51,7 @@ def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text; a text of fewer words is one shingle."""
     words = ts.scan(column, ts.SPACED)
     h = words.hashes()
-    w = ts.windows(h, k) >> np.uint64(64 - 8 * TOKEN_BYTES)
+    w = ts.windows(h, k)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= k:
@@ -71,7 +60,7 @@ def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
             fresh[1:] = s[1:] != s[:-1]
             out.append(s[fresh])
         elif b > a:
-            out.append(np.array([ts.whole(h[a:b])], np.uint64) >> np.uint64(64 - 8 * TOKEN_BYTES))
+            out.append(np.array([ts.whole(h[a:b])], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -79,7 +68,7 @@ def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ts.slices(batches):
             sets = token_sets(batch.column("text"), k)
             seal = [
                 (int(np.bitwise_xor.reduce(ts.mix(s)).view(np.int64)), int(np.sum(ts.mix(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64).view(np.int64)))
@@ -100,78 +89,113 @@ def _sizes(k: int):
     return run
 
 
-def _dealt(k: int, ranges: int):
-    """Tokens of a batch by hash range: documents, how many tokens of each, and the tokens."""
+def _rows(key: np.ndarray, ids: np.ndarray, tokens: np.ndarray, width: int) -> dict[int, tuple[bytes, bytes, bytes]]:
+    """Documents' tokens by key, packed: the documents, how many tokens of each, and the tokens' last width bytes."""
+    if not len(key):
+        return {}
+    order = np.lexsort((ids, key))
+    key, ids, tokens = key[order], ids[order], tokens[order]
+    # a run is what one document has under one key
+    cutting = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]))
+    runs = np.diff(np.append(cutting, len(key))).astype(np.uint32)
+    flat = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out = {}
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
+        x, y = np.searchsorted(cutting, (a, b))
+        out[int(key[a])] = (ids[cutting[x:y]].tobytes(), runs[x:y].tobytes(), flat[a:b].tobytes())
+    return out
+
+
+def _dealt(k: int, bits: int):
+    """Tokens by hash range. Those that several documents of a slice of rows have are known to recur: the range
+    hears of them once, and their documents get them at once (under the keys -1 - bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ts.slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             sets = token_sets(batch.column("text"), k)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            if not len(flat):
-                continue
-            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            part = ((flat >> np.uint64(17)) % np.uint64(ranges)).astype(np.uint16 if ranges < 1 << 16 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            flat, doc, part = flat[order], doc[order], part[order]
-            # a run is what one document has in one range
-            cutting = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
-            runs = np.diff(np.concatenate([cutting, [len(flat)]])).astype(np.uint32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            tokens_each = np.diff(np.concatenate([starts, [len(flat)]]))
-            docs_each = np.diff(np.concatenate([np.searchsorted(cutting, starts), [len(cutting)]]))
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            doc = np.repeat(ids, [len(s) for s in sets]).astype(np.int64)
+            order = np.argsort(flat)
+            flat, doc = flat[order], doc[order]
+            fresh = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+            single = fresh & np.append(fresh[1:], True)[: len(flat)]
+            known = flat[fresh & ~single]
+            rows = _rows((flat[single] >> np.uint64(64 - bits)).astype(np.int64), doc[single], flat[single], 7)
+            direct = _rows(-1 - _bucket(doc[~single], bits), doc[~single], flat[~single], 8)
+            marks: dict[int, bytes] = {}
+            part = (known >> np.uint64(64 - bits)).astype(np.int64)
+            for one in np.unique(part).tolist():
+                a, b = np.searchsorted(part, (one, one + 1))
+                marks[one] = known[a:b].tobytes()
+            found = sorted({*rows, *direct, *marks})
+            both = rows | direct
+            packed = [both.get(x, (b"", b"", b"")) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part[starts].astype(np.int64), pa.int64()),
-                    ts.binaries(ids[doc[cutting]].astype(np.int64), docs_each),
-                    ts.binaries(runs, docs_each),
-                    ts.binaries(packed(flat).reshape(-1), tokens_each * TOKEN_BYTES),
-                ],
-                names=["part", "docs", "runs", "tokens"],
+                [pa.array(found, pa.int64()), *[pa.array([x[i] for x in packed], pa.binary()) for i in range(3)], pa.array([marks.get(x, b"") for x in found], pa.binary())],
+                names=["part", "docs", "runs", "tokens", "known"],
             )
 
     return run
 
 
-def _recurring(table: pa.Table) -> pa.Table:
-    """The tokens of one hash range that occur in several documents, by document, with how many."""
+def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Where a document's recurring tokens are put together."""
+    return (ts.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _unpacked(table: pa.Table, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and tokens of packed rows; top is the tokens' first byte where it was left out."""
     ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("docs")])
     runs = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("runs")])
-    tokens = np.concatenate([unpacked(x.as_buffer()) for x in table.column("tokens")])
-    doc = np.repeat(np.arange(len(ids)), runs)
-    order = np.argsort(tokens)
-    tokens, doc = tokens[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    times = np.diff(np.concatenate([first, [len(tokens)]]))
-    df = np.repeat(times, times)
-    keep = df > 1
-    tokens, doc, df = tokens[keep], doc[keep], df[keep]
-    order = np.argsort(doc, kind="stable")
-    tokens, doc, df = tokens[order], doc[order], df[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([first, [len(doc)]]))
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[doc[first]], pa.int64()),
-            "n": pa.array(counts, pa.int64()),
-            "tokens": ts.binaries(packed(tokens).reshape(-1), counts * TOKEN_BYTES),
-            "dfs": ts.binaries(np.minimum(df, 65535).astype(np.uint16), counts),
-        }
-    )
+    data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("tokens")])
+    if top is None:
+        tokens = data.view("<u8")
+    else:
+        wide = np.full((len(data) // 7, 8), top, np.uint8)
+        wide[:, :7] = data.reshape(-1, 7)
+        tokens = wide.reshape(-1).view("<u8")
+    return np.repeat(ids, runs), tokens
+
+
+def _recurring(bits: int):
+    """The tokens of one hash range that occur in several documents, packed by the documents' buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            doc, tokens = _unpacked(table)
+        else:
+            doc, tokens = _unpacked(table, part >> (bits - 8))
+            known = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("known")])
+            order = np.argsort(tokens)
+            doc, tokens = doc[order], tokens[order]
+            again = np.zeros(len(tokens), bool)
+            same = tokens[1:] == tokens[:-1]
+            again[1:] |= same
+            again[:-1] |= same
+            if len(known):
+                known = np.unique(known)
+                again |= known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+            doc, tokens = doc[again], tokens[again]
+        rows = _rows(_bucket(doc, bits), doc, tokens, 8)
+        return pa.table({"bucket": pa.array(list(rows), pa.int64()), **{n: pa.array([x[i] for x in rows.values()], pa.binary()) for i, n in enumerate(("docs", "runs", "tokens"))}})
 
+    return run
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's recurring tokens, rarest first."""
-    for batch in batches:
-        out = []
-        for pieces in batch.column("pieces").to_pylist():
-            t = np.concatenate([unpacked(p["tokens"]) for p in pieces])
-            d = np.concatenate([np.frombuffer(p["dfs"], np.uint16) for p in pieces])
-            t, at = np.unique(t, return_index=True)
-            out.append(t[np.lexsort((t, d[at]))].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_shingles"), pa.array(out, pa.binary())], names=["doc_id", "n", "tokens"]
-        )
+
+def _assembled(table: pa.Table) -> pa.Table:
+    """The recurring tokens of each document of a bucket, sorted."""
+    doc, tokens = _unpacked(table)
+    order = np.lexsort((tokens, doc))
+    doc, tokens = doc[order], tokens[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (tokens[1:] != tokens[:-1])
+    doc, tokens = doc[fresh], tokens[fresh]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(doc)))
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "held": pa.array(counts, pa.int64()), "tokens": ts.binaries(tokens, counts)})
 
 
 def _linked(percent: int):
@@ -320,20 +344,22 @@ def _clusters(sets: DataFrame, percent: int) -> DataFrame:
     main = cut(main)
     own = placed.join(main.hint("merge"), "group").where("comp <> main").select("doc_id", "group")
     asked = cut(own.union(_asked_elsewhere(sets, group, percent)))
-    blocks = main.select("group", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    full = sets.join(label.hint("merge"), "doc_id")
-    wanted = asked.select("group").distinct().join(blocks.hint("merge"), "group")
-    members = (
-        full.join(group.hint("merge"), "doc_id").join(wanted.hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    )
-    queries = asked.join(full.hint("merge"), "doc_id").join(blocks.hint("merge"), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["group", "block", "n", "comp", "tokens"]
-    links = (
-        queries.select(*[F.expr(c).alias(c) for c in columns])
-        .groupBy("group", "block")
-        .cogroup(members.select(*[F.expr(c).alias(c) for c in columns]).groupBy("group", "block"))
-        .applyInArrow(_opened(percent), "x long, to long")
-    )
+    # members lie in blocks of one band of sizes; documents ask, in blocks too, those bands that may hold a partner
+    full = sets.join(label.hint("merge"), "doc_id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    wanted = asked.select("group").distinct()
+    members = full.join(group.hint("merge"), "doc_id").join(wanted.hint("merge"), "group")
+    blocks = cut(members.groupBy("group", "band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")))
+    members = members.join(blocks.hint("merge"), ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    askers = asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("askers"))
+    queries = asked.join(askers.hint("merge"), "group").join(full.hint("merge"), "doc_id").withColumn("asker", F.pmod(F.xxhash64("doc_id"), F.col("askers")).cast("int"))
+    queries = queries.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).join(blocks.hint("merge"), ["group", "band"])
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # each block of members goes to each block of askers of its group that asks this band
+    met = queries.select("group", "band", "block", "asker").distinct()
+    members = members.join(met.hint("merge"), ["group", "band", "block"])
+    keys, columns = ["group", "band", "block", "asker"], ["group", "band", "block", "asker", "n", "comp", "tokens"]
+    dealt = lambda df: df.select(*[F.expr(c).alias(c) for c in columns]).groupBy(*keys)
+    links = dealt(queries).cogroup(dealt(members)).applyInArrow(_opened(percent), "x long, to long")
     return merged(label, cut(links))
 
 
@@ -365,26 +391,25 @@ def near_duplicate_classes(
     n_shingles, a null component and links with nothing. Other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = cut(texts.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, seal_a long, seal_b long"))
+    sizes = saved(texts.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, seal_a long, seal_b long"))
     full = sizes.where("n_shingles > 0 and doc_id is not null")
     total = full.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     seals = ["n_shingles", "seal_a", "seal_b"]
     heads = full.groupBy(*seals).agg(F.min("doc_id").alias("head"))
     one = F.min(F.struct("head", "n_shingles"))
     classes = cut(full.join(heads, seals).groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.n_shingles", "x.head"))
-    ranges = max(12, -(-total // RANGE_TOKENS))
+    bits = max(LEAST_RANGES, total // RANGE_TOKENS).bit_length() - 1
+    packed = "docs binary, runs binary, tokens binary"
     shared = (
         texts.where("doc_id is not null")
-        .mapInArrow(_dealt(shingle, ranges), "part long, docs binary, runs binary, tokens binary")
+        .mapInArrow(_dealt(shingle, bits), f"part long, {packed}, known binary")
         .groupBy("part")
-        .applyInArrow(_recurring, "doc_id long, n long, tokens binary, dfs binary")
+        .applyInArrow(_recurring(bits), f"bucket long, {packed}")
+        .groupBy("bucket")
+        .applyInArrow(_assembled, "doc_id long, held long, tokens binary")
     )
-    held = shared.groupBy("doc_id").agg(F.sum("n").alias("held"), F.collect_list(F.struct("tokens", "dfs")).alias("pieces"))
-    sets = cut(
-        held.join(classes.where("doc_id = head"), "doc_id")
-        .where(F.col("held") * 100 >= F.col("n_shingles") * percent)
-        .select("doc_id", "n_shingles", "pieces")
-        .mapInArrow(_ordered, "doc_id long, n long, tokens binary")
+    sets = saved(
+        shared.join(classes.where("doc_id = head"), "doc_id").where(F.col("held") * 100 >= F.col("n_shingles") * percent).select("doc_id", F.col("n_shingles").alias("n"), "tokens")
     )
     comp = _clusters(sets, percent).select(F.col("doc_id").alias("head"), "comp")
     found = classes.join(comp, "head", "left").select("doc_id", F.coalesce("comp", "head").alias("component_id"))

@@ -8,10 +8,12 @@ byte or decide by ASCII bytes alone, so working on bytes equals working on chara
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text whose hashes are worked out at once; bounds the working memory.
@@ -59,6 +61,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Bytes of text that are scanned at once; a longer text is scanned by itself.
+SLICE = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, in batches of about SLICE bytes of text, so that working memory is bounded."""
+    for batch in batches:
+        if batch.num_rows < 2 or batch.nbytes <= SLICE:
+            yield batch
+            continue
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @dataclass
 class Words:
     """Words of a batch: byte spans, and for each text the range of its words."""
