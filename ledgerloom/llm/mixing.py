@@ -8,11 +8,12 @@ and put in a global order by another hash. The same seed gives the same mixture
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.joins import join_per_key
+from ledgerloom.session import cut
+
 #: Means above this are drawn as the sum of several draws, which is exact and keeps exp(-mean) in range.
 MAX_MEAN = 32.0
 #: Steps of the inverted distribution; a mean of MAX_MEAN passes the last one with probability below 1e-18.
@@ -78,13 +79,12 @@ def mix_sources(
     draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts").cast("int")), lambda part: uniform(F.lit(str(seed)), named, part.cast("string")))
     drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("mix_cdf", lambda c: c < u)))
     base = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_parts", "mix_cdf")
-    joined = base.join(steps, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("mix_source"))
+    named_source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    joined = join_per_key(base.withColumn("mix_source", named_source), cut(steps), ["mix_source"], [id_col])
     copied = joined.withColumn("mix_copies", drawn).where("mix_copies > 0").drop("mix_source", "mix_parts", "mix_cdf")
     copied = copied.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), named, F.col("mix_copy").cast("string")))
-    return copied.withColumn("mix_key", key).orderBy("mix_key")
-
-
-def largest_possible(mean: float) -> int:
-    """Copies that a document of this mean can get at most (every draw ends at STEPS)."""
-    return max(1, math.ceil(mean / MAX_MEAN)) * (STEPS + 1)
+    # keys are evenly spread, so that ranges of a fixed width need no sample of them
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int")
+    return copied.withColumn("mix_key", key).repartitionById(ranges, place).sortWithinPartitions("mix_key")
