@@ -1,9 +1,9 @@
 """Quality rules: fixed base limits, then robust multivariate outliers, with DataFrame functions only.
 
 Each document has a vector of transformed statistics (FEATURES). For every language and source the
-minimum-covariance-determinant estimate is found by concentration steps: the CORE share of documents
-nearest to the present centre gives the next mean and covariance. The first distances are taken from
-the medians. Covariances get a floor per statistic (FLOORS), as most documents have none of some
+minimum-covariance-determinant estimate is found by concentration steps from several starts: the CORE share of
+documents nearest to the present centre gives the next mean and covariance, until the determinant gets no smaller;
+the start that ends at the least determinant is taken. Covariances get a floor per statistic (FLOORS), as most documents have none of some
 statistic and a plain covariance would be singular. Documents farther than CUTOFF are rejected.
 
 Order statistics come from histograms with bounded numbers of bins, so no group, however large,
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.session import cut
+from ledgerloom.llm.joins import join_per_key
+from ledgerloom.session import cut, saved
 
 SPACE = "[ \\t-\\r]"
 SYMBOLS = "[^#*$%&|<>]+"
@@ -30,10 +31,14 @@ FLOORS = {"word_length": 0.35, "symbols": 0.08, "dup_lines": 0.12, "repeats": 0.
 #: Share of a group's documents that the estimate rests on, the steps taken to find them, and the
 #: factor that makes the covariance of the nearest three quarters consistent in four dimensions.
 CORE = 0.75
-STEPS = 3
+MAX_STEPS = 20
 CONSISTENCY = 1.485
 #: Squared distance beyond which a document goes: chi-square with 4 degrees exceeds it once in 2e7.
 CUTOFF = 40.0
+#: Sums are of whole numbers of a floor's GRAIN-th part, so that they don't depend on the order of adding.
+GRAIN = 256
+#: Quartiles of a normal distribution lie this many standard deviations apart.
+NORMAL_QUARTILES = 1.349
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -111,14 +116,24 @@ def _squared_distance() -> Column:
     return total
 
 
-def _with_inverse_factor(moments: DataFrame) -> DataFrame:
-    """moments has n, s_x and s_x_y sums; adds the centre and the inverse of the covariance's factor."""
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of the features in whole units of a floor's GRAIN-th part, which add up exactly."""
+    whole = {x: F.round(F.col(x) * (GRAIN / FLOORS[x])).cast("long") for x in FEATURES}
+    exact = lambda c: F.sum(c.cast("decimal(28,0)"))
+    products = [exact(whole[y] * whole[x]).alias(f"s_{y}_{x}") for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]]
+    return [F.count("*").alias("n"), *[exact(whole[x]).alias(f"s_{x}") for x in FEATURES], *products]
+
+
+def _estimate(moments: DataFrame) -> DataFrame:
+    """moments has _sums(); adds the centre, the inverse of the covariance's factor and the covariance's log determinant."""
     k = len(FEATURES)
-    out = moments.withColumns({f"m_{x}": F.col(f"s_{x}") / F.col("n") for x in FEATURES})
+    mean = lambda name: F.col(name).cast("double") / F.col("n")
+    out = moments.withColumns({f"m_{x}": mean(f"s_{x}") * (FLOORS[x] / GRAIN) for x in FEATURES})
     cov = {}
     for i, x in enumerate(FEATURES):
         for j, y in enumerate(FEATURES[: i + 1]):
-            c = (F.col(f"s_{y}_{x}") / F.col("n") - F.col(f"m_{x}") * F.col(f"m_{y}")) * CONSISTENCY
+            unit = FLOORS[x] / GRAIN * FLOORS[y] / GRAIN
+            c = (mean(f"s_{y}_{x}") * unit - F.col(f"m_{x}") * F.col(f"m_{y}")) * CONSISTENCY
             cov[f"c{i}_{j}"] = c + (FLOORS[x] ** 2 if i == j else 0.0)
     out = out.withColumns(cov)
     for i in range(k):  # rows of the factor, then of its inverse
@@ -136,34 +151,59 @@ def _with_inverse_factor(moments: DataFrame) -> DataFrame:
                 for p in range(j, i):
                     total = total + F.col(f"l{i}_{p}") * F.col(f"i{p}_{j}")
                 out = out.withColumn(f"i{i}_{j}", -total / F.col(f"l{i}_{i}"))
-    return out
+    log_det = F.lit(0.0)
+    for i in range(k):
+        log_det = log_det + 2 * F.log(F.col(f"l{i}_{i}"))
+    return out.withColumn("log_det", log_det)
+
+
+MODEL = [*(f"m_{x}" for x in FEATURES), *(f"i{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1))]
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """(g, start, MODEL): for each group its medians with the floors as spread (0), its medians with the spread of its
+    quartiles (1), and the mean and covariance of all its rows (2)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("f"), F.round(F.col(x) / (FLOORS[x] / 100)).cast("long").alias("bin")) for x in FEATURES]))
+    binned = cut(stats.select("g", pairs.alias("p")).groupBy("g", "p.f", "p.bin").agg(F.count("*").alias("n")))
+    at = {
+        share: _at_share(binned, ["g", "f"], share).groupBy("g").pivot("f", list(FEATURES)).agg(F.first("bin")).select("g", *[(F.col(x) * (FLOORS[x] / 100)).alias(f"q{int(share * 100)}_{x}") for x in FEATURES])
+        for share in (0.25, 0.5, 0.75)
+    }
+    quartiles = at[0.25].join(at[0.5], "g").join(at[0.75], "g")
+    medians = [F.col(f"q50_{x}").alias(f"m_{x}") for x in FEATURES]
+
+    def factor(spread: dict[str, Column]) -> list[Column]:
+        return [(1.0 / spread[FEATURES[i]] if i == j else F.lit(0.0)).alias(f"i{i}_{j}") for i in range(len(FEATURES)) for j in range(i + 1)]
+
+    floors = {x: F.lit(FLOORS[x]) for x in FEATURES}
+    between = {x: (F.col(f"q75_{x}") - F.col(f"q25_{x}")) / NORMAL_QUARTILES + FLOORS[x] for x in FEATURES}
+    by_medians = quartiles.select("g", F.lit(0).alias("start"), *medians, *factor(floors)).union(quartiles.select("g", F.lit(1).alias("start"), *medians, *factor(between)))
+    return by_medians.union(_estimate(stats.groupBy("g").agg(*_sums())).select("g", F.lit(2).alias("start"), *MODEL))
 
 
 def robust_distances(stats: DataFrame, keys: list[str]) -> DataFrame:
     """stats(keys, FEATURES, ...) with squared_distance from its group's robust centre.
 
-    A group of one document, or of equal ones, has distance 0.
+    The estimate with the least determinant is taken, of those at which the concentration steps from each start
+    end. A group of one document, or of equal ones, has distance 0; of estimates with equal determinants
+    the one of the first start counts.
     """
-    wanted = ["g", *(f"m_{x}" for x in FEATURES), *(f"i{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1))]
     stats = stats.withColumn("g", F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]))
-    # medians to a hundredth of the floor
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("f"), F.round(F.col(x) / (FLOORS[x] / 100)).cast("long").alias("bin")) for x in FEATURES]))
-    binned = stats.select("g", pairs.alias("p")).groupBy("g", "p.f", "p.bin").agg(F.count("*").alias("n"))
-    medians = _at_share(binned, ["g", "f"], 0.5).groupBy("g").pivot("f", list(FEATURES)).agg(F.first("bin"))
-    start = medians.select(
-        "g",
-        *[(F.col(x) * (FLOORS[x] / 100)).alias(f"m_{x}") for x in FEATURES],
-        *[F.lit(1.0 / FLOORS[FEATURES[i]] if i == j else 0.0).alias(f"i{i}_{j}") for i in range(len(FEATURES)) for j in range(i + 1)],
-    )
-    model = cut(start)
-    for _ in range(STEPS):
-        near = stats.join(model, "g").withColumn("bin", F.floor(F.log(_squared_distance() + 1e-6) * 32))
-        limit = _at_share(near.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], CORE).withColumnRenamed("bin", "limit")
-        core = near.join(limit, "g").where("bin <= limit")
-        sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in FEATURES]]
-        sums += [F.sum(F.col(y) * F.col(x)).alias(f"s_{y}_{x}") for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]]
-        model = cut(_with_inverse_factor(core.groupBy("g").agg(*sums)).select(*wanted))
-    return stats.join(model, "g").withColumn("squared_distance", _squared_distance()).drop(*wanted)
+    model = cut(_starts(stats).withColumn("log_det", F.lit(None).cast("double")))
+    for _ in range(MAX_STEPS):
+        near = join_per_key(stats, model.drop("log_det"), ["g"], list(FEATURES)).withColumn("bin", F.floor(F.log(_squared_distance() + 1e-6) * 32))
+        limit = cut(_at_share(near.groupBy("g", "start", "bin").agg(F.count("*").alias("n")), ["g", "start"], CORE).withColumnRenamed("bin", "limit"))
+        core = join_per_key(near, limit, ["g", "start"], list(FEATURES)).where("bin <= limit")
+        found = _estimate(core.groupBy("g", "start").agg(*_sums())).select("g", "start", *MODEL, "log_det")
+        found = cut(found.join(model.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]))
+        # a start is done when a step no longer makes its determinant smaller
+        moved = found.where("was is null or log_det < was - 1e-9")
+        model = found.drop("was")
+        if moved.isEmpty():
+            break
+    least = Window.partitionBy("g").orderBy("log_det", "start")
+    best = cut(model.withColumn("place", F.row_number().over(least)).where("place = 1").select("g", *MODEL))
+    return join_per_key(stats, best, ["g"], list(FEATURES)).withColumn("squared_distance", _squared_distance()).drop("g", *MODEL)
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -176,7 +216,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = cut(text_statistics(rows).withColumn("base_failed", failed))
+    stats = saved(text_statistics(rows).withColumn("base_failed", failed))
     measured = robust_distances(stats.where("not base_failed").withColumns(_features()), ["lang", "source"])
     columns = ["doc_id", *STATS, "base_failed"]
     passed = measured.select(*columns, "squared_distance", (F.col("squared_distance") <= CUTOFF).alias("kept"))
