@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
 from ledgerloom.llm.html_text import extract_main_text
@@ -97,7 +96,6 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 

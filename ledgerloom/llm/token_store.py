@@ -13,7 +13,6 @@ decoded. Spark does all file access, so the folder may be in any store that Spar
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import shared_dir
+from ledgerloom.session import new_folder
 
 #: Bits of an id on each level (8-bit cells); the sum covers every 32-bit id.
 CHUNK_BITS = (8, 8, 8, 8)
@@ -331,5 +330,5 @@ def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFra
 
 
 def new_store_path(spark: SparkSession) -> str:
-    """A fresh folder in the shared place."""
-    return f"{shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
+    """A fresh folder in the shared place; it goes when Python ends."""
+    return new_folder(spark, "token-store")

@@ -56,9 +56,7 @@ def test_stages(spark, tmp_path):
         return any(tuple(w[j : j + 10]) in windows for j in range(len(w) - 9))
 
     assert {r.doc_id for r in kept[2]} == {r.doc_id for r in kept[1] if not hit(r.text)}
-    assert {r.doc_id // corpus_pipeline.COPY_STRIDE for r in kept[3]} <= {r.doc_id for r in kept[2]}
-    texts = {r.doc_id: r.text for r in kept[2]}
-    assert all(r.text == texts[r.doc_id // corpus_pipeline.COPY_STRIDE] for r in kept[3])
+    assert {r.text for r in kept[3]} <= {r.text for r in kept[2]} and len({r.doc_id for r in kept[3]}) == len(kept[3]) > 100
     assert sorted(r.doc_id for r in kept[4]) == sorted(r.doc_id for r in kept[3])
     ordered = sorted(kept[4], key=lambda r: r.doc_id)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:], strict=False))
