@@ -31,7 +31,9 @@ FLOORS = {"word_length": 0.35, "symbols": 0.08, "dup_lines": 0.12, "repeats": 0.
 #: Share of a group's documents that the estimate rests on, the steps taken to find them, and the
 #: factor that makes the covariance of the nearest three quarters consistent in four dimensions.
 CORE = 0.75
-MAX_STEPS = 20
+MAX_STEPS = 12
+#: Gain in the log determinant under which a start has settled.
+LEAST_GAIN = 1e-4
 CONSISTENCY = 1.485
 #: Squared distance beyond which a document goes: chi-square with 4 degrees exceeds it once in 2e7.
 CUTOFF = 40.0
@@ -189,17 +191,19 @@ def robust_distances(stats: DataFrame, keys: list[str]) -> DataFrame:
     the one of the first start counts.
     """
     stats = stats.withColumn("g", F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]))
-    model = cut(_starts(stats).withColumn("log_det", F.lit(None).cast("double")))
+    model = cut(_starts(stats).withColumns({"log_det": F.lit(None).cast("double"), "done": F.lit(False)}))
     for _ in range(MAX_STEPS):
-        near = join_per_key(stats, model.drop("log_det"), ["g"], list(FEATURES)).withColumn("bin", F.floor(F.log(_squared_distance() + 1e-6) * 32))
+        active = model.where("not done")
+        near = join_per_key(stats, active.drop("log_det", "done"), ["g"], list(FEATURES)).withColumn("bin", F.floor(F.log(_squared_distance() + 1e-6) * 32))
         limit = cut(_at_share(near.groupBy("g", "start", "bin").agg(F.count("*").alias("n")), ["g", "start"], CORE).withColumnRenamed("bin", "limit"))
         core = join_per_key(near, limit, ["g", "start"], list(FEATURES)).where("bin <= limit")
         found = _estimate(core.groupBy("g", "start").agg(*_sums())).select("g", "start", *MODEL, "log_det")
-        found = cut(found.join(model.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]))
-        # a start is done when a step no longer makes its determinant smaller
-        moved = found.where("was is null or log_det < was - 1e-9")
-        model = found.drop("was")
-        if moved.isEmpty():
+        # a start is done, with the estimate it has, when a step no longer makes its determinant smaller
+        both = active.alias("old").join(found.alias("new"), ["g", "start"])
+        better = F.col("old.log_det").isNull() | (F.col("new.log_det") < F.col("old.log_det") - LEAST_GAIN)
+        taken = both.select("g", "start", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in [*MODEL, "log_det"]], (~better).alias("done"))
+        model = cut(model.where("done").union(taken))
+        if model.where("not done").isEmpty():
             break
     least = Window.partitionBy("g").orderBy("log_det", "start")
     best = cut(model.withColumn("place", F.row_number().over(least)).where("place = 1").select("g", *MODEL))
