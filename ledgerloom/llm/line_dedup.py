@@ -34,8 +34,8 @@ SPACE = "[ \\t-\\r]+"
 WORD = "[^ \\t-\\r]"
 #: A cell with this many times the usual share of the corpus is dealt over several tasks.
 HOT_SHARE = 16
-#: Documents with candidate lines are fetched by a broadcast of their ids up to this many, else by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids of candidate lines, and pairs, are broadcast up to this many rows, else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def _token(i: Column) -> Column:
 
 
 def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
+    return F.shiftrightunsigned(h, 64 - CELL_BITS)
 
 
 def _cells(docs: DataFrame) -> np.ndarray:
@@ -76,10 +76,10 @@ def _listed(values: np.ndarray, kind: str) -> Column:
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
-    """What changes each cell's number to its rank, rarest first, in the upper bits of a token."""
+    """What changes each cell's number to its rank, rarest first, in the upper bits of a token (the sign turned round)."""
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    return ((rank ^ np.arange(CELLS, dtype=np.uint64)) << np.uint64(64 - CELL_BITS)).view(np.int64)
+    return ((rank ^ np.arange(CELLS, dtype=np.uint64) ^ np.uint64(CELLS >> 1)) << np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -89,9 +89,9 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 
 
 def _keyed(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, line_no, keys): distinct tokens, rarest first (keys sort as unsigned numbers by their cells' ranks)."""
+    """(doc_id, line_no, keys): distinct tokens, rarest first."""
     by_cell = _listed(ranks, "bigint")
-    key = lambda h: F.get(by_cell, _cell(h)).bitwiseXOR(h).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order = unsigned order
+    key = lambda h: F.get(by_cell, _cell(h)).bitwiseXOR(h)
     return _worded(lines).select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(F.transform(_places(), _token)), key)).alias("keys"))
 
 
@@ -107,29 +107,43 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Later lines (doc_id, line_no) of pairs (with the earlier line in to_doc, to_line) whose sets are similar."""
-    a = sets.select("doc_id", "line_no", F.col("keys").alias("kx"))
-    b = sets.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("keys").alias("ky"))
+    pairs = saved(pairs)
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    a = sets.select("doc_id", "line_no", F.col("keys").alias("kx")).join(few(pairs), ["doc_id", "line_no"])
+    b = sets.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("keys").alias("ky")).join(few(pairs), ["to_doc", "to_line"])
     both = F.size(F.array_intersect("kx", "ky"))
-    near = pairs.join(a, ["doc_id", "line_no"]).join(b, ["to_doc", "to_line"])
+    near = a.join(b, ["doc_id", "line_no", "to_doc", "to_line"])
     return near.where(100 * both >= PERCENT * (F.size("kx") + F.size("ky") - both)).select("doc_id", "line_no").distinct()
 
 
 def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
-    """Prefix tokens of several lines: (token, doc_id, line_no, n, i) and the earliest line that has it (to_doc, to_line, m, j).
+    """Prefix tokens that may make a pair: (token, doc_id, line_no, n, i), the earliest line that has the token (to_doc,
+    to_line, m, j), and whether more than two lines have it (many).
 
     A hot token is dealt over several tasks, each with an earliest line of its own; its rows all go on.
     """
-    rows = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    share = F.lit(1)
+    pack = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1)  # one number to shuffle
+    rows = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "token")).select("token", "doc_id", "line_no", pack.alias("ni"))
+    keys, hot = ["token"], F.lit(False)
     if shares.max() > 1:
-        share = F.get(_listed(shares, "int"), F.shiftrightunsigned(F.col("token").bitwiseXOR(F.lit(-(1 << 63))), 64 - CELL_BITS).cast("int"))
-    rows = rows.withColumn("share", share)
-    rows = rows.withColumn("part", F.when(F.col("share") > 1, F.pmod(F.hash("doc_id", "line_no"), F.col("share"))).otherwise(0))
-    of_token = Window.partitionBy("token", "part").orderBy("doc_id", "line_no")
+        share = F.get(_listed(shares, "int"), _cell(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
+        rows = rows.withColumn("part", F.when(share > 1, F.pmod(F.hash("doc_id", "line_no"), share)).otherwise(0))
+        keys, hot = ["token", "part"], share > 1
+    of_token = Window.partitionBy(*keys).orderBy("doc_id", "line_no")
     upto = of_token.rowsBetween(Window.unboundedPreceding, 0)
-    earliest = F.first(F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))).over(upto)
-    rows = rows.withColumns({"p": earliest, "more": (F.row_number().over(of_token) > 1) | F.lead("n").over(of_token).isNotNull()})
-    return rows.where("more or share > 1").select("token", "doc_id", "line_no", "n", "i", "p.*")
+    place, next_one, one_after = F.row_number().over(of_token), F.lead("ni").over(of_token), F.lead("ni", 2).over(of_token)
+    rows = rows.withColumns({"p": F.first(F.struct("doc_id", "line_no", "ni")).over(upto), "place": place, "next": next_one, "after": one_after})
+    rows = rows.where(F.col("next").isNotNull() | (F.col("place") > 1) | hot)
+    many = F.when(F.col("place") == 1, F.col("after").isNotNull()).when(F.col("place") == 2, F.col("next").isNotNull()).otherwise(True)
+    n, i = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    rows = rows.withColumn("many", many | hot)
+    met = rows.select(
+        "token", "doc_id", "line_no", n(F.col("ni")).alias("n"), i(F.col("ni")).alias("i"), F.col("p.doc_id").alias("to_doc"), F.col("p.line_no").alias("to_line"),
+        n(F.col("p.ni")).alias("m"), i(F.col("p.ni")).alias("j"), "many", F.coalesce(_may_match(n(F.col("ni")), i(F.col("ni")), n(F.col("next")), i(F.col("next"))), F.lit(False)).alias("ahead"),
+    )
+    # of two lines that share a token, neither goes on if they can't be similar
+    behind = _may_match(*map(F.col, "nimj")) & ((F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line")))
+    return met.where(F.col("many") | F.col("ahead") | behind).drop("ahead")
 
 
 def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,24 +158,26 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = saved(_recurring(first, _shares(counts)))
     line, to = ["doc_id", "line_no"], ["to_doc", "to_line"]
     near = _may_match(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
-    star = met.where(near & ((F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))))
-    star = star.groupBy(*line, *to).agg(F.count("*").alias("shared")).groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p"))
-    star = saved(star.select(*line, "p.*"))
+    found = met.where(near & ((F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))))
+    found = saved(found.groupBy(*line, *to).agg(F.count("*").alias("shared")))
+    star = found.groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p")).select(*line, "p.*")
     ids = met.select(*line).distinct()
     wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
-    few = wanted.count() <= BROADCAST_IDS
-    listed = F.broadcast(wanted) if few else wanted
+    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     sets = saved(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks))
     settled = cut(_verified(star, sets))
-    # lines without a match so far meet the lines of a near band of lengths, each pair once
+    # lines without a match so far meet the other earliest lines of their tokens, and of tokens of more lines those of a
+    # near band of lengths
     width = math.log(100 / PERCENT)
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / width).cast("int")
-    late = met.join(settled, line, "left_anti").select("token", *line, "n", "i", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
-    early = met.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))
+    many = met.where("many")
+    late = many.join(settled, line, "left_anti").select("token", *line, "n", "i", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
+    early = many.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))
     before = F.struct(*to) < F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
-    pairs = late.join(early, ["token", "band"]).where(before & near).select(*line, *to).distinct()
-    later = settled.union(_verified(pairs.join(star, [*line, *to], "left_anti"), sets))
+    pairs = late.join(early, ["token", "band"]).where(before & near).select(*line, *to)
+    pairs = pairs.union(found.join(settled, line, "left_anti").select(*line, *to)).distinct().join(star, [*line, *to], "left_anti")
+    later = settled.union(_verified(pairs, sets))
     return first.select(*line), later
 
 
