@@ -4,10 +4,9 @@ A line's tokens are its distinct shingles of SHINGLE words (the whole line if it
 goes if an earlier line, by document id and then place, has a token set of Jaccard similarity PERCENT / 100
 or more. Lines with equal sets are one class from the start; its first line stands for it.
 
-Tokens are ordered by rarity: a pass over the corpus counts CELLS hash cells (a table of fixed size), and a
-token's key is its cell's rank before its hash, so one sort of integers orders by rarity. A token that
-makes up more than a cell's usual share of the corpus stands out and comes last; all others are rare alike. Two
-similar lines share a token in their prefixes, the first n - ceil(n * PERCENT / 100) + 1 keys.
+Tokens are ordered by rarity: one pass over the corpus finds the FREQUENT most frequent tokens with their counts
+(a sketch of a fixed size), which come last, the most frequent at the end; all others are rare alike and ordered by
+hash. Two similar lines share a token in their prefixes, the first n - ceil(n * PERCENT / 100) + 1 tokens.
 
 Prefix tokens travel once, and only those that recur go on. The length filter and the positional filter
 (tokens still to come on the shorter side) thin the candidates, and the sets decide. First each line
@@ -19,7 +18,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +25,12 @@ from ledgerloom.session import cut, saved
 
 SHINGLE = 5
 PERCENT = 75
-CELL_BITS = 16
-CELLS = 1 << CELL_BITS
-LOW_BITS = (1 << (64 - CELL_BITS)) - 1
+#: Tokens that come last in the order, and those that the sketch keeps track of to find them.
+FREQUENT, TRACKED = 256, 16_384
 SPACE = "[ \\t-\\r]+"
 WORD = "[^ \\t-\\r]"
-#: A cell with this many times the usual share of the corpus is dealt over several tasks.
-HOT_SHARE = 16
+#: Rows of a frequent token are dealt over several tasks, one for each such share of all tokens.
+HOT_SHARE = 1 / 4096
 #: Ids of candidate lines, and pairs, are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,46 +50,28 @@ def _places() -> Column:
 
 
 def _token(i: Column) -> Column:
-    """Hash of the words from place i on; places after the last word are null and don't count."""
-    return F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)])
+    """Hash of the words from place i on, as many as there are up to SHINGLE."""
+    return F.xxhash64(F.slice("w", i + 1, SHINGLE))
 
 
-def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CELL_BITS)
+def _frequent(docs: DataFrame) -> tuple[list[int], list[int]]:
+    """The most frequent tokens of the corpus, rarest first, and over how many tasks the rows of each are dealt."""
+    tokens = _worded(_lines(docs)).select("w", F.explode(_places()).alias("i")).select(_token(F.col("i")).alias("token"))
+    r = tokens.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(token, {FREQUENT}, {TRACKED})").alias("top")).first()
+    top = sorted((x["count"], x["item"]) for x in r["top"] or ())
+    return [t for _, t in top], [math.ceil(c / max(1.0, r["n"] * HOT_SHARE)) for c, _ in top]
 
 
-def _cells(docs: DataFrame) -> np.ndarray:
-    """Tokens of the corpus in each hash cell."""
-    tokens = _worded(_lines(docs)).select("w", F.explode(_places()).alias("i")).select(_cell(_token(F.col("i"))).alias("cell"))
-    counts = np.zeros(CELLS, np.int64)
-    for r in tokens.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CELLS rows
-        counts[r["cell"]] = r["n"]
-    return counts
-
-
-def _listed(values: np.ndarray, kind: str) -> Column:
+def _listed(values: list[int], kind: str) -> Column:
     """An array literal, handed over as one string that the optimizer folds."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
-
-
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """What changes each cell's number to its rank, rarest first, in the upper bits of a token (the sign turned round)."""
-    rank = np.empty(CELLS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    return ((rank ^ np.arange(CELLS, dtype=np.uint64) ^ np.uint64(CELLS >> 1)) << np.uint64(64 - CELL_BITS)).view(np.int64)
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def _shares(counts: np.ndarray) -> np.ndarray:
-    """Tasks that the tokens of each rank are dealt over: one but for hot cells."""
-    usual = max(1.0, counts.sum() / CELLS) * HOT_SHARE
-    return np.sort(np.maximum(1, np.ceil(counts / usual)).astype(np.int32), kind="stable")
-
-
-def _keyed(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
+def _keyed(lines: DataFrame, frequent: list[int]) -> DataFrame:
     """(doc_id, line_no, keys): distinct tokens, rarest first."""
-    by_cell = _listed(ranks, "bigint")
-    key = lambda h: F.get(by_cell, _cell(h)).bitwiseXOR(h)
-    return _worded(lines).select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(F.transform(_places(), _token)), key)).alias("keys"))
+    last = _listed(frequent, "bigint")
+    tokens = _worded(lines).select("doc_id", "line_no", F.transform(_places(), _token).alias("h"))
+    return tokens.select("doc_id", "line_no", F.concat(F.sort_array(F.array_except("h", last)), F.array_intersect(last, F.col("h"))).alias("keys"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -116,7 +95,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.where(100 * both >= PERCENT * (F.size("kx") + F.size("ky") - both)).select("doc_id", "line_no").distinct()
 
 
-def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
+def _recurring(first: DataFrame, frequent: list[int], shares: list[int]) -> DataFrame:
     """Prefix tokens that may make a pair: (token, doc_id, line_no, n, i), the earliest line that has the token (to_doc,
     to_line, m, j), and whether more than two lines have it (many).
 
@@ -125,8 +104,8 @@ def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
     pack = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + 1)  # one number to shuffle
     rows = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "token")).select("token", "doc_id", "line_no", pack.alias("ni"))
     keys, hot = ["token"], F.lit(False)
-    if shares.max() > 1:
-        share = F.get(_listed(shares, "int"), _cell(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
+    if max(shares, default=1) > 1:
+        share = F.coalesce(F.get(_listed(shares, "int"), F.array_position(_listed(frequent, "bigint"), F.col("token")).cast("int") - 1), F.lit(1))
         rows = rows.withColumn("part", F.when(share > 1, F.pmod(F.hash("doc_id", "line_no"), share)).otherwise(0))
         keys, hot = ["token", "part"], share > 1
     of_token = Window.partitionBy(*keys).orderBy("doc_id", "line_no")
@@ -148,24 +127,31 @@ def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
 
 def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (classes(doc_id, line_no) of first lines, later(doc_id, line_no) of those with an earlier match)."""
-    counts = _cells(docs)
-    ranks = _ranks(counts)
-    keyed = _keyed(_lines(docs), ranks).withColumn("n", F.size("keys"))
+    frequent, shares = _frequent(docs)
+    keyed = _keyed(_lines(docs), frequent).withColumn("n", F.size("keys"))
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
     sealed = keyed.select(F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), "n", F.struct("doc_id", "line_no").alias("id"), prefix.alias("prefix"))
     first = sealed.groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
     first = saved(first.select("id.doc_id", "id.line_no", "n", "prefix"))
-    met = saved(_recurring(first, _shares(counts)))
+    met = saved(_recurring(first, frequent, shares))
     line, to = ["doc_id", "line_no"], ["to_doc", "to_line"]
     near = _may_match(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
-    found = met.where(near & ((F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))))
-    found = saved(found.groupBy(*line, *to).agg(F.count("*").alias("shared")))
+    other = (F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))
+
+    def pairs_of(tokens: DataFrame) -> DataFrame:
+        """Pairs by their shared prefix tokens: these and what may come after the last of them must do."""
+        pairs = tokens.groupBy(*line, *to).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.max("i").alias("i"), F.first("m").alias("m"), F.max("j").alias("j"))
+        enough = F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed(F.col("n"), F.col("m"))
+        return pairs.where(enough).select(*line, *to, "shared")
+
+    own = ["token", *line, "n", "i", *to, "m", "j"]
+    found = saved(met.where(near & other).groupBy(*line, *to).agg(F.count("*").alias("shared")))
     star = found.groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p")).select(*line, "p.*")
     ids = met.select(*line).distinct()
     wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = saved(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks))
+    sets = saved(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), frequent))
     settled = cut(_verified(star, sets))
     # lines without a match so far meet the other earliest lines of their tokens, and of tokens of more lines those of a
     # near band of lengths
@@ -175,8 +161,9 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     late = many.join(settled, line, "left_anti").select("token", *line, "n", "i", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
     early = many.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))
     before = F.struct(*to) < F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
-    pairs = late.join(early, ["token", "band"]).where(before & near).select(*line, *to)
-    pairs = pairs.union(found.join(settled, line, "left_anti").select(*line, *to)).distinct().join(star, [*line, *to], "left_anti")
+    tokens = late.join(early, ["token", "band"]).where(before & near).select(*own)
+    tokens = tokens.union(met.where(~F.col("many") & near & other).join(settled, line, "left_anti").select(*own))
+    pairs = pairs_of(tokens).drop("shared").join(star, [*line, *to], "left_anti")
     later = settled.union(_verified(pairs, sets))
     return first.select(*line), later
 
