@@ -89,21 +89,39 @@ def _sizes(k: int):
     return run
 
 
+def _steps(ids: np.ndarray) -> bytes:
+    """Ascending ids: the first, then the steps between them in as few bytes as the largest needs."""
+    gaps = np.diff(ids).view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(gaps) or int(gaps.max()) < 1 << 8 * w)
+    return ids[:1].tobytes() + gaps.astype(f"<u{width}").tobytes()
+
+
+def _from_steps(data, n: int) -> np.ndarray:
+    """The n ids of _steps()."""
+    first = np.frombuffer(data, np.int64, 1)
+    if n == 1:
+        return first
+    gaps = np.frombuffer(data, f"<u{(len(data) - 8) // (n - 1)}", offset=8).astype(np.uint64).view(np.int64)
+    return np.concatenate([first, first + np.cumsum(gaps)])
+
+
 def _rows(key: np.ndarray, ids: np.ndarray, tokens: np.ndarray, width: int) -> dict[int, tuple[bytes, bytes, bytes]]:
     """Documents' tokens by key, packed: the documents, how many tokens of each, and the tokens' last width bytes."""
     if not len(key):
         return {}
     order = np.lexsort((ids, key))
     key, ids, tokens = key[order], ids[order], tokens[order]
-    # a run is what one document has under one key
-    cutting = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]))
-    runs = np.diff(np.append(cutting, len(key))).astype(np.uint32)
+    # a run is what one document has under one key, up to 255 tokens
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+    cutting = np.flatnonzero((np.arange(len(key)) - begin) % 255 == 0)
+    runs = np.diff(np.append(cutting, len(key))).astype(np.uint8)
     flat = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     out = {}
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
         x, y = np.searchsorted(cutting, (a, b))
-        out[int(key[a])] = (ids[cutting[x:y]].tobytes(), runs[x:y].tobytes(), flat[a:b].tobytes())
+        out[int(key[a])] = (_steps(ids[cutting[x:y]]), runs[x:y].tobytes(), flat[a:b].tobytes())
     return out
 
 
@@ -147,8 +165,9 @@ def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def _unpacked(table: pa.Table, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Documents and tokens of packed rows; top is the tokens' first byte where it was left out."""
-    ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("docs")])
-    runs = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("runs")])
+    each = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("runs")]
+    ids = np.concatenate([_from_steps(x.as_buffer(), len(r)) if len(r) else np.zeros(0, np.int64) for x, r in zip(table.column("docs"), each, strict=True)])
+    runs = np.concatenate(each)
     data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("tokens")])
     if top is None:
         tokens = data.view("<u8")
@@ -263,16 +282,17 @@ def _stars(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     document is compared with the pivot of most of its tokens, and belongs to its group if they are a third
     or more; pivots follow their own, always towards documents that recur more.
     """
-    rows = sets.mapInArrow(_exploded, "doc_id long, n long, token long, held long")
-    order = F.struct(F.col("held") / F.col("n"), -F.col("doc_id"))
-    pivot = rows.groupBy("token").agg(F.max_by("doc_id", order).alias("b"))
+    rows = sets.mapInArrow(_exploded, "doc_id long, n long, token long, held long").select("token", "doc_id", F.floor(255 * F.col("held") / F.col("n")).cast("short").alias("share"))
+    order = F.struct(F.col("share"), -F.col("doc_id"))
+    pivot = rows.groupBy("token").agg(F.max_by("doc_id", order).alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     best = cut(
         rows.join(pivot.hint("merge"), "token")
         .where(F.col("doc_id") != F.col("b"))
-        .groupBy(F.col("doc_id").alias("a"), "b", "n")
+        .groupBy(F.col("doc_id").alias("a"), "b")
         .agg(F.count("*").alias("shared"))
-        .groupBy("a", "n")
+        .groupBy("a")
         .agg(F.max_by(F.struct("b", "shared"), F.struct("shared", -F.col("b"))).alias("p"))
+        .join(sets.select(F.col("doc_id").alias("a"), "n").hint("merge"), "a")
         .select("a", "p.b", (F.col("p.shared") * 3 >= F.col("n")).alias("close"))
     )
     links = _verified(best.select("a", "b"), sets, percent)
@@ -292,10 +312,10 @@ def _asked_elsewhere(sets: DataFrame, group: DataFrame, percent: int) -> DataFra
     rows = sets.mapInArrow(_exploded, "doc_id long, n long, token long, held long").join(group.hint("merge"), "doc_id")
     for _ in range(PRUNE_ROUNDS):
         several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-        rows = cut(rows.drop("held").join(several.hint("merge"), "token"))
+        rows = saved(rows.drop("held").join(several.hint("merge"), "token"))
         able = rows.groupBy("doc_id", "n").agg(F.count("*").alias("held")).where(F.col("held") * 100 >= F.col("n") * percent)
         rows = rows.join(able.select("doc_id", "held").hint("merge"), "doc_id").select("token", "doc_id", "n", "group", "held")
-    rows = cut(rows)
+    rows = saved(rows)
     union = rows.select("token", "group").distinct()
     spread = union.groupBy("token").agg(F.count("*").alias("wide"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("wide", "token"))
