@@ -126,10 +126,11 @@ def read_group(spark: SparkSession, d: str, name: str, domain: Sequence, sums: d
     return rows.groupBy(*keys).agg(*[F.sum(f"`{f}`").alias(n) for n, f in sums.items()], F.count("*").alias("n"))
 
 
-def name_search(spark: SparkSession, d: str, name: str, text: str, limit: int = 5) -> DataFrame:
-    """(id, name) by substring, smallest ids first; a blank text matches nothing."""
+def name_search(spark: SparkSession, d: str, name: str, text: str, limit: int | None = None) -> DataFrame:
+    """(id, name) of all records by substring, or the limit with the smallest ids; a blank text matches nothing."""
     check_call(name, "name_search")
     df = model.ENTITIES[name](spark, d).select("id", "name")
     if not text.strip():
         return df.limit(0)
-    return df.where(ilike(F.col("name"), text)).orderBy("id").limit(limit)
+    found = df.where(ilike(F.col("name"), text))
+    return found if limit is None else found.orderBy("id").limit(limit)

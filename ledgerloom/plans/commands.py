@@ -84,12 +84,12 @@ def bom_diff(spark: SparkSession, d: str) -> DataFrame:
 def expand_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """starts(id, first, until) -> (id, steps): the tools after first up to until; null if until can't be reached.
 
-    The edges are one per tool, so a chain is at most as long as the table; each round takes one step.
+    The edges are one per tool, so a chain is at most as long as the table; each round takes one step, for all of the table.
     """
     depth = edges.count()
     wave = starts.select("id", F.col("first").alias("at"), "until", F.array().cast("array<string>").alias("steps"), F.lit(False).alias("there"))
     hop = F.broadcast(edges.select(F.col("tool").alias("at"), "next"))
-    for _ in range(min(depth, len(NEXT_STEPS), 8)):
+    for _ in range(depth):
         moved = wave.join(hop, "at", "left")
         ends = F.col("there") | F.col("next").isNull()
         wave = moved.select(

@@ -27,11 +27,11 @@ def selection_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "line_match",
-    oracle("SELECT order_id, COUNT(*) FILTER (WHERE contains(p.name, '1')) AS hits, CASE COUNT(*) FILTER (WHERE contains(p.name, '1')) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS verdict FROM sale_order_line l JOIN product p ON p.id = l.product_id GROUP BY 1", "sale_order_line", "product"),
+    oracle("SELECT order_id, COUNT(*) FILTER (WHERE contains(p.name, 'red')) AS hits, CASE COUNT(*) FILTER (WHERE contains(p.name, 'red')) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS verdict FROM sale_order_line l JOIN product p ON p.id = l.product_id GROUP BY 1", "sale_order_line", "product"),
 )
 def line_match(spark: SparkSession, d: str) -> DataFrame:
     p = model.product(spark, d).select(F.col("id").alias("product_id"), "name")
-    hits = F.count_if(F.contains("name", F.lit("1")))
+    hits = F.count_if(F.contains("name", F.lit("red")))
     g = model.sale_order_line(spark, d).join(p, "product_id").groupBy("order_id").agg(hits.alias("hits"))
     return g.withColumn("verdict", F.when(F.col("hits") == 0, "none").when(F.col("hits") == 1, "one").otherwise("many"))
 
@@ -75,11 +75,11 @@ def draft_total(spark: SparkSession, d: str) -> DataFrame:
     return model.sale_order_line(spark, d).groupBy("order_id").agg(priced.alias("total"))
 
 
-@register("reverified_candidates", oracle("SELECT rank, p.id, p.name FROM (SELECT unnest(range(1, 41)) AS rank) r JOIN product p ON p.id = r.rank * 7 % 53 WHERE p.list_price > 1000", "product"))
+@register("reverified_candidates", oracle("SELECT rank, p.id, p.name FROM (SELECT unnest(range(1, 41)) AS rank) r JOIN product p ON p.id = r.rank * 7 % 53 WHERE p.list_price > 903", "product"))
 def reverified_candidates(spark: SparkSession, d: str) -> DataFrame:
     """An index proposes ids in an order; live rows supply the values, and what they lack drops out."""
     proposed = spark.range(1, 41).select(F.col("id").alias("rank"), (F.col("id") * 7 % 53).alias("pid"))
-    live = model.product(spark, d).where("list_price > 1000").select("id", "name")
+    live = model.product(spark, d).where("list_price > 903").select("id", "name")
     return live.join(F.broadcast(proposed), F.col("id") == F.col("pid")).select("rank", "id", "name")
 
 

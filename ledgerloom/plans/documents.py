@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
 from ledgerloom.session import table
@@ -27,41 +30,47 @@ def size_of(text: str) -> int:
     return max(1, len(text) // 4)
 
 
+def heading_starts(blocks: list[tuple[str, int | None]]) -> list[bool]:
+    """Which blocks open a section: headings, but for one that follows a bare heading of its own or a lower rank,
+    which stays text so that nothing is lost."""
+    bare = None  # level of the heading just before, if nothing came after it yet
+    starts = []
+    for _, level in blocks:
+        opens = level is not None and (bare is None or bare < level)
+        starts.append(opens)
+        bare = level if opens else None
+    return starts
+
+
 def sections(blocks: list[tuple[str, int | None]], title: str) -> Iterator[tuple[str, str]]:
     """(path of headings, body) of each leaf section, in order.
 
-    A heading of the same or a higher level right after a heading without body is kept as body, so no
-    text is lost.
+    The heads in force are kept by level; texts between two openings are one body.
     """
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-    for text, level in blocks:
-        if level is None or (not body and path and path[-1][0] >= level):
-            body.append(text)
+    heads: dict[int, str] = {}
+    marked = zip(blocks, heading_starts(blocks), strict=True)
+    for opens, run in itertools.groupby(marked, key=lambda x: x[1]):
+        texts = [(text, level) for (text, level), _ in run]
+        if not opens:
+            yield CRUMB.join(heads[k] for k in sorted(heads)) or title, " ".join(t for t, _ in texts).strip()
             continue
-        if body:
-            yield CRUMB.join(t for _, t in path) or title, " ".join(body).strip()
-            body = []
-        path = [p for p in path if p[0] < level] + [(level, text)]
-    if body:
-        yield CRUMB.join(t for _, t in path) or title, " ".join(body).strip()
+        for text, level in texts:
+            heads = {k: v for k, v in heads.items() if k < level} | {level: text}
 
 
 def sentence_windows(text: str) -> Iterator[str]:
-    """Whole sentences up to CHUNK_TOKENS; each window starts with the last sentences of the one before."""
-    window: list[str] = []
-    for sentence in filter(None, SENTENCE_END.split(text.strip())):
-        if window and sum(map(size_of, window)) + size_of(sentence) > CHUNK_TOKENS:
-            yield " ".join(window)
-            tail: list[str] = []
-            for s in reversed(window):
-                if sum(map(size_of, tail)) + size_of(s) > OVERLAP_TOKENS:
-                    break
-                tail.insert(0, s)
-            window = tail
-        window.append(sentence)
-    if window:
-        yield " ".join(window)
+    """Whole sentences up to CHUNK_TOKENS; each window starts with the last sentences of the one before.
+
+    With running sums over the sentences' sizes, a window's end and the place to carry on from are both found by search.
+    """
+    sentences = [x for x in SENTENCE_END.split(text.strip()) if x]
+    upto = [0, *itertools.accumulate(map(size_of, sentences))]
+    begin, done = 0, 0
+    while done < len(sentences):
+        # sentences that fit from begin on; one new sentence always goes in
+        done = max(done + 1, bisect.bisect_right(upto, upto[begin] + CHUNK_TOKENS) - 1)
+        yield " ".join(sentences[begin:done])
+        begin = bisect.bisect_left(upto, upto[done] - OVERLAP_TOKENS)
 
 
 def chunk_document(doc_id: int, blocks: list[tuple[str, int | None]], title: str) -> Iterator[tuple]:
@@ -211,8 +220,10 @@ def args_match(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", match(expected, got).alias("matches"))
 
 
-@register("discontinued_lots", oracle("SELECT q.product_id FROM (SELECT DISTINCT product_id FROM quant) q LEFT JOIN (SELECT DISTINCT product_id FROM sale_order_line) l USING (product_id) WHERE l.product_id IS NULL", "quant", "sale_order_line"))
+@register("discontinued_lots", oracle("SELECT q.product_id FROM (SELECT DISTINCT product_id FROM quant) q LEFT JOIN (SELECT DISTINCT product_id FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE o.date_order >= TIMESTAMP '2001-01-01') l USING (product_id) WHERE l.product_id IS NULL", "quant", "sale_order_line", "sale_order"))
 def discontinued_lots(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of the mirror that the source no longer has."""
-    x = table(spark, d, "lineitem")
-    return x.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("product_id")).distinct().join(x.select(F.col("l_partkey").alias("product_id")), "product_id", "left_anti")
+    """Products in stock that no order of this year asks for."""
+    stored = model.quant(spark, d).select("product_id").distinct()
+    orders = model.sale_order(spark, d).where("date_order >= timestamp_ntz '2001-01-01'").select(F.col("id").alias("order_id"))
+    asked = model.sale_order_line(spark, d).join(orders, "order_id").select("product_id")
+    return stored.join(asked, "product_id", "left_anti")

@@ -57,13 +57,18 @@ def metric_gather(spark: SparkSession, d: str) -> DataFrame:
 _DIGITS = "list_distinct(list_transform(regexp_extract_all({}, '[0-9][0-9.,]*'), lambda x: translate(x, '.,', '')))"
 
 
+#: The sources of an answer: every other line.
+_SOURCE = "array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 1), ' ')"
+
+
 @register(
     "metric_fusion",
-    f"WITH {_CASES} SELECT doc_id, len(list_filter(f, lambda x: NOT list_contains(a, x)))::BIGINT AS fabricated FROM (SELECT doc_id, {_DIGITS.format('text')} AS f, {_DIGITS.format('substr(text, 1, 400)')} AS a FROM cases)",
+    f"WITH {_CASES} SELECT doc_id, len(list_filter(f, lambda x: NOT list_contains(a, x)))::BIGINT AS fabricated FROM (SELECT doc_id, {_DIGITS.format('text')} AS f, {_DIGITS.format(_SOURCE)} AS a FROM cases)",
 )
 def metric_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of an answer (the whole text) that its sources (the first 400 characters) don't have."""
-    made_up = F.array_except(T.digit_tokens(F.col("text")), T.digit_tokens(F.substring("text", 1, 400)))
+    """Numbers of an answer (the whole text) that its sources (every other line) don't have."""
+    source = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: i % 2 == 0), " ")
+    made_up = F.array_except(T.digit_tokens(F.col("text")), T.digit_tokens(source))
     return cases(spark, d).select("doc_id", F.size(made_up).cast("long").alias("fabricated"))
 
 

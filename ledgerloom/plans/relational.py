@@ -14,9 +14,9 @@ from ledgerloom.plans.sales import day_range, period_start
 from ledgerloom.session import table
 
 
-@register("pred_ilike", "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), '#10')")
+@register("pred_ilike", "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'red pl')")
 def pred_ilike(spark: SparkSession, d: str) -> DataFrame:
-    return search_read(spark, d, "product", [("name", "ilike", "#10")], ["id", "name"])
+    return search_read(spark, d, "product", [("name", "ilike", "Red Pl")], ["id", "name"])
 
 
 @register("pred_or_prefix", oracle("SELECT id, state FROM sale_order WHERE (state = 'draft' OR amount_total > 400000) AND NOT partner_id = 7", "sale_order"))
@@ -24,9 +24,9 @@ def pred_or_prefix(spark: SparkSession, d: str) -> DataFrame:
     return search_read(spark, d, "sale_order", ["|", ("state", "=", "draft"), ("amount_total", ">", 400000), "!", ("partner_id", "=", 7)], ["id", "state"])
 
 
-@register("pred_dotted_path", oracle("SELECT l.product_id, o.state AS order_id_state, p.name AS product_id_name FROM sale_order_line l LEFT JOIN sale_order o ON o.id = l.order_id LEFT JOIN product p ON p.id = l.product_id WHERE o.state = 'done' AND contains(lower(p.name), '77')", "sale_order_line", "sale_order", "product"))
+@register("pred_dotted_path", oracle("SELECT l.product_id, o.state AS order_id_state, p.name AS product_id_name FROM sale_order_line l LEFT JOIN sale_order o ON o.id = l.order_id LEFT JOIN product p ON p.id = l.product_id WHERE o.state = 'done' AND contains(lower(p.name), 'widget')", "sale_order_line", "sale_order", "product"))
 def pred_dotted_path(spark: SparkSession, d: str) -> DataFrame:
-    return search_read(spark, d, "sale_order_line", [("order_id.state", "=", "done"), ("product_id.name", "ilike", "77")], ["product_id", "order_id.state", "product_id.name"])
+    return search_read(spark, d, "sale_order_line", [("order_id.state", "=", "done"), ("product_id.name", "ilike", "widget")], ["product_id", "order_id.state", "product_id.name"])
 
 
 @register("pred_not_in", oracle("SELECT id, state FROM picking WHERE state NOT IN ('done', 'cancel')", "picking"))

@@ -76,8 +76,8 @@ def sale_order_detail(spark: SparkSession, d: str, refs=("S00007", "S00042", "S0
     )
 
 
-@register("product_price", oracle("SELECT id, name, coalesce(list_price, 0)::DECIMAL(18,2) AS price FROM product WHERE contains(lower(name), 'part#1')", "product"))
-def product_price(spark: SparkSession, d: str, text: str = "part#1") -> DataFrame:
+@register("product_price", oracle("SELECT id, name, coalesce(list_price, 0)::DECIMAL(18,2) AS price FROM product WHERE contains(lower(name), 'red plate')", "product"))
+def product_price(spark: SparkSession, d: str, text: str = "Red Plate") -> DataFrame:
     """List price only; no price counts as 0."""
     p = model.product(spark, d).where(ilike(F.col("name"), text))
     return p.select("id", "name", F.coalesce("list_price", F.lit(0)).cast("decimal(18,2)").alias("price"))
@@ -220,24 +220,24 @@ def list_crm_leads(spark: SparkSession, d: str) -> DataFrame:
     return search_read(spark, d, "lead", [("type", "=", "opportunity"), ("stage", "ilike", "PROP")], ["id", "name", "stage"], "id desc")
 
 
-@register("find_customer", oracle("SELECT id, name FROM partner WHERE contains(lower(name), '0001') ORDER BY id LIMIT 5", "partner"))
+@register("find_customer", oracle("SELECT id, name FROM partner WHERE contains(lower(name), '0001')", "partner"))
 def find_customer(spark: SparkSession, d: str) -> DataFrame:
     return name_search(spark, d, "partner", "0001")
 
 
-@register("find_supplier", oracle("SELECT id, name FROM vendor WHERE contains(lower(name), '2') ORDER BY id LIMIT 5", "vendor"))
+@register("find_supplier", oracle("SELECT id, name FROM vendor WHERE contains(lower(name), '2')", "vendor"))
 def find_supplier(spark: SparkSession, d: str) -> DataFrame:
     return name_search(spark, d, "vendor", "2")
 
 
-@register("find_lead", oracle("SELECT id, name FROM lead WHERE contains(lower(name), '77') ORDER BY id LIMIT 5", "lead"))
+@register("find_lead", oracle("SELECT id, name FROM lead WHERE contains(lower(name), '77')", "lead"))
 def find_lead(spark: SparkSession, d: str) -> DataFrame:
     return name_search(spark, d, "lead", "77")
 
 
-@register("find_product", oracle("SELECT id, name FROM product WHERE contains(lower(name), '12') ORDER BY id LIMIT 5", "product"))
+@register("find_product", oracle("SELECT id, name FROM product WHERE contains(lower(name), 'plate')", "product"))
 def find_product(spark: SparkSession, d: str) -> DataFrame:
-    return name_search(spark, d, "product", "12")
+    return name_search(spark, d, "product", "Plate")
 
 
 @register(

@@ -20,14 +20,14 @@ def on_hand(spark: SparkSession, d: str) -> DataFrame:
 _ON_HAND = "(SELECT product_id, SUM(quantity)::DECIMAL(18,2) AS on_hand FROM quant WHERE usage = 'internal' GROUP BY 1)"
 
 
-@register("stock_on_hand", oracle("SELECT product_id, p.name AS product_id_name, location_id, quantity FROM quant q LEFT JOIN product p ON p.id = q.product_id WHERE usage = 'internal' AND contains(lower(p.name), '9')", "quant", "product"))
+@register("stock_on_hand", oracle("SELECT product_id, p.name AS product_id_name, location_id, quantity FROM quant q LEFT JOIN product p ON p.id = q.product_id WHERE usage = 'internal' AND contains(lower(p.name), 'ring')", "quant", "product"))
 def stock_on_hand(spark: SparkSession, d: str) -> DataFrame:
-    return search_read(spark, d, "quant", [("usage", "=", "internal"), ("product_id.name", "ilike", "9")], ["product_id", "product_id.name", "location_id", "quantity"], "product_id, location_id")
+    return search_read(spark, d, "quant", [("usage", "=", "internal"), ("product_id.name", "ilike", "ring")], ["product_id", "product_id.name", "location_id", "quantity"], "product_id, location_id")
 
 
-@register("lots", oracle("SELECT 'LOT-' || product_id || '-' || location_id AS lot, quantity FROM quant q JOIN product p ON p.id = q.product_id WHERE contains(lower(p.name), '33')", "quant", "product"))
+@register("lots", oracle("SELECT 'LOT-' || product_id || '-' || location_id AS lot, quantity FROM quant q JOIN product p ON p.id = q.product_id WHERE contains(lower(p.name), 'rod')", "quant", "product"))
 def lots(spark: SparkSession, d: str) -> DataFrame:
-    q = search_read(spark, d, "quant", [("product_id.name", "ilike", "33")], ["product_id", "location_id", "quantity"])
+    q = search_read(spark, d, "quant", [("product_id.name", "ilike", "rod")], ["product_id", "location_id", "quantity"])
     return q.select(F.concat(F.lit("LOT-"), F.col("product_id").cast("string"), F.lit("-"), F.col("location_id").cast("string")).alias("lot"), "quantity")
 
 
@@ -193,9 +193,9 @@ def po_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("order_id", "product_id", "qty_received", "qty_invoiced").join(F.broadcast(n))
 
 
-@register("vendor_duplicates", oracle("SELECT id, name FROM vendor WHERE contains(lower(name), '00001') OR contains(lower(name), '00005') ORDER BY id LIMIT 5", "vendor"))
+@register("vendor_duplicates", oracle("SELECT id, name FROM vendor WHERE contains(lower(name), '00001') OR contains(lower(name), '00005')", "vendor"))
 def vendor_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return search_read(spark, d, "vendor", ["|", ("name", "ilike", "00001"), ("name", "ilike", "00005")], ["id", "name"], "id", 5)
+    return search_read(spark, d, "vendor", ["|", ("name", "ilike", "00001"), ("name", "ilike", "00005")], ["id", "name"])
 
 
 @register("boms_for_variant", oracle("SELECT p.id AS product_id, b.id AS bom_id, b.type, b.batch FROM product p JOIN bom b ON b.product_tmpl_id = p.product_tmpl_id", "product", "bom"))
@@ -245,12 +245,12 @@ _STATES = {"draft": "Draft", "confirmed": "Confirmed", "progress": "In progress"
 @register(
     "list_manufacturing_orders",
     oracle(
-        "SELECT m.id, p.name AS product, product_qty, CASE state WHEN 'draft' THEN 'Draft' WHEN 'confirmed' THEN 'Confirmed' WHEN 'progress' THEN 'In progress' WHEN 'to_close' THEN 'To close' WHEN 'done' THEN 'Done' ELSE 'Cancelled' END AS label FROM production m LEFT JOIN product p ON p.id = m.product_id WHERE contains(lower(p.name), '5')",
+        "SELECT m.id, p.name AS product, product_qty, CASE state WHEN 'draft' THEN 'Draft' WHEN 'confirmed' THEN 'Confirmed' WHEN 'progress' THEN 'In progress' WHEN 'to_close' THEN 'To close' WHEN 'done' THEN 'Done' ELSE 'Cancelled' END AS label FROM production m LEFT JOIN product p ON p.id = m.product_id WHERE contains(lower(p.name), 'large')",
         "production", "product",
     ),
 )
 def list_manufacturing_orders(spark: SparkSession, d: str) -> DataFrame:
-    m = search_read(spark, d, "production", [("product_id.name", "ilike", "5")], ["id", "product_id.name", "product_qty", "state"])
+    m = search_read(spark, d, "production", [("product_id.name", "ilike", "large")], ["id", "product_id.name", "product_qty", "state"])
     labels = F.create_map(*[F.lit(x) for kv in _STATES.items() for x in kv])
     return m.select("id", F.col("product_id_name").alias("product"), "product_qty", labels[F.col("state")].alias("label"))
 

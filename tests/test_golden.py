@@ -125,3 +125,15 @@ def test_stream_equals_batch(spark):
     d = "/root/testdata/sf0.001"
     batch = {r.event_id: r.admitted for r in ledger.rate_limit_admit(spark, d).collect()}
     assert {r.event_id: r.admitted for r in ledgers.stream_rate_limit(spark, d).collect()} == batch
+
+
+def test_consent(spark):
+    from ledgerloom.plans import language
+
+    said = {
+        "confirm": ["có", "Có", "có!", "yes", "ok", "đồng ý", "xác nhận", "ừ làm đi"],
+        "cancel": ["không", "Không", "no", "hủy", "thôi", "đừng", "thôi khỏi"],
+        "unclear": ["không đồng ý", "nó sẽ làm gì?", "ừm", "um", "ừm để tôi xem lại đã, chưa chắc lắm"],
+    }
+    rows = spark.createDataFrame([(v, t) for v, texts in said.items() for t in texts], "want string, text string")
+    assert [(r.text, r.got) for r in rows.withColumn("got", language.consent(F.col("text"))).collect() if r.got != r.want] == []

@@ -16,7 +16,7 @@ def test_guards():
         guards.check_arguments(lambda a: a, {"b": 1})
     guards.check_arguments(lambda a: a, {"a": 1})
     assert guards.check_name("lens 12") == "lens 12"
-    for bad in ("S00042", "wh/in/0001", "INV/2024/7"):
+    for bad in ("S00042", "P0007", "WH/IN/0001", "WH/INT/00001", "INV/2024/7"):
         with pytest.raises(ValueError):
             guards.check_name(bad)
 
