@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -362,6 +363,7 @@ def _scored(shared, head):
         logs = np.append(np.log10(counts + 1.0), 0.0)
         ids_of = np.append(ids_of, UNKNOWN)
         end = int(ids_of[find.find(np.array([END]))[0]])
+        at_row = TaskContext.get().partitionId() << 40  # keys that are the same if the task runs again
         for batch in batches:
             h, first = tokens(batch.column("text"))
             at = find.find(h)  # -1 takes the appended values
@@ -372,7 +374,8 @@ def _scored(shared, head):
             own = logs[at]
             doc_ids = batch.column("doc_id")
             names = ["row", "doc_id", "held_out", "token", "n", "lm", "logs", "other_logs", "known", "other"]
-            key = pa.array(np.random.default_rng().integers(0, 1 << 62, n))  # rows that share an id stay apart
+            key = pa.array(at_row + np.arange(n))  # rows that share an id stay apart
+            at_row += n
             other = ids == UNKNOWN
             rows = [
                 key,
@@ -449,7 +452,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tail = counts.withColumnRenamed("n", "c")
     if least is not None:
         tail = tail.where(F.floor(F.log2("c") * 16) < least)
-    joined = scored.join(tail, "token", "left")
+    # the documents' own rows have no token: a key of their own spreads them
+    spread = scored.withColumn("key", F.coalesce("token", F.xxhash64("row", F.lit(8))))
+    joined = spread.join(tail.withColumnRenamed("token", "key"), "key", "left")
     rare = F.col("token").isNotNull()
     rare_logs = F.when(rare, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)
     sums = joined.groupBy("row", "doc_id", "held_out").agg(
