@@ -407,3 +407,18 @@ def test_empty_tables(spark, docs):
         assert df.count() == 0
     assert toxicity.detect(none, labels).count() == 0
     assert all(r.n_hit == 0 for r in find_benchmark(docs, benchmark).collect())
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows that share an id, rows without one, ties, in the operators that put documents in an order."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, long), (5, long), (5, "z " + long), (None, long), (None, None), (7, long + " end"), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("other") for c in ("token", "part", "n", "to_doc", "share", "spans")})
+    lines = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()}
+    assert lines == {5: (1, 0), 7: (1, 1), 9: (0, 0)}
+    near = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_classes(df).collect()), key=repr)
+    assert len(near) == len(rows) and {c for i, _, c in near if i in (5, 7)} == {5} and {c for i, _, c in near if i is None} == {None}
+    removed = sorted(((r.doc_id, r.n_removed) for r in substring_dedup.remove_copied_substrings(df).collect()), key=repr)
+    assert len(removed) == len(rows) and (7, 80) in removed and all(n == 0 for i, n in removed if i != 7)
+    mixed = mixing.mix_sources(df.withColumn("source", F.lit(None).cast("string"))).collect()
+    assert {r.doc_id for r in mixed} <= {5, 7, 9, None} and all("mix_key" in r for r in mixed)
