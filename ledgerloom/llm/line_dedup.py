@@ -53,8 +53,8 @@ def _places() -> Column:
 
 
 def _token(i: Column) -> Column:
-    """Hash of the words from place i on, as many as there are up to SHINGLE."""
-    return F.xxhash64(F.slice("w", i + 1, SHINGLE))
+    """Hash of the words from place i on, as many as there are up to SHINGLE (nulls behind the last leave a hash as it is)."""
+    return F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
 
 
 def _cell(h: Column) -> Column:
