@@ -14,6 +14,9 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Spark's own switch for removing an execution's shuffle files when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution on; extra settings win."""
@@ -53,10 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def _releasing_shuffles(spark: SparkSession):
+    """Executions in here remove their shuffle files as they end, instead of when the driver collects garbage."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; survives the loss of any executor."""
+    """Materialise in the shared folder and forget the lineage; survives the loss of any executor.
+
+    What lies in the shared folder needs no shuffle again, so the shuffles behind it go at once.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _releasing_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -75,5 +93,6 @@ def _remove(spark: SparkSession, path: str) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """Like cut(), as a Parquet table: smaller, and later reads take only the columns they need."""
     path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    with _releasing_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
