@@ -18,6 +18,7 @@ still without a match meet all others that share a token and lie in a near band
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -30,31 +31,44 @@ PERCENT = 75
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 LOW_BITS = (1 << (64 - CELL_BITS)) - 1
-SPACE = "[ \\t-\\r]+"
-WORD = "[^ \\t-\\r]"
+#: What stands between words besides the space; line feeds cut lines before.
+OTHER_SPACES = "\t\x0b\x0c\r"
 #: A cell with this many times the usual share of the corpus is dealt over several tasks.
 HOT_SHARE = 16
 #: Ids of candidate lines, and pairs, are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" " + OTHER_SPACES)) != ""
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line_no, line) of lines with a word."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_has_word(F.col("line")))
 
 
-def _worded(lines: DataFrame) -> DataFrame:
-    return lines.select("doc_id", "line_no", F.array_remove(F.split("line", SPACE), "").alias("w"))
+def _words(line: Column) -> Column:
+    """Words of a line: cut at single spaces (no regular expression), other white space made spaces where there is any."""
+    others = reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in OTHER_SPACES])
+    return F.array_remove(F.split(F.when(others, F.regexp_replace(line, f"[{OTHER_SPACES}]", " ")).otherwise(line), " "), "")
 
 
-def _places() -> Column:
+def _places(w: Column) -> Column:
     """Places in w at which a token starts; a line of fewer words than a shingle has one token."""
-    return F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
 
 
-def _token(i: Column) -> Column:
+def _token(w: Column, i: Column) -> Column:
     """Hash of the words from place i on, as many as there are up to SHINGLE (nulls behind the last leave a hash as it is)."""
-    return F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
+    return F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
+
+
+def _tokens(line: Column) -> Column:
+    """All tokens of a line; its words are bound to a variable, so that they aren't written to a row and read for each token."""
+    starts = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+    hashed = lambda w: F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
+    return F.get(F.transform(F.array(_words(line)), hashed), 0)
 
 
 def _cell(h: Column) -> Column:
@@ -63,7 +77,8 @@ def _cell(h: Column) -> Column:
 
 def _cells(docs: DataFrame) -> np.ndarray:
     """Tokens of the corpus in each hash cell."""
-    tokens = _worded(_lines(docs)).select("w", F.explode(_places()).alias("i")).select(_cell(_token(F.col("i"))).alias("cell"))
+    worded = _lines(docs).select(_words(F.col("line")).alias("w"))
+    tokens = worded.select("w", F.explode(_places(F.col("w"))).alias("i")).select(_cell(_token(F.col("w"), F.col("i"))).alias("cell"))
     counts = np.zeros(CELLS, np.int64)
     for r in tokens.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CELLS rows
         counts[r["cell"]] = r["n"]
@@ -76,10 +91,10 @@ def _listed(values: np.ndarray, kind: str) -> Column:
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
-    """What changes each cell's number to its rank, rarest first, in the upper bits of a token (the sign turned round)."""
+    """What changes each cell's number to its rank, rarest first (the sign turned round); small numbers, as plans print the list."""
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    return ((rank ^ np.arange(CELLS, dtype=np.uint64) ^ np.uint64(CELLS >> 1)) << np.uint64(64 - CELL_BITS)).view(np.int64)
+    return (rank ^ np.arange(CELLS, dtype=np.uint64) ^ np.uint64(CELLS >> 1)).astype(np.uint16).view(np.int16)
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -90,9 +105,10 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 
 def _keyed(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(doc_id, line_no, keys): distinct tokens, rarest first."""
-    by_cell = _listed(ranks, "bigint")
-    key = lambda h: F.get(by_cell, _cell(h)).bitwiseXOR(h)
-    return _worded(lines).select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(F.transform(_places(), _token)), key)).alias("keys"))
+    by_cell = _listed(ranks, "smallint")
+    change = lambda h: F.shiftleft(F.coalesce(F.get(by_cell, _cell(h)), F.lit(0).cast("smallint")).cast("long"), 64 - CELL_BITS)
+    key = lambda h: change(h).bitwiseXOR(h)  # noqa: E731  never null: sorted as plain numbers
+    return lines.select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(_tokens(F.col("line"))), key)).alias("keys"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -210,7 +226,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = _one_per_id(texts)
     first, later = find_first_lines(texts)
     kept = first.join(later, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
-    sizes = texts.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"))
+    sizes = texts.select("doc_id", F.size(F.filter(F.split("text", "\n"), _has_word)).cast("long").alias("n_lines"))
     return sizes.join(kept, "doc_id", "left").select(
         "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept_lines"), F.lit(0))).alias("n_removed"), F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines")
     )
@@ -223,5 +239,5 @@ def drop_later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that stay in the text that counts.
     """
     kept = dedup_lines(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("kept_lines").alias("__kept"))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~x.rlike(WORD) | F.array_contains("__kept", i))
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~_has_word(x) | F.array_contains("__kept", i))
     return docs.join(kept, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, F.when(F.col("__id").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).drop("__id", "__kept")
