@@ -12,7 +12,10 @@ similar lines share a token in their prefixes, the first n - ceil(n * PERCENT /
 Prefix tokens travel once, and only those that recur go on. The length filter and the positional filter
 (tokens still to come on the shorter side) thin the candidates, and the sets decide. First each line
 meets the earliest line of its tokens, which settles groups of copies with one comparison per line; lines
-still without a match meet all others that share a token and lie in a near band of lengths.
+still without a match meet all others that share a token and lie in a near band of lengths. These carry bit
+maps of their sets: bits that one side alone has count tokens that can't be shared, which leaves out pairs before
+sets are fetched and never a similar one. Each line is compared with its likeliest partner first, and only if they
+aren't similar with all.
 """
 
 from __future__ import annotations
@@ -121,6 +124,26 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n) & (1 + F.least(n - i, m - j) >= _needed(n, m))
 
 
+def _with_bits(sets: DataFrame) -> DataFrame:
+    """sets with a map of 128 bits (low, high): bit k % 128 for each key k."""
+
+    def half(which: int) -> Column:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+        keys = F.filter("keys", lambda k: k.bitwiseAND(64) == 64 * which)
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k)))
+
+    return sets.withColumns({"low": half(0), "high": half(1)})
+
+
+def _room(n: Column, m: Column) -> Column:
+    """Shared tokens at most: those whose bits the other side (to_low, to_high) lacks aren't shared."""
+
+    def left(size: Column, a: str, b: str) -> Column:
+        return size - F.bit_count(F.col(f"{a}low").bitwiseAND(F.bitwise_not(f"{b}low"))) - F.bit_count(F.col(f"{a}high").bitwiseAND(F.bitwise_not(f"{b}high")))
+
+    return F.least(left(n, "", "to_"), left(m, "to_", ""))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Later lines (doc_id, line_no) of pairs (with the earlier line in to_doc, to_line) whose sets are similar."""
     pairs = saved(pairs)
@@ -178,31 +201,37 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def pairs_of(tokens: DataFrame) -> DataFrame:
         """Pairs by their shared prefix tokens: these and what may come after the last of them must do."""
-        pairs = tokens.groupBy(*line, *to).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.max("i").alias("i"), F.first("m").alias("m"), F.max("j").alias("j"))
+        pairs = tokens.groupBy(*line, *to).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.max("i").alias("i"), F.first("m").alias("m"), F.max("j").alias("j"), F.first("room").alias("room"))
         enough = F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed(F.col("n"), F.col("m"))
-        return pairs.where(enough).select(*line, *to, "shared")
+        return pairs.where(enough).select(*line, *to, "shared", (F.col("room") / (F.col("n") + F.col("m"))).alias("share"))
 
-    own = ["token", *line, "n", "i", *to, "m", "j"]
+    own = ["token", *line, "n", "i", *to, "m", "j", "room"]
     found = saved(met.where(near & other).groupBy(*line, *to).agg(F.count("*").alias("shared")))
     star = found.groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p")).select(*line, "p.*")
     ids = met.select(*line).distinct()
     wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = saved(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks))
+    sets = saved(_with_bits(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks)))
+    bits = sets.select(*line, "low", "high")
     settled = cut(_verified(star, sets))
     # lines without a match so far meet the other earliest lines of their tokens, and of tokens of more lines those of a
     # near band of lengths
     width = math.log(100 / PERCENT)
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / width).cast("int")
     many = met.where("many")
-    late = many.join(settled, line, "left_anti").select("token", *line, "n", "i", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
-    early = many.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"))
+    late = many.join(settled, line, "left_anti").join(bits, line).select("token", *line, "n", "i", "low", "high", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
+    mapped = many.join(bits, line).withColumns({"to_low": F.col("low"), "to_high": F.col("high")})
+    early = mapped.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"), "to_low", "to_high")
     before = F.struct(*to) < F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
-    tokens = late.join(early, ["token", "band"]).where(before & near).select(*own)
-    tokens = tokens.union(met.where(~F.col("many") & near & other).join(settled, line, "left_anti").select(*own))
-    pairs = pairs_of(tokens).drop("shared").join(star, [*line, *to], "left_anti")
-    later = settled.union(_verified(pairs, sets))
+    tokens = late.join(early, ["token", "band"]).where(before & near).withColumn("room", _room(F.col("n"), F.col("m"))).where(F.col("room") >= _needed(F.col("n"), F.col("m"))).select(*own)
+    tokens = tokens.union(met.where(~F.col("many") & near & other).join(settled, line, "left_anti").withColumn("room", F.least("n", "m")).select(*own))
+    pairs = saved(pairs_of(tokens).join(star, [*line, *to], "left_anti"))
+    # most lines are settled by their likeliest partner, the others meet all
+    likeliest = saved(pairs.groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("share", "shared", *to)).alias("p")).select(*line, "p.*"))
+    by_likeliest = cut(_verified(likeliest, sets))
+    rest = pairs.select(*line, *to).join(by_likeliest, line, "left_anti").join(likeliest, [*line, *to], "left_anti")
+    later = settled.union(by_likeliest).union(_verified(rest, sets))
     return first.select(*line), later
 
 

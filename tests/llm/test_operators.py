@@ -85,6 +85,27 @@ def test_line_dedup(docs):
     assert got == want
 
 
+def test_line_dedup_settles_unlike_copies(spark):
+    """Variants of one line that only some others resemble, words parted by any white space."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(24)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(24)] = f"v{rnd.randrange(6)}"
+        rows.append((d, rnd.choice(["\t", " ", "\x0b", "\x0c \r"]).join(w) + "\n\t\x0b"))
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    earlier, want = [], {}
+    for d, t in rows:
+        w = SPACED.findall(t)
+        s = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        want[d] = (1, int(any(100 * len(s & e) >= 75 * len(s | e) for e in earlier)))
+        earlier.append(s)
+    assert got == want
+    assert 20 < sum(r for _, r in want.values()) < 110
+
+
 def brute_classes():
     sets = {}
     for i, t in texts().items():
