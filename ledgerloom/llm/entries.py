@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import sql
 from ledgerloom.llm.decontaminate import find_benchmark
+from ledgerloom.llm.divergence import audit
 from ledgerloom.llm.html_text import extract_main_text
 from ledgerloom.llm.line_dedup import dedup_lines
 from ledgerloom.llm.mixing import mix_sources
@@ -84,6 +85,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_copied_substrings(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -105,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": sql.OP3,
         "op4_source_mixing": sql.OP4,
         "op10_substring_dedup": sql.OP10,
+        "op13_source_divergence": sql.OP13,
     }

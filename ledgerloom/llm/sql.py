@@ -61,3 +61,27 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     x AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+     v AS (SELECT lang, term, count(*)::HUGEINT AS c FROM x GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+     vs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY 1),
+     c AS (SELECT x.lang, x.source, x.term, count(*)::HUGEINT AS c FROM x JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+     n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+     p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * vs.v) AS p,
+                  1 + (1000000000::HUGEINT * (v.c + 2)) // (vs.n + 2 * vs.v) AS q
+           FROM g JOIN v USING (lang) JOIN vs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+           LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+                          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3) f
+               ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+     terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10
+"""
