@@ -12,6 +12,7 @@ from ledgerloom.llm.decontaminate import find_benchmark
 from ledgerloom.llm.divergence import audit
 from ledgerloom.llm.html_text import extract_main_text
 from ledgerloom.llm.line_dedup import dedup_lines
+from ledgerloom.llm.merkle import digests, manifest
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import near_duplicate_classes
 from ledgerloom.llm.quality_rules import judge
@@ -19,6 +20,7 @@ from ledgerloom.llm.recurrent_lm import score_documents
 from ledgerloom.llm.substring_dedup import remove_copied_substrings
 from ledgerloom.llm.token_store import new_store_path, read_documents, write_token_store
 from ledgerloom.llm.toxicity import detect
+from ledgerloom.llm.warc import new_archive_path, read_pages, write_pages
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +87,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_copied_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_archive_path(spark)
+    write_pages(table(spark, sf_dir, "pages"), path)
+    return read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return digests(manifest(table(spark, sf_dir, "documents"), more, tampered))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
@@ -101,6 +115,8 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_token_id_output": op9_token_id_output,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_warc": op11_warc,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_source_divergence": op13_source_divergence,
     }
 
@@ -111,5 +127,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": sql.OP3,
         "op4_source_mixing": sql.OP4,
         "op10_substring_dedup": sql.OP10,
+        "op11_warc": sql.OP11,
+        "op12_merkle_manifest": sql.OP12,
         "op13_source_divergence": sql.OP13,
     }

@@ -85,3 +85,44 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
       FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10
 """
+
+OP12 = """
+WITH RECURSIVE
+     poly AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, x: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS t),
+     d AS (SELECT doc_id, lang, coalesce('1' || lang, '0') AS key,
+                  CASE WHEN doc_id IS NULL THEN NULL ELSE xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                       lambda r, x: xor(r // 256, t[xor(r, x) % 256 + 1]))) END AS crc, n_chars,
+                  CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+                  || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a,
+                  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS z FROM documents, poly),
+     f AS (SELECT doc_id, key, crc, sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || z) AS leaf,
+                  CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256(a || strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) || z) END AS changed FROM d),
+     l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM f),
+     lower AS (SELECT key, 0 AS lvl, pos, n, leaf AS h FROM l
+               UNION ALL SELECT key, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lower WHERE n > 1 GROUP BY key, lvl, n, pos // 2),
+     s AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM lower WHERE n = 1),
+     upper AS (SELECT 0 AS lvl, pos, n, h FROM s
+               UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, n, pos // 2),
+     nodes AS (SELECT key, lvl, pos, n, h FROM lower UNION ALL SELECT NULL, lvl, pos, n, h FROM upper),
+     walk AS (SELECT doc_id, l.key, l.pos AS id, l.key AS tree, 0 AS lvl, l.pos, l.n, '' AS proof, coalesce(changed, leaf) AS h FROM l
+              UNION ALL SELECT w.doc_id, w.key, w.id, CASE WHEN w.n = 1 THEN NULL ELSE w.tree END, CASE WHEN w.n = 1 THEN 0 ELSE w.lvl + 1 END,
+                     CASE WHEN w.n = 1 THEN s.pos ELSE w.pos // 2 END, CASE WHEN w.n = 1 THEN s.n ELSE (w.n + 1) // 2 END,
+                     w.proof || CASE WHEN w.n = 1 THEN '' ELSE coalesce(o.h, '') END,
+                     CASE WHEN w.n = 1 THEN w.h WHEN w.pos % 2 = 0 THEN sha256(w.h || coalesce(o.h, '')) ELSE sha256(o.h || w.h) END
+              FROM walk w JOIN s USING (key) LEFT JOIN nodes o ON o.key IS NOT DISTINCT FROM w.tree AND o.lvl = w.lvl AND o.pos = xor(w.pos, 1)
+              WHERE w.n > 1 OR w.tree IS NOT NULL),
+     root AS (SELECT h FROM upper WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, root.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = root.h AS verified
+FROM l JOIN s USING (key) JOIN walk w ON w.key = l.key AND w.id = l.pos AND w.tree IS NULL AND w.n = 1, root
+"""
+
+OP11 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+     m AS (SELECT html, max(page_id) AS leader FROM p GROUP BY 1)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+           ((('0x' || substr(h, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to, url
+FROM p JOIN m USING (html)
+"""
