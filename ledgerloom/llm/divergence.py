@@ -146,13 +146,13 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def compare(rows: pa.Table, sources: pa.Table, tiles: tuple[int, int]) -> Iterator[tuple[int, int, int, int]]:
+def compare(rows: pa.Table, sources: pa.Table, tiles: tuple[int, int], tile: int) -> Iterator[tuple[int, int, int, int]]:
     """(a, b, sum of gaps over the terms here, number of terms here) for each pair of sources of the two tiles."""
     place = sources.column("at").to_numpy()
     order = np.argsort(place)
     place = place[order]
     rest = np.nan_to_num(sources.column("rest").to_numpy(zero_copy_only=False)[order]).astype(np.int64)
-    left = np.flatnonzero(place // TILE == tiles[0])
+    left = np.flatnonzero(place // tile == tiles[0])
     beyond = lambda x: x + 1 if tiles[0] == tiles[1] else len(left)  # noqa: E731  (first source to compare x with)
     total = np.zeros((len(place), len(place)), np.int64)
     term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
@@ -175,15 +175,15 @@ def compare(rows: pa.Table, sources: pa.Table, tiles: tuple[int, int]) -> Iterat
             yield int(place[x]), int(place[y]), int(total[x, y]), n_terms
 
 
-def pair_gaps(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_gaps(kept: DataFrame, groups: DataFrame, tile: int, block_rows: int) -> DataFrame:
     """(lang, a, b, value, seen) per pair of sources a < b by place, summed over all blocks of terms.
 
-    kept(lang, source, term, at, p), groups(lang, source, at, rest). Terms are dealt over blocks by hash, sources over tiles of TILE;
+    kept(lang, source, term, at, p), groups(lang, source, at, rest). Terms are dealt over blocks by hash, sources over tiles;
     a task compares two tiles in one block, so what it holds is bounded however many terms or sources a language has.
     """
-    blocks = max(1, -(-kept.count() // BLOCK_ROWS))
-    tiles = F.expr(f"int(n_sources div {TILE} + int(n_sources % {TILE} > 0))")
-    own = F.expr(f"int(at div {TILE})")
+    blocks = max(1, -(-kept.count() // block_rows))
+    tiles = F.expr(f"int(n_sources div {tile} + int(n_sources % {tile} > 0))")
+    own = F.expr(f"int(at div {tile})")
 
     def dealt(df: DataFrame) -> DataFrame:
         """Each row once for every tile that its own is compared with."""
@@ -196,7 +196,7 @@ def pair_gaps(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         lang, _, ta, tb = (k.as_py() for k in key)
-        found = list(compare(left, right, (ta, tb)))
+        found = list(compare(left, right, (ta, tb), tile))
         columns = zip(*found, strict=True) if found else ((), (), (), ())
         a, b, value, seen = (list(c) for c in columns)
         return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "value": pa.array(value, pa.int64()), "seen": pa.array(seen, pa.int64())})
@@ -205,9 +205,12 @@ def pair_gaps(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return out.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, tile: int = TILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(lang, source, part, item, value, rank): every other source of the language by distance ('pair'), and the
-    terms that a source uses most beyond its language ('term', up to top_terms)."""
+    terms that a source uses most beyond its language ('term', up to top_terms).
+
+    tile and block_rows bound what one task compares at once and change no result.
+    """
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
     term = Window.partitionBy("lang", "term")
     counted = term_counts(docs).select(
@@ -231,7 +234,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     terms = terms.withColumn("rank", best).where(F.col("rank") <= top_terms)
 
     name = lambda x: groups.select("lang", F.col("at").alias(x), F.col("source").alias(f"{x}_source"), F.col("rest").alias(f"{x}_rest"))
-    pairs = pair_gaps(shares.select("lang", "source", "term", "at", "n_sources", "p"), groups)
+    pairs = pair_gaps(shares.select("lang", "source", "term", "at", "n_sources", "p"), groups, tile, block_rows)
     pairs = pairs.join(name("a").join(groups.select("lang", F.col("at").alias("a"), "n_kept"), ["lang", "a"]), ["lang", "a"]).join(name("b"), ["lang", "b"])
     elsewhere = F.coalesce((F.col("n_kept") - F.col("seen")) * gap(F.col("a_rest"), F.col("b_rest")), F.lit(0))
     pairs = pairs.withColumn("value", F.col("value") + elsewhere)

@@ -19,5 +19,5 @@ def join_per_key(df: DataFrame, per_key: DataFrame, on: list[str], spread_by: li
     if per_key.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(per_key), on)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, "__salt"]).drop("__salt")

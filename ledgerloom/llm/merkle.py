@@ -42,9 +42,9 @@ def combine(*digests: bytes) -> bytes:
     return hashlib.sha256(b"".join(digests)).hexdigest().encode()
 
 
-def height(n: int) -> int:
-    """Levels above n nodes until one remains, BLOCK_BITS at most in one round."""
-    return min((n - 1).bit_length(), BLOCK_BITS)
+def height(n: int, bits: int) -> int:
+    """Levels above n nodes until one remains, bits at most in one round."""
+    return min((n - 1).bit_length(), bits)
 
 
 def block_tree(nodes: list[bytes], levels: int) -> list[list[bytes]]:
@@ -92,46 +92,46 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__at", "__task", "__shift")
 
 
-def in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("pos", BLOCK_BITS))
+def in_blocks(nodes: DataFrame, bits: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", bits))
 
 
 def hexed(column: pa.ChunkedArray) -> list[bytes]:
     return [x.hex().encode() for x in column.to_pylist()]
 
 
-def next_round(nodes: DataFrame) -> DataFrame:
+def next_round(nodes: DataFrame, bits: int) -> DataFrame:
     """The blocks' tops, in a key of one node that node itself."""
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         n = part.column("n")[0].as_py()
-        top = block_tree(hexed(part.sort_by("pos").column("digest")), height(n))[-1][0]
-        row = {"key": key[0].as_py(), "pos": key[1].as_py(), "n": -(-n // (1 << BLOCK_BITS)), "digest": bytes.fromhex(top.decode())}
+        top = block_tree(hexed(part.sort_by("pos").column("digest")), height(n, bits))[-1][0]
+        row = {"key": key[0].as_py(), "pos": key[1].as_py(), "n": -(-n // (1 << bits)), "digest": bytes.fromhex(top.decode())}
         return pa.Table.from_pylist([row], pa.schema([("key", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))
 
-    return saved(in_blocks(nodes.select("key", "pos", "n", "digest")).groupBy("key", "block").applyInArrow(run, NODE))
+    return saved(in_blocks(nodes.select("key", "pos", "n", "digest"), bits).groupBy("key", "block").applyInArrow(run, NODE))
 
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
+def rounds(nodes: DataFrame, bits: int) -> list[DataFrame]:
     """The nodes of every round; the last one has a single node per key."""
     found = [nodes]
     while (found[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        found.append(next_round(found[-1]))
+        found.append(next_round(found[-1], bits))
     return found
 
 
-def chains_below(nodes: DataFrame, chains: DataFrame) -> DataFrame:
+def chains_below(nodes: DataFrame, chains: DataFrame, bits: int) -> DataFrame:
     """chains(key, pos, chain, subroot) of a round's tops -> those of its nodes: the siblings inside the block, then the top's."""
 
     def run(key: tuple, part: pa.Table, above: pa.Table) -> pa.Table:
         part = part.sort_by("pos")
-        tree = block_tree(hexed(part.column("digest")), height(part.column("n")[0].as_py()))
+        tree = block_tree(hexed(part.column("digest")), height(part.column("n")[0].as_py(), bits))
         upper, subroot = above.column("chain")[0].as_py(), above.column("subroot")[0].as_py()
         rows = [siblings(tree, i) + upper for i in range(len(part))]
         return pa.table({"key": part.column("key"), "pos": part.column("pos"), "chain": pa.array(rows, pa.list_(pa.string())), "subroot": pa.array([subroot] * len(part), pa.string())})
 
     tops = chains.withColumnRenamed("pos", "block")
-    own = in_blocks(nodes.select("key", "pos", "n", "digest"))
+    own = in_blocks(nodes.select("key", "pos", "n", "digest"), bits)
     return saved(own.groupBy("key", "block").cogroup(tops.groupBy("key", "block")).applyInArrow(run, CHAIN))
 
 
@@ -144,40 +144,40 @@ def leaf_digest(fields: Mapping[str, Column]) -> Column:
     return F.sha2(F.concat(*[field(fields[c]) for c in FIELDS]).cast("binary"), 256)
 
 
-def manifest(docs: DataFrame, tampered: Mapping[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Mapping[str, Column] | None = None, where: Column | None = None, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per row of docs: its leaf, its language's and the whole root, its proof and the version of the tree with
     its leaf anew.
 
     tampered holds other values of fields, for the rows where `where` is true. proof has the siblings as siblings() gives them, from the
     leaf to the root; version the copied nodes from the leaf to the version's root. They end in the base root
-    exactly where the leaf wasn't changed.
+    exactly where the leaf wasn't changed. A block has 2^bits nodes.
     """
     fields = {c: F.col(c) for c in FIELDS}
     changed = F.when(where, F.unhex(leaf_digest(fields | dict(tampered)))) if tampered else F.lit(None).cast("binary")
     key = F.when(F.col("lang").isNull(), "0").otherwise(F.concat(F.lit("1"), "lang"))
     leaves = saved(docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(leaf_digest(fields)).alias("digest"), changed.alias("changed")))
     leaves = numbered(leaves, ["doc_id", "digest"])
-    trees = rounds(leaves)
+    trees = rounds(leaves, bits)
     subroots = trees[-1].select(F.lit("").alias("key"), F.col("key").alias("lang_key"), "digest")
     tops = saved(numbered(subroots, ["lang_key"]))
-    upper = rounds(tops)
+    upper = rounds(tops, bits)
     found = upper[-1].first()
     root = found["digest"].hex() if found else ""
 
     chains = docs.sparkSession.createDataFrame([("", 0, [], None)], CHAIN)
     for nodes in reversed(upper[:-1]):
-        chains = chains_below(nodes, chains)
+        chains = chains_below(nodes, chains, bits)
     named = tops.select("lang_key", "pos", F.lower(F.hex("digest")).alias("subroot"))
     # one row per language, as many as there are chains by now
     chains = chains.drop("subroot").join(named, "pos").select(F.col("lang_key").alias("key"), F.lit(0).cast("long").alias("pos"), "chain", "subroot")
     for nodes in reversed(trees[1:-1]):
-        chains = chains_below(nodes, chains)
+        chains = chains_below(nodes, chains, bits)
 
     def run(key: tuple, part: pa.Table, above: pa.Table) -> pa.Table:
         part = part.sort_by("pos")
         leaf = hexed(part.column("digest"))
         now = [old if new is None else new.hex().encode() for old, new in zip(leaf, part.column("changed").to_pylist(), strict=True)]
-        tree = block_tree(leaf, height(part.column("n")[0].as_py()))
+        tree = block_tree(leaf, height(part.column("n")[0].as_py(), bits))
         chain, subroot = above.column("chain")[0].as_py(), above.column("subroot")[0].as_py()
         shared: dict[bytes, list[str]] = {}  # upper versions by the block's top
         proofs, versions = [], []
@@ -194,7 +194,7 @@ def manifest(docs: DataFrame, tampered: Mapping[str, Column] | None = None, wher
         return pa.table(columns, names=["doc_id", "pos", "leaf", "subroot", "proof", "version"])
 
     tops = chains.withColumnRenamed("pos", "block")
-    rows = in_blocks(leaves).groupBy("key", "block").cogroup(tops.groupBy("key", "block")).applyInArrow(run, MANIFEST)
+    rows = in_blocks(leaves, bits).groupBy("key", "block").cogroup(tops.groupBy("key", "block")).applyInArrow(run, MANIFEST)
     return rows.withColumn("root", F.lit(root))
 
 
