@@ -3,7 +3,7 @@
 A text becomes terms by a segmentation, a function from a text Column to an array Column; the index keeps it and asks with the same one.
 A document that has all terms of a question matches it; its score is how often it has them.
 
-Documents with the same terms as often are one class: only the one with the smallest id is indexed, the others are its members,
+Documents with the same terms in the same order are one class: only the one with the smallest id is indexed, the others are its members,
 so copies cost no pairs. Questions with the same terms are asked once.
 
 Defined results: null and empty texts have no terms; they match nothing and ask for nothing. doc_id is the documents' key. Equal scores go by
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ledgerloom.session import saved
 
@@ -76,7 +77,7 @@ def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextInde
     """An index of docs(doc_id, text)."""
     texts = docs.select("doc_id", "text")
     terms = segment(F.col("text"))
-    keyed = texts.select("doc_id", F.md5(F.array_join(F.array_sort(terms), "\n").cast("binary")).alias("same"))
+    keyed = texts.select("doc_id", F.md5(F.array_join(terms, "\n").cast("binary")).alias("same"))
     shared = keyed.groupBy("same").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     classes = saved(keyed.join(shared, "same").where("doc_id <> leader").select("doc_id", "leader"))
     leaders = texts.join(classes.select("doc_id"), "doc_id", "left_anti")
@@ -90,7 +91,7 @@ def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextInde
     return TextIndex(segment, texts, classes, postings, frequencies)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def occurrences(asked: pd.Series, terms: pd.Series) -> pd.Series:
     """How often all of the asked terms occur together; null if one is missing."""
     found = []

@@ -4,6 +4,9 @@ Centroids are fitted on at most SAMPLE vectors (those whose hashed ids are small
 goes into the list of its nearest centroid. A query probes the lists whose centroids are nearest to it and scores their
 vectors exactly, as blocks of a matrix product. Only lists that are probed are scored.
 
+How many lists to probe is calibrated when the centroids are fitted: on sampled questions against the sample, the fewest that hold
+TARGET of the true neighbours. The sample is thinner than the table, so its neighbours are farther off and the figure is on the safe side.
+
 The exact way needs no threshold of its own: a list's angle to its farthest member bounds how near any of its members can be to
 a query, so after the first probes only lists that may still hold one of the k nearest are opened.
 
@@ -27,7 +30,8 @@ from ledgerloom.session import new_folder, saved, shared_dir
 #: Vectors that the centroids are fitted on, and the most lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
 FIT_ROUNDS = 8
-PROBES = 8
+#: Share of the CALIBRATED_K nearest that the probed lists should hold, and questions that this is measured on.
+TARGET, CALIBRATED_K, CALIBRATIONS = 0.95, 20, 500
 #: Stored vectors of a list that one task scores, and queries of a list that it scores them for.
 PIECE, ASKERS = 20_000, 20_000
 #: Entries of a score matrix that exist at once.
@@ -112,24 +116,26 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class VectorIndex:
-    """centroids: one unit row per list; spread: the largest angle in each list; rows(list, piece, vec_id, v): all vectors."""
+    """centroids: one unit row per list; spread: the largest angle in each list; probes: lists to open for a question;
+    rows(list, piece, vec_id, v): all vectors."""
 
     centroids: np.ndarray
     spread: np.ndarray
     pieces: np.ndarray
+    probes: int
     rows: DataFrame
 
     def write(self, path: str) -> None:
         """As Parquet: the rows by list, and one row per list."""
         spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
-        lists = pd.DataFrame({"list": range(len(self.spread)), "centroid": list(self.centroids), "spread": self.spread, "pieces": self.pieces})
-        spark.createDataFrame(lists, "list int, centroid array<double>, spread double, pieces long").coalesce(1).write.parquet(f"{path}/lists")
+        lists = pd.DataFrame({"list": range(len(self.spread)), "centroid": list(self.centroids), "spread": self.spread, "pieces": self.pieces, "probes": self.probes})
+        spark.createDataFrame(lists, "list int, centroid array<double>, spread double, pieces long, probes int").coalesce(1).write.parquet(f"{path}/lists")
 
 
 def open_index(spark: SparkSession, path: str) -> VectorIndex:
     lists = spark.read.parquet(f"{path}/lists").toPandas().sort_values("list")
-    return VectorIndex(np.array(lists["centroid"].tolist()), lists["spread"].to_numpy(), lists["pieces"].to_numpy(), spark.read.parquet(f"{path}/rows"))
+    return VectorIndex(np.array(lists["centroid"].tolist()), lists["spread"].to_numpy(), lists["pieces"].to_numpy(), int(lists["probes"].iloc[0]), spark.read.parquet(f"{path}/rows"))
 
 
 def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -144,6 +150,18 @@ def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return centroids
 
 
+def calibrated_probes(sample: np.ndarray, centroids: np.ndarray) -> int:
+    """The fewest lists that hold TARGET of the nearest of sampled questions, over the sample itself."""
+    if len(sample) <= CALIBRATED_K:
+        return len(centroids)
+    asked = sample[np.linspace(0, len(sample) - 1, min(CALIBRATIONS, len(sample))).astype(int)]
+    of = np.argmax(sample @ centroids.T, axis=1)
+    turn = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)
+    near = np.argpartition(-(asked @ sample.T), CALIBRATED_K, axis=1)[:, :CALIBRATED_K]
+    turns = np.sort(np.take_along_axis(turn, of[near], axis=1).ravel())
+    return int(turns[int(np.ceil(TARGET * len(turns))) - 1]) + 1
+
+
 def build_index(stored: DataFrame, lists: int | None = None) -> VectorIndex:
     """An index of stored(vec_id, v). lists: about the root of the number of rows, unless given."""
     spark = stored.sparkSession
@@ -173,7 +191,7 @@ def build_index(stored: DataFrame, lists: int | None = None) -> VectorIndex:
     rows = placed.join(F.broadcast(sizes), "list").select("list", piece.alias("piece"), "vec_id", "v")
     path = new_folder(spark, "vectors")
     rows.repartition("list", "piece").sortWithinPartitions("list", "piece").write.parquet(path)
-    return VectorIndex(centroids, spread, pieces, spark.read.parquet(path))
+    return VectorIndex(centroids, spread, pieces, calibrated_probes(sample, centroids) if len(sample) else 1, spark.read.parquet(path))
 
 
 def probe(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
@@ -187,7 +205,7 @@ def probe(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
     block = F.pmod(F.xxhash64("query_id"), F.lit(most)).cast("int")
     pieces = asked.sparkSession.createDataFrame([(i, p) for i, n in enumerate(index.pieces) for p in range(int(n))], "list int, piece int")
     asking = asked.select("list", block.alias("block"), "query_id", "q").join(F.broadcast(pieces), "list")
-    stored = index.rows.withColumn("block", F.explode(F.array(*map(F.lit, range(most)))))
+    stored = index.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     stored = stored.join(F.broadcast(asked.select("list").distinct()), "list", "left_semi")  # lists that nobody asks stay unread in tasks
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -221,13 +239,14 @@ def probed_lists(index: VectorIndex, queries: DataFrame, probes: int) -> DataFra
     return with_direction(queries.select("query_id", "q"), "q").mapInArrow(run, f"query_id long, q {kind}, list int, turn int")
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """The k best of the probed lists: (query_id, vec_id, score, rank)."""
-    return ranked(probe(index, probed_lists(index, queries, probes), k), k)
+    return ranked(probe(index, probed_lists(index, queries, probes or index.probes), k), k)
 
 
-def search_exact(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+def search_exact(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """The k best of all rows, by opening the lists that may hold them after the first probes."""
+    probes = probes or index.probes
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.spread))
     first = saved(search(index, queries, k, probes))
     floor = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))

@@ -1,7 +1,6 @@
 """Retrieval and entity resolution: dense, sparse and trigram ranks fused, floors, citations, picks.
 
-Query sets are fixed rows of the tables (ids divisible by QUERY_STEP); each is broadcast only after its
-count is checked, and every stored row is scored against it.
+Query sets are fixed rows of the tables (ids divisible by 50), against all rows.
 """
 
 from __future__ import annotations
@@ -11,37 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import entity_index as E
+from ledgerloom.operators import model_hook as H
+from ledgerloom.operators import text_index as X
+from ledgerloom.operators import vector_index as V
 from ledgerloom.plans.registry import register
 from ledgerloom.session import table
 
 POOL = 20
 RRF_K = 60
 FLOOR = 0.35
-#: Query vectors scored at once; more go in blocks.
-QUERY_BLOCK = 2000
 
 
 def dense_ranks(queries: DataFrame, stored: DataFrame, pool: int = POOL) -> DataFrame:
-    """queries(query_id, q), stored(vec_id, v) -> (query_id, vec_id, score, rank) of the nearest pool rows.
-
-    Candidates are cut to the pool within each task's share first (a rank over (query, shard)), so what
-    is shuffled to the final rank is pool rows per query and shard.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = stored.crossJoin(F.broadcast(block)).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("v")), 6).alias("score"))
-        order = [F.desc_nulls_last("score"), F.asc("vec_id")]
-        near = Window.partitionBy("query_id", "shard").orderBy(*order)
-        kept = scored.where("score is not null").withColumn("shard", F.pmod("vec_id", F.lit(64))).withColumn("r", F.row_number().over(near)).where(F.col("r") <= pool)
-        best = Window.partitionBy("query_id").orderBy(*order)
-        parts.append(kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """queries(query_id, q), stored(vec_id, v) -> (query_id, vec_id, score, rank) of the nearest pool rows, all rows scored."""
+    return V.nearest(queries, stored, pool)
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -59,33 +42,25 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense_ranks(*_vectors(spark, d))
 
 
-#: A document's tokens in the index: its words, lower case.
-_WORDS = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '')"
-
-
-def _tokens():
-    return F.filter(F.split(F.lower("text"), "[ \\t\\n\\r]+"), lambda w: w != "")
+@register("ivf_topk", f"WITH {_DENSE} SELECT * FROM dense")
+def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours by the inverted file: only lists that may hold one are opened."""
+    queries, stored = _vectors(spark, d)
+    return V.search_exact(V.build_index(stored), queries, POOL)
 
 
-_SPARSE = f"""q AS (SELECT doc_id AS query_id, list_distinct({_WORDS}[1:2]) AS qt FROM documents WHERE doc_id % 50 = 0),
+_WORDS = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_SPARSE = f"""q AS (SELECT doc_id AS query_id, list_distinct({_WORDS}) AS qt FROM documents WHERE doc_id % 50 = 0),
 t AS (SELECT doc_id, w, COUNT(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY 1, 2),
 sparse AS (SELECT * FROM (SELECT query_id, doc_id, SUM(tf)::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY SUM(tf) DESC, doc_id) AS rank
 FROM (SELECT query_id, len(qt) AS need, unnest(qt) AS w FROM q) q JOIN t USING (w) GROUP BY query_id, need, doc_id HAVING COUNT(*) = need) WHERE rank <= 20)"""
 
 
-def sparse_ranks(spark: SparkSession, d: str, pool: int = POOL) -> DataFrame:
-    """All of a query's words must occur; the sum of their counts orders.
-
-    The stored side keeps only words that some query has (a join by word), before counting.
-    """
+def sparse_ranks(spark: SparkSession, d: str, pool: int = POOL, segment: X.Segmentation = X.words) -> DataFrame:
+    """Whole documents as questions: all of a question's terms must occur; how often they do orders."""
     docs = table(spark, d, "documents")
-    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_distinct(F.slice(_tokens(), 1, 2)).alias("qt"))
-    asked = asked.select("query_id", F.size("qt").alias("need"), F.explode("qt").alias("w"))
-    words = asked.select("w").distinct()
-    tf = docs.select("doc_id", F.explode(_tokens()).alias("w")).join(words, "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    hits = asked.join(tf, "w").groupBy("query_id", "need", "doc_id").agg(F.sum("tf").alias("score"), F.count("*").alias("n")).where("n = need")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= pool).select("query_id", "doc_id", "score", "rank")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return X.conjunctive(X.build_text_index(docs, segment), asked, pool)
 
 
 @register("sparse_topk", f"WITH {_SPARSE} SELECT query_id, doc_id, score, rank FROM sparse")
@@ -93,6 +68,22 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     return sparse_ranks(spark, d)
 
 
+#: Neighbouring words that are one term when texts are segmented.
+PHRASES = ("of the", "in the", "to the", "de la", "dans la", "en la", "de los", "in der", "an der", "zu den")
+
+
+@register(
+    "segmented_terms",
+    f"""SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_filter(t, lambda x: contains(x, ' ')))::BIGINT AS n_compounds FROM (
+    SELECT doc_id, regexp_extract_all(array_to_string({_WORDS}, ' ') || ' ', '(?:{"|".join(sorted(PHRASES, key=lambda p: (-len(p), p)))}) |[^ ]+ ').list_transform(lambda x: trim(x)) AS t FROM documents)""",
+)
+def segmented_terms(spark: SparkSession, d: str) -> DataFrame:
+    """How many terms each document has when phrases are kept together, and how many of them are phrases."""
+    t = X.compounds(PHRASES)(F.col("text"))
+    terms = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.filter("t", lambda x: F.contains(x, F.lit("_")) & ~F.startswith(x, F.lit("_")))).cast("long").alias("n_compounds"))
+
+
 def fuse(ranks: DataFrame, keys: list[str]) -> DataFrame:
     """ranks(keys..., id, channel, rank, score) -> RRF sum per id, best first; equal sums keep the first channel's order."""
     sums = ranks.groupBy(*keys, "id").agg(
@@ -147,11 +138,42 @@ def floor_filter(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("query_id").agg((near | hit).alias("answerable"))
 
 
-@register("rerank_pool", f"WITH {_DENSE} SELECT query_id, vec_id, pos FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS pos FROM dense) WHERE pos <= 6")
+def shared_words() -> H.Model:
+    """Stands in for a cross-encoder: how many distinct words question and text have in common."""
+    return lambda asked, texts: [len(set((a or "").lower().split()) & set((t or "").lower().split())) for a, t in zip(asked, texts, strict=True)]
+
+
+def missing_model() -> H.Model:
+    raise RuntimeError("the model can't be fetched")
+
+
+def reranked(spark: SparkSession, d: str, name: str, loader: H.Loader, k: int = 6) -> DataFrame:
+    """The fused pool, reordered by a model that reads question and text, cut to k only then."""
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    pool = fuse(_both(spark, d), ["query_id"]).where(F.col("pos") <= POOL).select("query_id", "id", "pos", "rrf")
+    pool = pool.join(texts.select(F.col("doc_id").alias("id"), "text"), "id", "left").join(texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("asked")), "query_id", "left")
+    scored = H.scored(pool, name, loader, ["asked", "text"]).drop("text", "asked")
+    return H.rerank(scored, k).select("query_id", "id", "place", "method", "top_score")
+
+
+_SPACED = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''))"
+
+
+@register(
+    "rerank_pool",
+    f"""WITH {_FUSED} SELECT query_id, id, place, 'hybrid-rrf+rerank' AS method, max(rrf) FILTER (WHERE place = 1) OVER (PARTITION BY query_id) AS top_score FROM (
+    SELECT f.query_id, f.id, f.rrf, row_number() OVER (PARTITION BY f.query_id ORDER BY len(list_intersect({_SPACED.format("a.text")}, {_SPACED.format("t.text")})) DESC, f.pos) AS place
+    FROM fused f LEFT JOIN documents t ON t.doc_id = f.id LEFT JOIN documents a ON a.doc_id = f.query_id WHERE f.pos <= 20) QUALIFY place <= 6""",
+)
 def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The pool is reordered by another score, equal scores keeping their order, and cut only then."""
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("vec_id") % 7), "rank"))
-    return dense_topk(spark, d).withColumn("pos", pos.cast("long")).where("pos <= 6").select("query_id", "vec_id", "pos")
+    """The pool is reordered by the model's scores, equal scores keeping their order, and cut only then."""
+    return reranked(spark, d, "shared words", shared_words)
+
+
+@register("rerank_fallback", f"WITH {_FUSED} SELECT query_id, id, pos AS place, 'hybrid-rrf' AS method, max(rrf) FILTER (WHERE pos = 1) OVER (PARTITION BY query_id) AS top_score FROM fused QUALIFY pos <= 6")
+def rerank_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A model that can't be loaded leaves the fused order as it is."""
+    return reranked(spark, d, "missing model", missing_model)
 
 
 @register("citation_footer", f"WITH {_DENSE} SELECT query_id, string_agg(label, '; ' ORDER BY first) AS footer FROM (SELECT query_id, 'label ' || label AS label, MIN(rank) AS first FROM dense JOIN embeddings USING (vec_id) GROUP BY 1, 2) GROUP BY 1")
@@ -202,56 +224,91 @@ def write_suggestion(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.alias("text")).select("event_id", value.isin("yes", "true", "1").alias("suggested"), F.regexp_replace("text", "(?m)\\n?^SUGGEST:[^\\n]*", "").alias("body"))
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-_TRIGRAM = f"""g AS (SELECT p_partkey AS id, {_GRAMS} AS g FROM part),
-x AS (SELECT id, unnest(g) AS t, len(g) AS n FROM g),
-tri AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-SELECT a.id AS query_id, b.id, round(COUNT(*) / (a.n + b.n - COUNT(*)), 6) AS score FROM x a JOIN x b ON a.t = b.t WHERE a.id % 50 = 0 GROUP BY a.id, b.id, a.n, b.n))"""
+# --- entities -------------------------------------------------------------------------------
+
+#: The index has a record's name, code and kind; live is what is still sold, under its name and code.
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_ASKED = """asked AS (SELECT p_partkey AS query_id, CASE p_size % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'typo' ELSE 'reordered' END AS class,
+CASE p_size % 3 WHEN 0 THEN p_name || ' P' || p_partkey WHEN 1 THEN substr(p_name, 1, 1) || substr(p_name, 3) || ' P' || p_partkey ELSE 'P' || p_partkey || ' ' || p_name END AS text FROM part WHERE p_partkey % 50 = 0)"""
+_TRIGRAM = f"""{_ASKED}, x AS (SELECT p_partkey AS id, {_GRAMS.format("p_name || ' P' || p_partkey || ' ' || p_type")} AS g FROM part),
+a AS (SELECT query_id, {_GRAMS.format("text")} AS g FROM asked),
+tri AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+SELECT query_id, id, round(n / (len(a.g) + len(x.g) - n), 6) AS score FROM (SELECT query_id, id, len(list_intersect(a.g, x.g)) AS n, a.g, x.g FROM a, x) s JOIN a USING (query_id) JOIN x USING (id) WHERE n > 0)) WHERE rank <= {{k}})"""
+_NEAR = """near AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+FROM embeddings q JOIN asked ON query_id = q.vec_id, embeddings e WHERE e.vec_id IN (SELECT p_partkey FROM part)) WHERE rank <= {k})"""
+_CANDIDATES = f"""WITH {_TRIGRAM.format(k=8)}, {_NEAR.format(k=8)},
+fused AS (SELECT query_id, id, round(SUM(1.0 / (60 + rank)), 9) AS rrf, MIN(channel) AS channel, arg_min(rank, channel) AS rank FROM (SELECT query_id, id, rank, 0 AS channel FROM tri UNION ALL SELECT query_id, id, rank, 1 FROM near) GROUP BY 1, 2),
+live AS (SELECT p_partkey AS id, p_name || ' P' || p_partkey AS name FROM part WHERE p_size > 5),
+candidates AS (SELECT query_id, id, name, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, channel, rank, id) AS pos FROM fused JOIN live USING (id))"""
+
+
+def asked_names(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, class, text): names as people type them, whole, with a letter lost, or in another order."""
+    p = table(spark, d, "part").where("p_partkey % 50 = 0")
+    code = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    kind = F.col("p_size") % 3
+    lost = F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"))
+    text = F.when(kind == 0, F.concat_ws(" ", "p_name", code)).when(kind == 1, F.concat_ws(" ", lost, code)).otherwise(F.concat_ws(" ", code, "p_name"))
+    return p.select(F.col("p_partkey").alias("query_id"), F.when(kind == 0, "control").when(kind == 1, "typo").otherwise("reordered").alias("class"), text.alias("text"))
 
 
 def trigram_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """Similar names by shared trigrams: an equi-join on trigrams, counted per pair with a query."""
-    g = table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.trigrams(F.col("p_name")).alias("g"))
-    x = g.select("id", F.explode("g").alias("t"), F.size("g").alias("n"))
-    asked = x.where("id % 50 = 0").select(F.col("id").alias("query_id"), "t", F.col("n").alias("m"))
-    score = F.round(F.count("*") / (F.col("n") + F.col("m") - F.count("*")), 6)
-    pairs = asked.join(x, "t").groupBy("query_id", "id", "n", "m").agg(score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    stored = entity_mirror(spark, d).select("id", F.col("search_text").alias("text"))
+    return E.similar(asked_names(spark, d), stored, k)
 
 
-@register("trigram_topk", f"WITH {_TRIGRAM} SELECT query_id, id, score, rank FROM tri WHERE rank <= 8")
+@register("trigram_topk", f"WITH {_TRIGRAM.format(k=8)} SELECT query_id, id, score, rank FROM tri")
 def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Similar names by trigrams, from the rarest on."""
     return trigram_ranks(spark, d, 8)
 
 
+def live_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").where("p_size > 5")
+    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("name"))
+
+
+def fused_candidates(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
+    """Trigram ranks of the texts and ranks of the vectors, fused and held against the live records; at most 2k per question."""
+    mirror = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"))
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(mirror, "vec_id", "left_semi")
+    asked = asked_names(spark, d).select("query_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    near = V.nearest(asked, vectors, k).select("query_id", F.col("vec_id").alias("id"), "rank")
+    return E.verified(E.fused(trigram_ranks(spark, d, k), near), live_names(spark, d))
+
+
+@register("entity_candidates", f"{_CANDIDATES} SELECT query_id, id, name, rrf, pos FROM candidates")
+def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return fused_candidates(spark, d).select("query_id", "id", "name", "rrf", "pos")
+
+
+_SIMILAR = f"round(1 / (1 + exp(-(12 * (len(list_intersect({_GRAMS.format('text')}, {_GRAMS.format('name')})) / len(list_distinct(list_concat({_GRAMS.format('text')}, {_GRAMS.format('name')}))) - 0.5))), 4)"
+
+
 @register(
     "resolve_autopick",
-    f"""WITH {_TRIGRAM} SELECT query_id, CASE WHEN n_exact = 1 THEN exact_id WHEN top >= 0.6 AND top - second >= 0.15 THEN best END AS picked, n_exact <> 1 AND NOT coalesce(top >= 0.6 AND top - second >= 0.15, false) AS ask FROM (
-    SELECT query_id, COUNT(*) FILTER (WHERE p.p_name = q.p_name) AS n_exact, MIN(id) FILTER (WHERE p.p_name = q.p_name) AS exact_id,
-    MAX(score) FILTER (WHERE rank = 1) AS top, MAX(score) FILTER (WHERE rank = 2) AS second, MAX(id) FILTER (WHERE rank = 1) AS best
-    FROM tri JOIN part p ON p.p_partkey = id JOIN part q ON q.p_partkey = query_id WHERE rank <= 10 GROUP BY 1)""",
+    f"""{_CANDIDATES},
+    lexical AS (SELECT * FROM (SELECT query_id, id, name, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pos FROM asked, live WHERE contains(lower(name), lower(text))) WHERE pos <= 5),
+    joint AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY channel, pos) AS place FROM (SELECT *, 0 AS channel FROM lexical
+        UNION ALL SELECT query_id, id, name, pos, 1 FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM lexical l WHERE l.query_id = c.query_id AND l.id = c.id)) QUALIFY place <= 10),
+    s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS turn FROM (SELECT b.*, lower(trim(name)) = lower(trim(text)) AS exact, {_SIMILAR} AS score FROM joint b JOIN asked USING (query_id))),
+    c AS (SELECT query_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE exact) AS n_exact, MIN(id) FILTER (WHERE exact) AS exact_id, MAX(id) FILTER (WHERE turn = 1) AS best, MAX(score) FILTER (WHERE turn = 1) AS top, MAX(score) FILTER (WHERE turn = 2) AS second FROM s GROUP BY 1)
+    SELECT query_id, coalesce(n, 0) AS n, CASE WHEN n_exact = 1 THEN exact_id WHEN top >= 0.6 AND (second IS NULL OR round(top - second, 4) >= 0.15) THEN best END AS picked,
+    coalesce(n_exact <> 1 AND NOT (top >= 0.6 AND (second IS NULL OR round(top - second, 4) >= 0.15)), false) AS ask FROM asked LEFT JOIN c USING (query_id)""",
 )
-def resolve_autopick(spark: SparkSession, d: str, floor: float = 0.6, gap: float = 0.15) -> DataFrame:
-    """A single exact name wins; else the best one if it is good enough and clearly ahead; else ask."""
-    names = table(spark, d, "part").select("p_partkey", "p_name")
-    c = trigram_ranks(spark, d, 10)
-    c = c.join(names.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id").join(names.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("asked")), "query_id")
-    exact = F.col("name") == F.col("asked")
-    g = c.groupBy("query_id").agg(
-        F.count_if(exact).alias("n_exact"), F.min(F.when(exact, F.col("id"))).alias("exact_id"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("best"),
-    )
-    clear = F.coalesce((F.col("top") >= floor) & (F.col("top") - F.col("second") >= gap), F.lit(False))
-    return g.select("query_id", F.when(F.col("n_exact") == 1, F.col("exact_id")).when(clear, F.col("best")).alias("picked"), ((F.col("n_exact") != 1) & ~clear).alias("ask"))
+def resolve_autopick(spark: SparkSession, d: str) -> DataFrame:
+    """Names that contain the question, then fused candidates; an exact name or a clear best one is picked, else one asks."""
+    asked, live = asked_names(spark, d), live_names(spark, d)
+    score = T.sigmoid(12 * (T.trigram_similarity(T.trigrams(F.col("text")), T.trigrams(F.col("name"))) - 0.5))
+    return E.resolve(asked, E.containing(asked, live, E.MOST_LEXICAL), fused_candidates(spark, d), score).withColumnRenamed("needs", "ask")
 
 
-@register("resolver_quality", f"WITH {_TRIGRAM} SELECT coalesce(class, 'TOTAL') AS class, COUNT(*) AS n, COUNT(*) FILTER (WHERE pos = 1) AS top1, COUNT(*) FILTER (WHERE pos IS NOT NULL) AS found FROM (SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'typo' ELSE 'reordered' END AS class, MIN(rank) FILTER (WHERE id = query_id AND rank <= 10) AS pos FROM tri GROUP BY 1) GROUP BY ROLLUP (class)")
+@register("resolver_quality", f"WITH {_TRIGRAM.format(k=10)} SELECT coalesce(class, 'TOTAL') AS class, COUNT(*) AS n, COUNT(*) FILTER (WHERE pos = 1) AS top1, COUNT(*) FILTER (WHERE pos IS NOT NULL) AS found FROM (SELECT query_id, class, MIN(rank) FILTER (WHERE id = query_id) AS pos FROM asked LEFT JOIN tri USING (query_id) GROUP BY 1, 2) GROUP BY ROLLUP (class)")
 def resolver_quality(spark: SparkSession, d: str) -> DataFrame:
     """Per class of case: how many, how many first, how many among the candidates; and the total."""
-    classes = F.when(F.col("query_id") % 3 == 0, "control").when(F.col("query_id") % 3 == 1, "typo").otherwise("reordered")
-    best = trigram_ranks(spark, d, 10).groupBy("query_id").agg(F.min(F.when(F.col("id") == F.col("query_id"), F.col("rank"))).alias("pos")).withColumn("class", classes)
-    return best.rollup("class").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == 1).alias("top1"), F.count("pos").alias("found")).select(F.coalesce("class", F.lit("TOTAL")).alias("class"), "n", "top1", "found")
+    own = trigram_ranks(spark, d, 10).where("id = query_id").select("query_id", F.col("rank").alias("pos"))
+    cases = asked_names(spark, d).join(own, "query_id", "left")
+    return cases.rollup("class").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == 1).alias("top1"), F.count("pos").alias("found")).select(F.coalesce("class", F.lit("TOTAL")).alias("class"), "n", "top1", "found")
 
 
 @register("entity_mirror", f"SELECT p_partkey AS id, trim(regexp_replace(translate(lower(p_name || ' P' || p_partkey || ' ' || p_type), '{T.ACCENTED}', '{T.PLAIN}'), '[ \\t\\n\\r]+', ' ', 'g')) AS search_text, p_name || ' P' || p_partkey || ' ' || p_type AS embed_text FROM part")
