@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,8 +128,8 @@ class VectorIndex:
         """As Parquet: the rows by list, and one row per list."""
         spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
-        lists = pd.DataFrame({"list": range(len(self.spread)), "centroid": list(self.centroids), "spread": self.spread, "pieces": self.pieces, "probes": self.probes})
-        spark.createDataFrame(lists, "list int, centroid array<double>, spread double, pieces long, probes int").coalesce(1).write.parquet(f"{path}/lists")
+        lists = pa.table({"list": np.arange(len(self.spread)), "centroid": list(self.centroids), "spread": self.spread, "pieces": self.pieces, "probes": [self.probes] * len(self.spread)})
+        spark.createDataFrame(lists).coalesce(1).write.parquet(f"{path}/lists")
 
 
 def open_index(spark: SparkSession, path: str) -> VectorIndex:

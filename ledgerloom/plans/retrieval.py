@@ -282,7 +282,7 @@ def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
     return fused_candidates(spark, d).select("query_id", "id", "name", "rrf", "pos")
 
 
-_SIMILAR = f"round(1 / (1 + exp(-(12 * (len(list_intersect({_GRAMS.format('text')}, {_GRAMS.format('name')})) / len(list_distinct(list_concat({_GRAMS.format('text')}, {_GRAMS.format('name')}))) - 0.5))), 4)"
+_SIMILAR = f"round(1 / (1 + exp(-(12 * (len(list_intersect({_GRAMS.format('text')}, {_GRAMS.format('name')})) / len(list_distinct(list_concat({_GRAMS.format('text')}, {_GRAMS.format('name')}))) - 0.5)))), 4)"
 
 
 @register(
