@@ -3,8 +3,9 @@
 A text becomes terms by a segmentation, a function from a text Column to an array Column; the index keeps it and asks with the same one.
 A document that has all terms of a question matches it; its score is how often it has them.
 
-Documents with the same terms in the same order are one class: only the one with the smallest id is indexed, the others are its members,
-so copies cost no pairs. Questions with the same terms are asked once.
+A block holds the postings of the documents that a task reads together: one row per term with the documents, how often each has the term,
+and how many distinct terms it has. So building takes one scan and no shuffle. A question reads the postings of its rarest terms
+only; what has all of those is verified on its text. Questions with the same terms are asked once.
 
 Defined results: null and empty texts have no terms; they match nothing and ask for nothing. doc_id is the documents' key. Equal scores go by
 the smaller doc_id.
@@ -13,10 +14,12 @@ the smaller doc_id.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -24,10 +27,13 @@ from pyspark.sql.types import LongType
 from ledgerloom.session import saved
 
 Segmentation = Callable[[Column], Column]
-#: Ids per packed block of postings.
+#: Documents of a packed block of postings, at most.
 BLOCK = 4096
+POSTINGS = "term string, docs array<long>, counts array<int>, sizes array<int>"
 #: Terms of a question, rarest first, whose postings are read; the rest is verified on the texts of what they leave.
 LEADING = 3
+#: Documents up to this many are looked up by a broadcast of their ids.
+BROADCAST_IDS = 200_000
 
 
 # --- segmentations --------------------------------------------------------------------------
@@ -63,32 +69,41 @@ def _literal(phrase: str) -> str:
 
 @dataclass
 class TextIndex:
-    """texts(doc_id, text), classes(doc_id, leader) of documents that another one stands for, postings(term, block, docs,
-    counts, sizes), frequencies(term, n): in how many indexed documents."""
+    """texts(doc_id, text), postings(term, docs, counts, sizes), frequencies(term, n): in how many documents."""
 
     segment: Segmentation
     texts: DataFrame
-    classes: DataFrame
     postings: DataFrame
     frequencies: DataFrame
 
 
+def packed(docs: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
+    """The postings of a block, from its documents' terms."""
+    coded = terms.flatten().dictionary_encode()
+    of = np.repeat(np.arange(len(docs)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    # (term, document) pairs, in this order, each once
+    pair, n = np.unique(coded.indices.to_numpy().astype(np.int64) * len(docs) + of, return_counts=True)
+    term, doc = np.divmod(pair, max(1, len(docs)))
+    size = np.bincount(doc, minlength=len(docs))
+    starts = pa.array(np.searchsorted(term, np.arange(len(coded.dictionary) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(starts, pa.array(x, kind)) for x, kind in ((docs[doc], pa.int64()), (n, pa.int32()), (size[doc], pa.int32()))]
+    return pa.record_batch([coded.dictionary, *lists], names=["term", "docs", "counts", "sizes"])
+
+
 def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextIndex:
     """An index of docs(doc_id, text)."""
     texts = docs.select("doc_id", "text")
-    terms = segment(F.col("text"))
-    keyed = texts.select("doc_id", F.md5(F.array_join(terms, "\n").cast("binary")).alias("same"))
-    shared = keyed.groupBy("same").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    classes = saved(keyed.join(shared, "same").where("doc_id <> leader").select("doc_id", "leader"))
-    leaders = texts.join(classes.select("doc_id"), "doc_id", "left_anti")
-    sized = leaders.select("doc_id", terms.alias("terms")).withColumn("size", F.size(F.array_distinct("terms")))
-    counted = sized.select("doc_id", "size", F.explode("terms").alias("term")).groupBy("term", "doc_id", "size").agg(F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", "n", "size")))
-    blocks = counted.groupBy("term", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(listed.alias("x"))
-    field = lambda name, kind: F.transform("x", lambda s: s[name].cast(kind))
-    postings = saved(blocks.select("term", "block", field("doc_id", "long").alias("docs"), field("n", "int").alias("counts"), field("size", "int").alias("sizes")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at in range(0, part.num_rows, BLOCK):
+                rows = part.slice(at, BLOCK)
+                yield packed(rows.column("doc_id").to_numpy(), rows.column("terms"))
+
+    terms = texts.select("doc_id", segment(F.col("text")).alias("terms")).where("doc_id is not null and size(terms) > 0")
+    postings = saved(terms.mapInArrow(run, POSTINGS))
     frequencies = saved(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("n")))
-    return TextIndex(segment, texts, classes, postings, frequencies)
+    return TextIndex(segment, texts, postings, frequencies)
 
 
 @F.pandas_udf(LongType())
@@ -102,8 +117,8 @@ def occurrences(asked: pd.Series, terms: pd.Series) -> pd.Series:
 
 
 def unpacked(postings: DataFrame) -> DataFrame:
-    """(term, leader, size), a row per posting."""
-    return postings.select("term", F.explode(F.arrays_zip("docs", "sizes")).alias("p")).select("term", F.col("p.docs").alias("leader"), F.col("p.sizes").alias("size"))
+    """(term, doc_id, size), a row per posting."""
+    return postings.select("term", F.explode(F.arrays_zip("docs", "sizes")).alias("p")).select("term", F.col("p.docs").alias("doc_id"), F.col("p.sizes").alias("size"))
 
 
 def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
@@ -122,16 +137,12 @@ def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
     hits = leading.withColumn("term", F.col(first)).join(unpacked(index.postings), "term").where("size >= need").drop("term", "size")
     for column in rest:
         other = unpacked(index.postings.join(leading.select(F.col(column).alias("term")).distinct(), "term", "left_semi"))
-        other = other.select(F.col("term").alias(column), "leader", F.lit(True).alias("has"))
-        hits = hits.join(other, [column, "leader"], "left").where(F.col("has") | F.col(column).isNull()).drop("has")
-    hits = saved(hits.select("same", "leader"))
-    read = index.texts.join(hits.select("leader").distinct(), F.col("doc_id") == F.col("leader"), "left_semi").select(F.col("doc_id").alias("leader"), index.segment(F.col("text")).alias("found"))
-    scored = hits.join(unique, "same").join(read, "leader").select("same", "leader", occurrences("terms", "found").alias("score")).where("score is not null")
-    # each class's first k documents are enough
-    among = F.row_number().over(Window.partitionBy("leader").orderBy("doc_id"))
-    members = index.classes.withColumn("place", among).where(F.col("place") < k).select("leader", "doc_id")
-    scored = saved(scored)
-    found = scored.withColumn("doc_id", F.col("leader")).unionByName(scored.join(members, "leader"))
+        other = other.select(F.col("term").alias(column), "doc_id", F.lit(True).alias("has"))
+        hits = hits.join(other, [column, "doc_id"], "left").where(F.col("has") | F.col(column).isNull()).drop("has")
+    hits = saved(hits.select("same", "doc_id"))
+    ids = hits.select("doc_id").distinct()
+    read = index.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("doc_id", index.segment(F.col("text")).alias("found"))
+    scored = hits.join(unique, "same").join(read, "doc_id").select("same", "doc_id", occurrences("terms", "found").alias("score")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("score"), "doc_id"))
-    found = found.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
+    found = scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
     return queries.select("query_id", "same").join(found, "same").select("query_id", "doc_id", "score", "rank")

@@ -12,4 +12,4 @@ from ledgerloom.plans import (  # noqa: F401
     sales,
     supply,
 )
-from ledgerloom.streaming import ledgers  # noqa: F401
+from ledgerloom.streaming import ledgers, threads  # noqa: F401

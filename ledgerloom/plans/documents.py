@@ -17,7 +17,8 @@ from ledgerloom.functions import text as T
 from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
-from ledgerloom.session import table
+from ledgerloom.session import new_folder, table
+from ledgerloom.sources.store import ChunkStore, Mirror, sync
 
 CHUNK_TOKENS, OVERLAP_TOKENS, SMALL_TOKENS = 400, 60, 80
 SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
@@ -149,23 +150,55 @@ def incremental(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 @register(
     "doc_incremental",
-    """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'delete' WHEN doc_id % 10 = 2 THEN 'replace' ELSE 'skip' END AS action FROM documents""",
+    """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'delete' WHEN o.h <> n.h THEN 'replace' ELSE 'skip' END AS action FROM
+    (SELECT doc_id, sha256(regexp_replace(text, '\n[^\n]*$', '')) AS h FROM documents WHERE lang <> 'es') o FULL JOIN (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr') n ON o.doc_id = n.doc_id""",
 )
 def doc_incremental(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    stored = docs.where("doc_id % 10 <> 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    changed = F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    incoming = docs.where("doc_id % 10 <> 1").select("doc_id", F.sha2(changed.cast("binary"), 256).alias("hash"))
-    return incremental(stored, incoming)
+    return incremental(earlier_documents(spark, d).select("doc_id", "hash"), hashed(table(spark, d, "documents").where("lang <> 'fr'")).select("doc_id", "hash"))
 
 
-@register("mirror_sync", "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'delete' WHEN p_partkey % 7 = 1 THEN 'insert' ELSE 'update' END AS action FROM part")
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+def earlier_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as they were before: without their last lines, and those of one language not yet there."""
+    docs = table(spark, d, "documents").where("lang <> 'es'")
+    return hashed(docs.withColumn("text", F.regexp_replace("text", r"\n[^\n]*\z", "")))
+
+
+def line_chunks(docs: DataFrame) -> DataFrame:
+    """A chunk per line that isn't empty."""
+    return docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("chunk_index", "chunk_text"))
+
+
+@register(
+    "doc_replace",
+    """SELECT doc_id, i - 1 AS chunk_index, md5(chunk) AS chunk_md5, version FROM (
+    SELECT doc_id, unnest(t) AS chunk, unnest(range(1, len(t) + 1)) AS i, CASE WHEN lang <> 'es' AND NOT contains(text, chr(10)) THEN 1 ELSE 2 END AS version
+    FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM documents WHERE lang <> 'fr'))""",
+)
+def doc_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The store after the documents came again: changed ones with new chunks, others with those that they had, and without what is gone."""
+    store = ChunkStore(spark, new_folder(spark, "store"))
+    store.replace(earlier_documents(spark, d), line_chunks)
+    now = hashed(table(spark, d, "documents").where("lang <> 'fr'"))
+    store.replace(now, line_chunks)
+    store.drop_missing(now)
+    return store.chunks().select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"), "version")
+
+
+@register("mirror_sync", "SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'delete' WHEN p_size >= 45 THEN 'insert' ELSE 'update' END AS action FROM part")
 def mirror_sync(spark: SparkSession, d: str) -> DataFrame:
-    """What brings a mirror up to date: upserts from the source, deletes of what it no longer has."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    mirror, source = p.where("id % 7 <> 1"), p.where("id % 7 <> 0")
-    upserts = source.join(mirror.withColumn("had", F.lit(True)), "id", "left").select("id", F.when(F.col("had"), "update").otherwise("insert").alias("action"))
-    return upserts.unionByName(mirror.join(source, "id", "left_anti").select("id", F.lit("delete").alias("action")))
+    """What a second run over the source's pages changes in a mirror: upserts of all it brings, deletes of what it no longer has."""
+    base = new_folder(spark, "mirror")
+    mirror = Mirror(spark, f"{base}/rows")
+    pages = spark.readStream.schema(table(spark, d, "part").schema).option("pathGlobFilter", "part.parquet").parquet(d)
+    records = lambda condition: pages.where(condition).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    sync(records("p_size < 45"), mirror, "first", f"{base}/first")
+    before = mirror.log.version()
+    sync(records("p_size > 5"), mirror, "second", f"{base}/second")
+    return mirror.changes(before, mirror.log.version())
 
 
 @register("embedding_guard", "SELECT label, COUNT(*) AS n, MIN(len(embedding)) AS dim, MIN(len(embedding)) = 64 AND MAX(len(embedding)) = 64 AS ok FROM embeddings GROUP BY 1")

@@ -190,13 +190,12 @@ def entry_hash(prev: str, row) -> str:
     return hashlib.sha256(json.dumps(fields, ensure_ascii=False).encode()).hexdigest()
 
 
-_AUDIT = "chain long, id long, ts timestamp_ntz, event_type string, caller long, tool_name string, prev_hash string, entry_hash string"
+AUDIT = "chain long, id long, ts timestamp_ntz, event_type string, caller long, tool_name string, prev_hash string, entry_hash string"
 
 
-def audit_rows(spark: SparkSession, d: str) -> DataFrame:
+def audit_rows(events: DataFrame) -> DataFrame:
     """One chain per caller: each chain has a single writer, and chains are linked side by side."""
-    e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("chain"), F.col("event_id").alias("id"), "ts", "event_type", F.col("user_id").alias("caller"), F.concat(F.lit("tool_"), "event_type").alias("tool_name"))
+    return events.select(F.col("user_id").alias("chain"), F.col("event_id").alias("id"), "ts", "event_type", F.col("user_id").alias("caller"), F.concat(F.lit("tool_"), "event_type").alias("tool_name"))
 
 
 def append_chain(rows: DataFrame) -> DataFrame:
@@ -211,21 +210,23 @@ def append_chain(rows: DataFrame) -> DataFrame:
             own.append(prev)
         return part.assign(prev_hash=before, entry_hash=own)
 
-    return rows.groupBy("chain").applyInPandas(fold, _AUDIT)
+    return rows.groupBy("chain").applyInPandas(fold, AUDIT)
 
 
 def verify_chain(linked: DataFrame) -> DataFrame:
     """(chain, n, broken_at, reason): the first break by id; a wrong link is named before a wrong entry.
 
-    Every row is checked by itself against its own link and its predecessor's hash.
+    Every row is checked by itself against its own link and its predecessor's hash. Rows without a hash were logged before
+    there were chains and are left out.
     """
+    linked = linked.where("entry_hash is not null")
 
     def recompute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             yield part.assign(expected=[entry_hash(r.prev_hash, r) for r in part.itertuples(index=False)])
 
     order = Window.partitionBy("chain").orderBy("id")
-    rows = linked.mapInPandas(recompute, _AUDIT + ", expected string")
+    rows = linked.mapInPandas(recompute, AUDIT + ", expected string")
     rows = rows.withColumn("link", F.coalesce(F.lag("entry_hash").over(order), F.lit(GENESIS)))
     why = F.when(F.col("prev_hash") != F.col("link"), "prev_hash").when(F.col("entry_hash") != F.col("expected"), "entry_hash")
     rows = rows.withColumn("why", why)
@@ -235,13 +236,13 @@ def verify_chain(linked: DataFrame) -> DataFrame:
 
 @register("chain_append")
 def chain_append(spark: SparkSession, d: str) -> DataFrame:
-    return append_chain(audit_rows(spark, d))
+    return append_chain(audit_rows(table(spark, d, "events")))
 
 
 @register("chain_verify", "SELECT user_id AS chain, COUNT(*) AS n, MIN(event_id) FILTER (WHERE event_id % 997 = 5) AS broken_at, CASE WHEN MIN(event_id) FILTER (WHERE event_id % 997 = 5) IS NULL THEN 'OK' ELSE 'entry_hash' END AS reason FROM events GROUP BY 1")
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     """Verification finds exactly the rows that were tampered with after they were linked."""
-    linked = append_chain(audit_rows(spark, d))
+    linked = append_chain(audit_rows(table(spark, d, "events")))
     tampered = linked.withColumn("tool_name", F.when(F.col("id") % 997 == 5, F.lit("forged")).otherwise(F.col("tool_name")))
     return verify_chain(tampered)
 

@@ -182,11 +182,14 @@ class ChunkStore:
         for _ in range(ATTEMPTS):
             base = self.log.version()
             known = self.documents(base)
-            fresh = incoming if known is None else incoming.join(known.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+            named, fresh = incoming.select("doc_id", "hash"), incoming
+            if known is not None:
+                named = saved(named.join(known.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti"))
+                fresh = incoming.join(named.select("doc_id"), "doc_id", "left_semi")  # texts move only if many documents changed
             batch = self.log.new_batch()
-            chunks = self.log.write(batch, "chunks", chunk(saved(fresh)))
+            chunks = self.log.write(batch, "chunks", chunk(fresh))
             counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-            taken = self.log.write(batch, "documents", fresh.select("doc_id", "hash").join(counts, "doc_id").withColumn("deleted", F.lit(False)))
+            taken = self.log.write(batch, "documents", named.join(counts, "doc_id").withColumn("deleted", F.lit(False)))
             found = taken.agg(F.count("*"), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
             if not found[0] or self.log.commit(base + 1, {"batch": batch, "kinds": ["documents", "chunks"]}):
                 return {"ingested": found[0], "skipped": n - found[0], "chunks": found[1]}

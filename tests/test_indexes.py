@@ -127,9 +127,10 @@ def test_conjunctions(spark):
     index = X.build_text_index(docs)
     got = X.conjunctive(index, asked, 20)
     assert sorted((r.query_id, r.doc_id, r.score, r.rank) for r in got.collect()) == plain_conjunctive(texts(), 20)
-    # copies are indexed once, and a block holds no more ids than it may
-    assert index.postings.where("exists(docs, x -> x between 200 and 239)").isEmpty()
-    assert index.postings.agg(F.max(F.size("docs"))).first()[0] <= X.BLOCK
+    rows = index.postings.collect()
+    counts = {i: Counter((t or "").lower().split()) for i, t in texts()}
+    assert {(r.term, d): (n, m) for r in rows for d, n, m in zip(r.docs, r.counts, r.sizes, strict=True)} == {(w, i): (n, len(c)) for i, c in counts.items() for w, n in c.items()}
+    assert sum(len(r.docs) for r in rows) == sum(map(len, counts.values()))
     assert X.conjunctive(X.build_text_index(docs.limit(0)), asked, 20).count() == 0
 
 
