@@ -18,6 +18,7 @@ from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
 from ledgerloom.session import new_folder, table
+from ledgerloom.sources import office
 from ledgerloom.sources.store import ChunkStore, Mirror, sync
 
 CHUNK_TOKENS, OVERLAP_TOKENS, SMALL_TOKENS = 400, 60, 80
@@ -201,6 +202,49 @@ def mirror_sync(spark: SparkSession, d: str) -> DataFrame:
     return mirror.changes(before, mirror.log.version())
 
 
+#: Customers per office file.
+FILE_CUSTOMERS = 500
+
+
+def write_customer_files(spark: SparkSession, d: str, path: str) -> None:
+    """A document and a workbook for each nation's customers, FILE_CUSTOMERS keys to a file."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = table(spark, d, "customer").join(F.broadcast(nations), "c_nationkey")  # nations are few, whatever the customers
+    c = c.select("c_nationkey", "n_name", F.floor(F.col("c_custkey") / FILE_CUSTOMERS).alias("part"), "c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("balance"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c_custkey")
+        store, inner, _ = office.store_at(path)
+        name = f"{inner}/{key[0]}-{key[2]}"
+        store.create_dir(inner, recursive=True)
+        for kind, content in (
+            ("docx", office.docx_file([(key[1], 1), *((f"{n} owes {b}" if b else n, None) for n, b in zip(rows["c_name"], rows["balance"], strict=True))])),
+            ("xlsx", office.xlsx_file({key[1]: [["name", "balance"], *rows[["c_name", "balance"]].values.tolist()]})),
+        ):
+            with store.open_output_stream(f"{name}.{kind}", compression=None) as f:
+                f.write(content)
+        return pd.DataFrame({"name": [name]})
+
+    c.groupBy("c_nationkey", "n_name", "part").applyInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+@register(
+    "office_files",
+    f"""WITH c AS (SELECT c_nationkey || '-' || c_custkey // {FILE_CUSTOMERS} AS file, n_name, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal::DECIMAL(18,2)::VARCHAR END AS balance,
+        row_number() OVER (PARTITION BY c_nationkey, c_custkey // {FILE_CUSTOMERS} ORDER BY c_custkey) AS position FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT file || '.docx' AS file, 0 AS position, n_name AS text, 1 AS heading_level, NULL AS sheet, NULL AS cells FROM c GROUP BY file, n_name
+    UNION ALL SELECT file || '.docx', position, c_name || coalesce(' owes ' || balance, ''), NULL, NULL, NULL FROM c
+    UNION ALL SELECT file || '.xlsx', position, NULL, NULL, n_name, c_name || coalesce('|' || balance, '') FROM c""",
+)
+def office_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of documents and workbooks, read at once by extension."""
+    path = new_folder(spark, "office")
+    write_customer_files(spark, d, path)
+    office.use_office(spark)
+    rows = spark.read.format("office").load(path)
+    return rows.select(F.substring_index("path", "/", -1).alias("file"), "position", "text", "heading_level", "sheet", F.array_join("cells", "|").alias("cells"))
+
+
 @register("embedding_guard", "SELECT label, COUNT(*) AS n, MIN(len(embedding)) AS dim, MIN(len(embedding)) = 64 AND MAX(len(embedding)) = 64 AS ok FROM embeddings GROUP BY 1")
 def embedding_guard(spark: SparkSession, d: str, dim: int = 64) -> DataFrame:
     """Vectors of another dimension must fail loudly before anything is scored."""
