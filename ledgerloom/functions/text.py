@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäëïöüñçßåîû"
-PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaeiouncsaiu"
+#: Letters without a decomposition that fold to another one all the same.
+STROKED = {"đ": "d", "Đ": "D"}
+_HANGUL, _LEADS, _VOWELS, _TAILS = 0xAC00, 19, 21, 28
+
+
+@functools.cache
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode tables: letters, what each becomes without its marks (marks stand after them and become nothing), and the few
+    letters that decompose into several which aren't marks. Hangul syllables go by arithmetic and aren't listed."""
+    one, several, gone = dict(STROKED), {}, []
+    for ch in map(chr, (*range(0x80, _HANGUL), *range(_HANGUL + _LEADS * _VOWELS * _TAILS, 0xD800), *range(0xE000, 0x30000))):
+        bare = "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c))
+        if not bare:
+            gone.append(ch)
+        elif len(bare) > 1:
+            several[ch] = bare
+        elif bare != ch:
+            one[ch] = bare
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+def _jamo(c: Column) -> Column:
+    """Hangul syllables as their letters."""
+    at = F.ascii(c) - _HANGUL
+    letter = lambda first, n, i: F.get(F.array(*[F.lit(chr(first + k) if first + k != 0x11A7 else "") for k in range(n)]), i.cast("int"))
+    parts = (letter(0x1100, _LEADS, F.floor(at / (_VOWELS * _TAILS))), letter(0x1161, _VOWELS, F.floor(at % (_VOWELS * _TAILS) / _TAILS)), letter(0x11A7, _TAILS, at % _TAILS))
+    return F.when((at >= 0) & (at < _LEADS * _VOWELS * _TAILS), F.concat(*parts)).otherwise(c)
+
+
+def unaccented(c: Column) -> Column:
+    """Canonical decomposition without combining marks: composed and decomposed spellings give the same letters."""
+    letters, plain, several = decompositions()
+    spread = functools.reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), several.items(), c)
+    c = F.when(c.rlike(f"[{''.join(several)}]"), spread).otherwise(c)
+    c = F.when(c.rlike("[\\x{AC00}-\\x{D7A3}]"), F.array_join(F.transform(F.split(c, ""), _jamo), "")).otherwise(c)
+    return F.translate(c, letters, plain)
 
 
 def fold(c: Column) -> Column:
-    """Lower case, no accents, single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[ \\t\\n\\r]+", " "))
+    """No accents, lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(unaccented(c)), "[\\s\\p{Z}\\x{85}\\x{1C}-\\x{1F}]+", " "))
 
 
 def trigrams(c: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 import difflib
 import itertools
-import json
 import re
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions import variant
 from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
@@ -269,32 +269,32 @@ def difflib_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), ratio("p_name", "p_type").alias("ratio"))
 
 
-def contains_args(expected, got) -> bool:
-    """All expected keys are there and equal: numbers as floats, texts normalised, lists of equal length; more keys are fine."""
-    if isinstance(expected, dict):
-        return isinstance(got, dict) and all(k in got and contains_args(v, got[k]) for k, v in expected.items())
-    if isinstance(expected, list):
-        return isinstance(got, list) and len(got) == len(expected) and all(contains_args(a, b) for a, b in zip(expected, got, strict=True))
-    if isinstance(expected, (int, float)) and not isinstance(expected, bool):
-        try:
-            return float(got) == float(expected)
-        except (TypeError, ValueError):
-            return False
-    return " ".join(str(expected).lower().split()) == " ".join(str(got).lower().split())
-
-
-@register("args_match")
+@register(
+    "args_match",
+    "SELECT event_id, (props::JSON->>'k')::BIGINT = floor(abs(value))::BIGINT % 100 AS matches FROM events",
+)
 def args_match(spark: SparkSession, d: str) -> DataFrame:
-    """Does each event's JSON hold what is expected of its kind?"""
+    """Do the arguments of each event hold what is expected: its kind in any spelling, and the number of its properties, also as text?"""
+    e = table(spark, d, "events")
+    number = F.floor(F.abs("value")).cast("long") % 100
+    expected = F.to_json(F.struct(F.upper("event_type").alias("kind"), F.array(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("args")))
+    got = F.to_json(F.struct(F.concat(F.lit(" "), "event_type").alias("kind"), F.array(F.struct(number.cast("string").alias("k"), F.lit(1).alias("more"))).alias("args"), F.col("user_id").alias("user")))
+    return variant.matches(e.select("event_id", expected.alias("expected"), got.alias("got")), "expected", "got").select("event_id", "matches")
 
-    @F.pandas_udf("boolean")
-    def match(expected: pd.Series, got: pd.Series) -> pd.Series:
-        return pd.Series([contains_args(json.loads(a), json.loads(b) if b else None) for a, b in zip(expected, got, strict=True)])
 
-    e = table(spark, d, "events")
-    expected = F.to_json(F.struct(F.upper("event_type").alias("type"), F.col("user_id").cast("string").alias("user")))
-    got = F.to_json(F.struct(F.col("event_type").alias("type"), (F.col("user_id") + F.when(F.col("event_id") % 4 == 0, 1).otherwise(0)).alias("user"), F.lit(1).alias("more")))
-    return e.select("event_id", match(expected, got).alias("matches"))
+@register(
+    "payload_check",
+    """SELECT doc_id, CASE WHEN n + 1 + (len(w) > 0)::INT > 10 THEN 'deep' WHEN len(list_filter(w, lambda x: NOT regexp_full_match(x, '[a-z_][a-z0-9_]*'))) > 0 THEN 'key' ELSE 'ok' END AS verdict
+    FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')) AS w, least(len(text) - len(replace(text, chr(10), '')), 20) AS n FROM documents)""",
+)
+def payload_check(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads with a document's words as keys, as deep as it has lines (up to twenty): are they ones to take?"""
+    words = F.array_distinct(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != ""))
+    keys = F.to_json(F.map_from_arrays(words, F.transform(words, lambda w: F.lit(1))))
+    n = F.least(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(20))
+    payload = F.concat(F.lit('{"lines": '), F.repeat(F.lit("["), n), keys, F.repeat(F.lit("]"), n), F.lit("}"))
+    docs = table(spark, d, "documents").select("doc_id", payload.alias("payload"))
+    return variant.payload_verdicts(docs, "payload").select("doc_id", "verdict")
 
 
 @register("discontinued_lots", oracle("SELECT q.product_id FROM (SELECT DISTINCT product_id FROM quant) q LEFT JOIN (SELECT DISTINCT product_id FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE o.date_order >= TIMESTAMP '2001-01-01') l USING (product_id) WHERE l.product_id IS NULL", "quant", "sale_order_line", "sale_order"))

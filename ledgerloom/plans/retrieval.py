@@ -311,7 +311,7 @@ def resolver_quality(spark: SparkSession, d: str) -> DataFrame:
     return cases.rollup("class").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == 1).alias("top1"), F.count("pos").alias("found")).select(F.coalesce("class", F.lit("TOTAL")).alias("class"), "n", "top1", "found")
 
 
-@register("entity_mirror", f"SELECT p_partkey AS id, trim(regexp_replace(translate(lower(p_name || ' P' || p_partkey || ' ' || p_type), '{T.ACCENTED}', '{T.PLAIN}'), '[ \\t\\n\\r]+', ' ', 'g')) AS search_text, p_name || ' P' || p_partkey || ' ' || p_type AS embed_text FROM part")
+@register("entity_mirror", f"SELECT p_partkey AS id, trim(regexp_replace(lower(strip_accents(p_name || ' P' || p_partkey || ' ' || p_type)), '[ \\t\\n\\r]+', ' ', 'g')) AS search_text, p_name || ' P' || p_partkey || ' ' || p_type AS embed_text FROM part")
 def entity_mirror(spark: SparkSession, d: str) -> DataFrame:
     """The index's two texts: normalised to search in, natural to embed."""
     natural = F.concat_ws(" ", "p_name", F.concat(F.lit("P"), F.col("p_partkey").cast("string")), "p_type")
