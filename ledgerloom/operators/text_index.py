@@ -4,8 +4,9 @@ A text becomes terms by a segmentation, a function from a text Column to an arra
 A document that has all terms of a question matches it; its score is how often it has them.
 
 A block holds the postings of the documents that a task reads together: one row per term with the documents, how often each has the term,
-and how many distinct terms it has. So building takes one scan and no shuffle. A question reads the postings of its rarest terms
-only; what has all of those is verified on its text. Questions with the same terms are asked once.
+and how many distinct terms it has. So building takes one scan and no shuffle. A question reads all postings of its rarest term; the
+documents found are looked up in their own blocks' postings of the next rarest ones, and what has those as well is verified
+on its text. Questions with the same terms are asked once.
 
 Defined results: null and empty texts have no terms; they match nothing and ask for nothing. doc_id is the documents' key. Equal scores go by
 the smaller doc_id.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -29,7 +31,7 @@ from ledgerloom.session import saved
 Segmentation = Callable[[Column], Column]
 #: Documents of a packed block of postings, at most.
 BLOCK = 4096
-POSTINGS = "term string, docs array<long>, counts array<int>, sizes array<int>"
+POSTINGS = "term string, block long, docs array<long>, counts array<int>, sizes array<int>"
 #: Terms of a question, rarest first, whose postings are read; the rest is verified on the texts of what they leave.
 LEADING = 3
 #: Documents up to this many are looked up by a broadcast of their ids.
@@ -69,7 +71,7 @@ def _literal(phrase: str) -> str:
 
 @dataclass
 class TextIndex:
-    """texts(doc_id, text), postings(term, docs, counts, sizes), frequencies(term, n): in how many documents."""
+    """texts(doc_id, text), postings(term, block, docs, counts, sizes), frequencies(term, n): in how many documents."""
 
     segment: Segmentation
     texts: DataFrame
@@ -77,7 +79,7 @@ class TextIndex:
     frequencies: DataFrame
 
 
-def packed(docs: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
+def packed(block: int, docs: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
     """The postings of a block, from its documents' terms."""
     coded = terms.flatten().dictionary_encode()
     of = np.repeat(np.arange(len(docs)), terms.value_lengths().to_numpy(zero_copy_only=False))
@@ -87,7 +89,7 @@ def packed(docs: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
     size = np.bincount(doc, minlength=len(docs))
     starts = pa.array(np.searchsorted(term, np.arange(len(coded.dictionary) + 1)), pa.int32())
     lists = [pa.ListArray.from_arrays(starts, pa.array(x, kind)) for x, kind in ((docs[doc], pa.int64()), (n, pa.int32()), (size[doc], pa.int32()))]
-    return pa.record_batch([coded.dictionary, *lists], names=["term", "docs", "counts", "sizes"])
+    return pa.record_batch([coded.dictionary, pa.array(np.full(len(coded.dictionary), block)), *lists], names=["term", "block", "docs", "counts", "sizes"])
 
 
 def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextIndex:
@@ -95,10 +97,12 @@ def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextInde
     texts = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for part in batches:
             for at in range(0, part.num_rows, BLOCK):
                 rows = part.slice(at, BLOCK)
-                yield packed(rows.column("doc_id").to_numpy(), rows.column("terms"))
+                yield packed(number, rows.column("doc_id").to_numpy(), rows.column("terms"))
+                number += 1
 
     terms = texts.select("doc_id", segment(F.col("text")).alias("terms")).where("doc_id is not null and size(terms) > 0")
     postings = saved(terms.mapInArrow(run, POSTINGS))
@@ -116,11 +120,6 @@ def occurrences(asked: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series(found, dtype="Int64")
 
 
-def unpacked(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, size), a row per posting."""
-    return postings.select("term", F.explode(F.arrays_zip("docs", "sizes")).alias("p")).select("term", F.col("p.docs").alias("doc_id"), F.col("p.sizes").alias("size"))
-
-
 def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
     """asked(query_id, text) -> (query_id, doc_id, score, rank): the k documents that have all terms, most often first."""
     terms = F.array_sort(F.array_distinct(index.segment(F.col("text"))))
@@ -134,15 +133,15 @@ def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
     leading = known.select("*", place.alias("place"), of_all.alias("known")).where(f"known = need and place <= {LEADING}")
     leading = saved(leading.groupBy("same", "need").pivot("place", list(range(1, LEADING + 1))).agg(F.first("term")))
     first, *rest = [str(i) for i in range(1, LEADING + 1)]
-    hits = leading.withColumn("term", F.col(first)).join(unpacked(index.postings), "term").where("size >= need").drop("term", "size")
+    found = leading.withColumn("term", F.col(first)).join(index.postings.select("term", "block", "docs", "sizes"), "term")
+    hits = found.select("same", "need", *rest, "block", F.explode(F.arrays_zip("docs", "sizes")).alias("p")).where("p.sizes >= need").select("same", *rest, "block", F.col("p.docs").alias("doc_id"))
     for column in rest:
-        other = unpacked(index.postings.join(leading.select(F.col(column).alias("term")).distinct(), "term", "left_semi"))
-        other = other.select(F.col("term").alias(column), "doc_id", F.lit(True).alias("has"))
-        hits = hits.join(other, [column, "doc_id"], "left").where(F.col("has") | F.col(column).isNull()).drop("has")
+        others = index.postings.select(F.col("term").alias(column), "block", "docs")
+        hits = hits.join(others, [column, "block"], "left").where(F.col(column).isNull() | F.array_contains("docs", F.col("doc_id"))).drop("docs")
     hits = saved(hits.select("same", "doc_id"))
     ids = hits.select("doc_id").distinct()
     read = index.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("doc_id", index.segment(F.col("text")).alias("found"))
     scored = hits.join(unique, "same").join(read, "doc_id").select("same", "doc_id", occurrences("terms", "found").alias("score")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("score"), "doc_id"))
-    found = scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
-    return queries.select("query_id", "same").join(found, "same").select("query_id", "doc_id", "score", "rank")
+    ranked = scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
+    return queries.select("query_id", "same").join(ranked, "same").select("query_id", "doc_id", "score", "rank")

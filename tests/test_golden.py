@@ -1,6 +1,7 @@
 """Small literal cases that random data never hits."""
 
 import io
+import json
 import zipfile
 import unicodedata
 
