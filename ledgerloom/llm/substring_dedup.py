@@ -240,6 +240,14 @@ def _sketches(length: int):
     return run
 
 
+def _wholes(words: ts.Words, h: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the whole word sequence of some of a batch's n texts; tells rows with one id apart."""
+    out = np.zeros(n, np.int64)
+    for i in texts.tolist():
+        out[i] = ts.whole(h[words.first[i] : words.first[i + 1]]).view(np.int64)
+    return out
+
+
 def _stretches(length: int, shards: int):
     """The words that the windows of each recurring anchor cover."""
 
@@ -258,16 +266,18 @@ def _stretches(length: int, shards: int):
             if not len(doc):
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            whole = _wholes(words, h, np.unique(doc), batch.num_rows)
             size = last - first + length
             flat = h[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(((anchor >> np.uint64(20)) % np.uint64(shards)).astype(np.int64), pa.int64()),
                     pa.array(ids[doc].astype(np.int64), pa.int64()),
+                    pa.array(whole[doc], pa.int64()),
                     pa.array(first - words.first[doc], pa.int64()),
                     ts.binaries((flat >> np.uint64(24)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].copy().reshape(-1), size * 5),
                 ],
-                names=["shard", "doc_id", "start", "words"],
+                names=["shard", "doc_id", "whole", "start", "words"],
             )
 
     return run
@@ -287,45 +297,50 @@ def _searched(length: int):
         numbers: dict[bytes, int] = {}
         which = np.array([numbers.setdefault(w, len(numbers)) for w in table.column("words").to_pylist()], np.int64)
         docs = table.column("doc_id").to_numpy()
+        whole = table.column("whole").to_numpy()
         start = table.column("start").to_numpy()
         stretches = [_wide(w) for w in numbers]
         smallest = np.full(len(stretches), np.iinfo(np.int64).max)
         np.minimum.at(smallest, which, docs)
         index = FMIndex(stretches, smallest, length)
         first = index.first_documents(stretches, length)
-        out_doc, out_from, out_to = [], [], []
-        for i, d, s in zip(which.tolist(), docs.tolist(), start.tolist(), strict=True):
+        out_doc, out_whole, out_from, out_to = [], [], [], []
+        for i, d, w, s in zip(which.tolist(), docs.tolist(), whole.tolist(), start.tolist(), strict=True):
             f = first[i]
             hit = np.flatnonzero((f >= 0) & (f < d))
             if len(hit):
                 breaks = np.flatnonzero(np.diff(hit) > length)
                 for a, b in zip(np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(hit) - 1]]), strict=True):
                     out_doc.append(d)
+                    out_whole.append(w)
                     out_from.append(s + int(hit[a]))
                     out_to.append(s + int(hit[b]) + length)
-        return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "lo": pa.array(out_from, pa.int64()), "hi": pa.array(out_to, pa.int64())})
+        return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "whole": pa.array(out_whole, pa.int64()), "lo": pa.array(out_from, pa.int64()), "hi": pa.array(out_to, pa.int64())})
 
     return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the words that no span covers."""
+    """Texts of the words that none of their own spans covers; rows with the same id may have spans of other texts beside."""
     for batch in batches:
         texts, removed = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        found = ts.scan(batch.column("text"), ts.SPACED, lower=False)
+        wholes = _wholes(found, found.hashes(), np.arange(batch.num_rows), batch.num_rows)
+        for text, spans, whole in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), wholes.tolist(), strict=True):
             words = (text or "").encode().split()
             keep = np.ones(len(words), bool)
             for span in spans or ():
-                keep[span["lo"] : span["hi"]] = False
+                if span["whole"] == whole:
+                    keep[span["lo"] : span["hi"]] = False
             removed.append(int(len(words) - keep.sum()))
             texts.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["doc_id", "kept", "n_removed"]
+            [batch.column("doc_id"), pa.array(wholes, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["doc_id", "whole", "kept", "n_removed"]
         )
 
 
 def find_copied_spans(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(sketches, spans): per document its size, hash and head (first equal document); copied word ranges."""
+    """(sketches, spans): per row its size, hashes and head (first equal document); per id the copied word ranges of each of its texts."""
     sketches = cut(
         texts.mapInArrow(_sketches(length), "doc_id long, n_words long, sha string, whole long, anchors array<long>")
     )
@@ -339,13 +354,13 @@ def find_copied_spans(texts: DataFrame, length: int) -> tuple[DataFrame, DataFra
     shards = max(12, -(-total // SHARD_STRETCHES))
     spans = (
         texts.join(wanted, "doc_id")
-        .mapInArrow(_stretches(length, shards), "shard long, doc_id long, start long, words binary")
+        .mapInArrow(_stretches(length, shards), "shard long, doc_id long, whole long, start long, words binary")
         .groupBy("shard")
-        .applyInArrow(_searched(length), "doc_id long, lo long, hi long")
+        .applyInArrow(_searched(length), "doc_id long, whole long, lo long, hi long")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        .agg(F.collect_list(F.struct("whole", "lo", "hi")).alias("spans"))
     )
-    return sketches.join(heads, ["sha", "n_words", "whole"], "left").drop("anchors", "whole"), cut(spans)
+    return sketches.join(heads, ["sha", "n_words", "whole"], "left").drop("anchors"), cut(spans)
 
 
 def remove_copied_substrings(
@@ -354,27 +369,35 @@ def remove_copied_substrings(
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space); kept itself if texts_out.
 
     Defined results: a null text has no words; texts of fewer words than a window lose none; rows that
-    share an id are one document that no window makes a copy of itself, so their spans are those
-    of either; a row whose id is null is neither compared nor changed. Other columns are not looked at.
+    share an id are documents of their own, none of which makes a window of another a copy; a row whose id is null
+    is neither compared nor changed. Other columns are not looked at. texts_out gives (doc_id, kept, n_removed) per row.
     """
     if length <= ANCHOR:
         raise ValueError(f"a window needs more than {ANCHOR} words")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches, spans = find_copied_spans(texts, length)
-    fresh = sketches.where("head is null or head = doc_id").join(spans, "doc_id", "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    changed = texts.join(spans, "doc_id").mapInArrow(_kept, "doc_id long, kept string, n_removed long")
+    changed = texts.join(spans, "doc_id").mapInArrow(_kept, "doc_id long, whole long, kept string, n_removed long")
+    copies = F.col("head") < F.col("doc_id")
     if texts_out:
-        same = texts.join(sketches.select("doc_id", "n_words", "head"), "doc_id").join(spans.select("doc_id", F.lit(True).alias("cutting")), "doc_id", "left")
-        rest = same.where("cutting is null").select(
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = ts.scan(batch.column("text"), ts.SPACED, lower=False)
+                wholes = _wholes(found, found.hashes(), np.arange(batch.num_rows), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wholes, pa.int64())], names=["doc_id", "text", "whole"])
+
+        rows = texts.mapInArrow(keyed, "doc_id long, text string, whole long")
+        marks = sketches.select("doc_id", "whole", "n_words", "head").distinct()
+        rows = rows.join(marks, ["doc_id", "whole"], "left").join(changed.distinct(), ["doc_id", "whole"], "left")
+        spaced = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t-\r]+"), lambda w: w != ""), " ")
+        return rows.select(
             "doc_id",
-            F.when(F.col("head") < F.col("doc_id"), F.lit("")).otherwise(F.array_join(F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != ""), " ")).alias("kept"),
-            F.when(F.col("head") < F.col("doc_id"), F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"),
+            F.when(copies, F.lit("")).otherwise(F.coalesce("kept", spaced)).alias("kept"),
+            F.when(copies, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         )
-        return changed.unionByName(rest)
-    done = changed.select("doc_id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct()
-    copies = F.col("head") < F.col("doc_id")
-    return sketches.join(done, "doc_id", "left").select(
+    done = changed.select("doc_id", "whole", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct()
+    return sketches.join(done, ["doc_id", "whole"], "left").select(
         "doc_id",
         "n_words",
         F.when(copies, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

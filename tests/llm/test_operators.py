@@ -443,3 +443,22 @@ def test_repeated_and_null_ids(spark):
     assert len(removed) == len(rows) and (7, 80) in removed and all(n == 0 for i, n in removed if i != 7)
     mixed = mixing.mix_sources(df.withColumn("source", F.lit(None).cast("string"))).collect()
     assert {r.doc_id for r in mixed} <= {5, 7, 9, None} and all("mix_key" in r for r in mixed)
+
+
+@pytest.mark.parametrize("texts_out", [False, True])
+def test_substrings_of_rows_that_share_an_id(spark, texts_out):
+    """Every row keeps its own spans: repeated ids that lose words, equal rows, and rows that lose nothing."""
+    rnd = random.Random(9)
+    some = lambda n: [rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(n)]
+    passage, other = some(60), some(55)
+    rows = [(3, passage), (5, ["a"] + passage), (5, ["b", "c"] + passage), (5, ["b", "c"] + passage), (5, some(70)), (5, other), (6, other + passage), (6, passage + other), (7, passage), (7, some(10)), (None, passage), (8, [])]
+    want = []
+    for i, w in rows:
+        starts = {tuple(x[k : k + 50]) for j, x in rows if i is not None and j is not None and j < i for k in range(len(x) - 49)}
+        gone = {k + o for k in range(len(w) - 49) if tuple(w[k : k + 50]) in starts for o in range(50)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(gone), kept) if texts_out else (i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = substring_dedup.remove_copied_substrings(df.repartition(3), texts_out=texts_out)
+    got = got.select("doc_id", "n_removed", "kept") if texts_out else got
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
