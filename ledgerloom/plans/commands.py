@@ -116,7 +116,10 @@ def chain_expand(spark: SparkSession, d: str) -> DataFrame:
     first = F.when(F.col("event_id") % 3 == 0, "create_quotation").when(F.col("event_id") % 3 == 1, "create_rfq").otherwise("create_lead")
     starts = e.select(F.col("event_id").alias("id"), first.alias("first"), F.when(F.col("event_id") % 2 == 0, "register_payment").otherwise("deliver_order").alias("until"))
     edges = spark.createDataFrame(list(NEXT_STEPS.items()), "tool string, next string")
-    return expand_chains(edges, starts)
+    # a pair of tools is expanded once; there are as many as the tools make
+    pairs = starts.select("first", "until").distinct()
+    chains = expand_chains(edges, pairs.select(F.struct("first", "until").alias("id"), "first", "until"))
+    return starts.join(F.broadcast(chains.select("id.*", "steps")), ["first", "until"]).select("id", "steps")
 
 
 @register("continuation", f"WITH {_EDGES} SELECT event_id, next AS suggestion FROM (SELECT event_id, ['create_quotation', 'register_payment', 'receive_order', 'scrap'][event_id % 4 + 1] AS tool FROM events) LEFT JOIN edge USING (tool)")

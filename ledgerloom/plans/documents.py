@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions import variant
+from ledgerloom.operators.ranks import placed
 from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
@@ -127,14 +128,11 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
 )
 def sheet_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A sheet gives one chunk for its columns and one per row; empty cells are left out."""
-    from pyspark.sql.window import Window
-
     c = table(spark, d, "customer").withColumn("sheet", F.col("c_mktsegment"))
     head = F.concat(F.lit("["), F.col("sheet"), F.lit("] "))
     schema = c.select("sheet").distinct().select(F.col("sheet").alias("id"), F.lit("schema").alias("row_range"), F.concat(head, F.lit("columns: name, balance")).alias("chunk_text"))
     cells = F.concat_ws(" | ", F.concat(F.lit("name: "), "c_name"), F.when(F.col("c_acctbal") > 0, F.concat(F.lit("balance: "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"))))
-    n = F.row_number().over(Window.partitionBy("sheet").orderBy("c_custkey"))
-    rows = c.withColumn("n", n).select(F.col("sheet").alias("id"), F.concat(F.lit("row "), F.col("n").cast("string")).alias("row_range"), F.concat(head, cells).alias("chunk_text"))
+    rows = placed(c.select("sheet", "c_custkey", cells.alias("cells")), "sheet", ["c_custkey"]).withColumn("n", F.col("pos") + 1).select(F.col("sheet").alias("id"), F.concat(F.lit("row "), F.col("n").cast("string")).alias("row_range"), F.concat(head, "cells").alias("chunk_text"))
     return schema.unionByName(rows)
 
 

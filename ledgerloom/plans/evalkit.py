@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators.ranks import value_at_ranks
 from ledgerloom.plans.registry import register
 from ledgerloom.session import table
 
@@ -74,8 +75,10 @@ def metric_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @register("metric_latency", "SELECT event_type, COUNT(*) AS n, coalesce(quantile_disc(value, 0.5), 0) AS p50, coalesce(quantile_disc(value, 0.95), 0) AS p95 FROM events GROUP BY 1")
 def metric_latency(spark: SparkSession, d: str) -> DataFrame:
-    rank = lambda q: F.coalesce(F.expr(f"percentile_disc({q}) within group (order by value)"), F.lit(0.0))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    e = table(spark, d, "events")
+    ranks = value_at_ranks(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(ranks, "event_type", "left").select("event_type", "n", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"))
 
 
 #: Gate, and what a set's result is held against.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 from datetime import timezone
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +22,8 @@ from ledgerloom.session import table
 NOW = "2024-01-20 00:00:00"
 GENESIS = "0" * 64
 RATE_LIMIT_SECONDS = 60
+#: Models that a fallback chain may have.
+MOST_MODELS = 1000
 
 
 @register("usage_since", oracle(f"SELECT alias, COUNT(*) AS requests, coalesce(SUM(total_tokens), 0)::BIGINT AS tokens FROM usage WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}' GROUP BY 1", "usage"))
@@ -56,9 +60,12 @@ def budget_verdict(spark: SparkSession, d: str, base_tokens: int = 20) -> DataFr
     """
     quotas = spark.createDataFrame(QUOTAS, "provider string, scope string, rpd int, rpm int, tpm int, mult double")
     u = model.usage(spark, d).join(F.broadcast(quotas), "provider").withColumn("scope_key", F.when(F.col("scope") == "account", F.col("provider")).otherwise(F.col("alias")))
-    over = "over (partition by scope_key order by ts range between interval {} preceding and current row)"
+    # a day of a key is one group, with the day before carried along; so no key's whole history is in one task
+    own = F.to_date("ts")
+    days = u.withColumn("day", F.explode(F.array(own, F.date_add(own, 1))))
+    over = "over (partition by scope_key, day order by ts range between interval {} preceding and current row)"
     day, minute = over.format("24 hours"), over.format("60 seconds")
-    w = u.selectExpr("*", f"count(*) {day} - 1 as day_requests", f"count(*) {minute} - 1 as minute_requests", f"sum(total_tokens) {minute} - total_tokens as minute_tokens")
+    w = days.selectExpr("*", f"count(*) {day} - 1 as day_requests", f"count(*) {minute} - 1 as minute_requests", f"sum(total_tokens) {minute} - total_tokens as minute_tokens").where(F.col("day") == own)
     verdict = (
         F.when(F.col("day_requests") >= F.col("rpd"), "RPD")
         .when(F.col("minute_requests") >= F.col("rpm"), "RPM")
@@ -95,7 +102,9 @@ def route_first_ok(spark: SparkSession, d: str, limit: int = 2) -> DataFrame:
     The chain is a fixed short list; callers are crossed with it by exploding an array, and counts joined.
     """
     u = model.usage(spark, d)
-    chain = [r["alias"] for r in u.select("alias").distinct().orderBy("alias").collect()]  # the catalog's few names
+    chain = [r["alias"] for r in u.select("alias").distinct().orderBy("alias").limit(MOST_MODELS + 1).collect()]
+    if len(chain) > MOST_MODELS:
+        raise ValueError(f"a fallback chain of more than {MOST_MODELS} models")
     links = u.select("caller").distinct().select("caller", F.posexplode(F.array(*map(F.lit, chain))).alias("depth", "alias"))
     counts = u.groupBy("caller", "alias").agg(F.count("*").alias("n"))
     links = links.join(counts, ["caller", "alias"], "left").withColumn("ok", F.coalesce("n", F.lit(0)) < limit)
@@ -108,24 +117,27 @@ def route_first_ok(spark: SparkSession, d: str, limit: int = 2) -> DataFrame:
 def admit(calls: DataFrame, limit: int, seconds: int = RATE_LIMIT_SECONDS) -> DataFrame:
     """calls(caller, ts, event_id) with admitted: fewer than limit admitted calls in the seconds before.
 
-    Denied calls aren't recorded, so each verdict depends on earlier ones: an ordered fold per caller, in
-    batches of rows; only the admitted calls of the last seconds are kept between them.
+    Denied calls aren't recorded, so each verdict depends on earlier ones. A caller's calls come in order, batch after batch; what is
+    kept between them is the admitted calls of the last seconds.
     """
+    span = pd.Timedelta(seconds=seconds)
 
-    def fold(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: list[pd.Timestamp] = []
-        span = pd.Timedelta(seconds=seconds)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller, recent = None, deque()
         for part in batches:
             verdicts = []
-            for t in part["ts"]:
-                recent = [x for x in recent if x > t - span]
+            for c, t in zip(part["caller"], part["ts"], strict=True):
+                if c != caller:
+                    caller, recent = c, deque()
+                while recent and recent[0] <= t - span:
+                    recent.popleft()
                 verdicts.append(len(recent) < limit)
                 if verdicts[-1]:
                     recent.append(t)
             yield part.assign(admitted=verdicts)
 
-    ordered = calls.select("caller", "ts", "event_id")
-    return ordered.groupBy("caller").applyInPandas(lambda k, p: next(fold(k, iter([p.sort_values(["ts", "event_id"])]))), "caller long, ts timestamp_ntz, event_id long, admitted boolean")
+    ordered = calls.select("caller", "ts", "event_id").repartition("caller").sortWithinPartitions("caller", "ts", "event_id")
+    return ordered.mapInPandas(fold, "caller long, ts timestamp_ntz, event_id long, admitted boolean")
 
 
 @register("rate_limit_admit")
@@ -199,18 +211,41 @@ def audit_rows(events: DataFrame) -> DataFrame:
 
 
 def append_chain(rows: DataFrame) -> DataFrame:
-    """Link each chain's rows in id order."""
+    """Link each chain's rows in id order. They come in order, batch after batch; what is kept between is the last hash."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, prev = None, GENESIS
+        for part in batches:
+            before, own = [], []
+            for row in part.itertuples(index=False):
+                if row.chain != chain:
+                    chain, prev = row.chain, GENESIS
+                before.append(prev)
+                prev = entry_hash(prev, row)
+                own.append(prev)
+            yield part.assign(prev_hash=before, entry_hash=own)
+
+    return rows.repartition("chain").sortWithinPartitions("chain", "id").mapInPandas(fold, AUDIT)
+
+
+#: What a JSON text has for characters that it can't hold as they are.
+_ESCAPES = {'"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+_CONTROL = {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _ESCAPES}
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        prev, before, own = GENESIS, [], []
-        for row in part.itertuples(index=False):
-            before.append(prev)
-            prev = entry_hash(prev, row)
-            own.append(prev)
-        return part.assign(prev_hash=before, entry_hash=own)
 
-    return rows.groupBy("chain").applyInPandas(fold, AUDIT)
+def json_text(c: Column) -> Column:
+    """A string as JSON, the way that entry_hash writes it; null as null."""
+    put = lambda x, pairs: reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), pairs.items(), x)
+    plain = put(F.replace(c, F.lit("\\"), F.lit("\\\\")), _ESCAPES)
+    escaped = F.when(plain.rlike("[\\x00-\\x1f]"), put(plain, _CONTROL)).otherwise(plain)
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
+def entry_digest() -> Column:
+    """entry_hash of a row from its columns, in the JVM."""
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format("ts", "SSSSSS") != "000000", F.date_format("ts", ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+    fields = [F.col("prev_hash"), at, F.col("event_type"), F.col("caller").cast("string"), F.col("tool_name")]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *map(json_text, fields)), F.lit("]")).cast("binary"), 256)
 
 
 def verify_chain(linked: DataFrame) -> DataFrame:
@@ -219,14 +254,8 @@ def verify_chain(linked: DataFrame) -> DataFrame:
     Every row is checked by itself against its own link and its predecessor's hash. Rows without a hash were logged before
     there were chains and are left out.
     """
-    linked = linked.where("entry_hash is not null")
-
-    def recompute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield part.assign(expected=[entry_hash(r.prev_hash, r) for r in part.itertuples(index=False)])
-
     order = Window.partitionBy("chain").orderBy("id")
-    rows = linked.mapInPandas(recompute, AUDIT + ", expected string")
+    rows = linked.where("entry_hash is not null").withColumn("expected", entry_digest())
     rows = rows.withColumn("link", F.coalesce(F.lag("entry_hash").over(order), F.lit(GENESIS)))
     why = F.when(F.col("prev_hash") != F.col("link"), "prev_hash").when(F.col("entry_hash") != F.col("expected"), "entry_hash")
     rows = rows.withColumn("why", why)

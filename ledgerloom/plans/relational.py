@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ledgerloom.operators.domain import read_group, search_read
 from ledgerloom.plans import model
 from ledgerloom.plans.model import AS_OF, oracle
+from ledgerloom.operators.ranks import placed, value_at_ranks
 from ledgerloom.plans.registry import register
 from ledgerloom.plans.sales import day_range, period_start
 from ledgerloom.session import table
@@ -146,16 +147,15 @@ def agg_class_rollup(spark: SparkSession, d: str) -> DataFrame:
 @register("pct_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def pct_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     """The value of rank ceil(q * n)."""
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.expr(f"percentile_disc({q}) within group (order by value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))])
+    return value_at_ranks(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
 
 
 @register("pct_index_rule", "SELECT event_type, max(value) FILTER (WHERE rn = n * 90 // 100 + 1) AS p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
 def pct_index_rule(spark: SparkSession, d: str) -> DataFrame:
     """The value at index int(n * p / 100) of the sorted ones: another rule than the nearest rank."""
-    e = table(spark, d, "events")
-    own = Window.partitionBy("event_type")
-    ranked = e.withColumn("rn", F.row_number().over(own.orderBy("value", "event_id"))).withColumn("n", F.count("*").over(own))
-    return ranked.groupBy("event_type").agg(F.max(F.when(F.col("rn") == F.floor(F.col("n") * 90 / 100) + 1, F.col("value"))).alias("p90"))
+    e = table(spark, d, "events").select("event_type", "value", "event_id")
+    ranked = placed(e, "event_type", ["value", "event_id"])
+    return ranked.groupBy("event_type").agg(F.max(F.when(F.col("pos") == F.expr("of * 90 div 100"), F.col("value"))).alias("p90"))
 
 
 @register("first_seen_dedupe", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")

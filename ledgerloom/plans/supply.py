@@ -280,7 +280,7 @@ def open_mo_count(spark: SparkSession, d: str) -> DataFrame:
 def pending_kit_orders(spark: SparkSession, d: str) -> DataFrame:
     """Recipe, variants, order lines, orders, deliveries: an order is at risk if any of its deliveries isn't done."""
     b = model.bom(spark, d).where("type = 'phantom'").select(F.col("id").alias("bom_id"), "product_tmpl_id")
-    variants = model.product(spark, d).select(F.col("id").alias("product_id"), "product_tmpl_id").join(F.broadcast(b), "product_tmpl_id")
+    variants = model.product(spark, d).select(F.col("id").alias("product_id"), "product_tmpl_id").join(b, "product_tmpl_id")
     orders = model.sale_order(spark, d).where("state = 'sale'").select(F.col("id").alias("order_id"))
     pairs = model.sale_order_line(spark, d).select("order_id", "product_id").join(variants, "product_id").join(orders, "order_id").select("bom_id", "order_id").distinct()
     risk = model.picking(spark, d).groupBy("order_id").agg(F.bool_or(F.col("state") != "done").alias("at_risk"))

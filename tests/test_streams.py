@@ -40,6 +40,13 @@ def test_runs_end_to_end_equal_one_run(spark, tmp_path):
     assert {r.chain: (r.broken_at, r.reason) for r in verify_chain(forged).collect()} == {0: (33, "entry_hash"), 1: (None, "OK"), 2: (None, "OK")}
 
 
+def test_hashes_of_columns_equal_those_of_rows(spark):
+    odd = ['"q" \\ back', "a\nb\r\tc\b\f", "".join(map(chr, range(40))), "é漢\u2028\x7f", "", None, "\\u000B"]
+    rows = [(1, i, AT + dt.timedelta(microseconds=i % 2 * 1500), t or "none", 7, t) for i, t in enumerate(odd)]
+    linked = append_chain(spark.createDataFrame(rows, AUDIT_ROWS))
+    assert [tuple(r) for r in verify_chain(linked).collect()] == [(1, len(odd), None, "OK")]
+
+
 def test_entries_without_a_hash_are_older_than_the_chain(spark, tmp_path):
     rows = audit(8, 1)
     linked = append_chain(spark.createDataFrame(rows[3:], AUDIT_ROWS))
