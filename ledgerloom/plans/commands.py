@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.plans import model
+from ledgerloom.functions import variant
+from ledgerloom.plans import language, model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
+from ledgerloom.session import table
 
 #: The step that follows each tool of a chain.
 NEXT_STEPS = {
@@ -105,29 +107,35 @@ def expand_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
 _EDGES = "edge(tool, next) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in NEXT_STEPS.items()) + ")"
 
 
+_TOOLS = "[" + ", ".join(f"'{t}'" for t in NEXT_STEPS) + "]"
+_STEPS = "[" + ", ".join(f"'{t}'" for t in NEXT_STEPS.values()) + "]"
+
+
 @register(
     "chain_expand",
-    f"""WITH RECURSIVE {_EDGES}, s AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'create_quotation' WHEN 1 THEN 'create_rfq' ELSE 'create_lead' END AS first, CASE WHEN event_id % 2 = 0 THEN 'register_payment' ELSE 'deliver_order' END AS until FROM events),
+    f"""WITH RECURSIVE {_EDGES}, s AS (SELECT conv_id, turn, {_TOOLS}[length(text) % {len(NEXT_STEPS)} + 1] AS first, {_STEPS}[len(string_split(text, ' ')) % {len(NEXT_STEPS)} + 1] AS until FROM conversations),
     w AS (SELECT first, next AS at, next AS steps, 1 AS n FROM (SELECT DISTINCT first FROM s) JOIN edge ON tool = first UNION ALL SELECT first, e.next, steps || '>' || e.next, n + 1 FROM w JOIN edge e ON e.tool = w.at WHERE n < 17)
-    SELECT s.id, w.steps FROM s LEFT JOIN w ON w.first = s.first AND w.at = s.until""",
+    SELECT s.conv_id, s.turn, w.steps FROM s LEFT JOIN w ON w.first = s.first AND w.at = s.until""",
 )
 def chain_expand(spark: SparkSession, d: str) -> DataFrame:
-    e = model.usage(spark, d)
-    first = F.when(F.col("event_id") % 3 == 0, "create_quotation").when(F.col("event_id") % 3 == 1, "create_rfq").otherwise("create_lead")
-    starts = e.select(F.col("event_id").alias("id"), first.alias("first"), F.when(F.col("event_id") % 2 == 0, "register_payment").otherwise("deliver_order").alias("until"))
+    """From the tool that a message names (by its length) to the step that it wants (by its words)."""
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (n % len(NEXT_STEPS)).cast("int"))
+    first, until = pick(NEXT_STEPS, F.length("text")), pick(NEXT_STEPS.values(), F.size(F.split("text", " ")))
+    starts = table(spark, d, "conversations").select("conv_id", "turn", first.alias("first"), until.alias("until"))
     edges = spark.createDataFrame(list(NEXT_STEPS.items()), "tool string, next string")
     # a pair of tools is expanded once; there are as many as the tools make
     pairs = starts.select("first", "until").distinct()
     chains = expand_chains(edges, pairs.select(F.struct("first", "until").alias("id"), "first", "until"))
-    return starts.join(F.broadcast(chains.select("id.*", "steps")), ["first", "until"]).select("id", "steps")
+    return starts.join(F.broadcast(chains.select("id.*", "steps")), ["first", "until"]).select("conv_id", "turn", "steps")
 
 
-@register("continuation", f"WITH {_EDGES} SELECT event_id, next AS suggestion FROM (SELECT event_id, ['create_quotation', 'register_payment', 'receive_order', 'scrap'][event_id % 4 + 1] AS tool FROM events) LEFT JOIN edge USING (tool)")
+@register("continuation", f"WITH {_EDGES} SELECT conv_id, turn, next AS suggestion FROM (SELECT conv_id, turn, CASE WHEN contains(text, ',') THEN {_TOOLS}[length(text) % {len(NEXT_STEPS)} + 1] ELSE 'scrap' END AS tool FROM conversations) LEFT JOIN edge USING (tool)")
 def continuation(spark: SparkSession, d: str) -> DataFrame:
     """What to offer after a command; the end of a chain offers nothing."""
-    tools = F.get(F.array(*map(F.lit, ("create_quotation", "register_payment", "receive_order", "scrap"))), (F.col("event_id") % 4).cast("int"))
+    named = F.get(F.array(*map(F.lit, NEXT_STEPS)), (F.length("text") % len(NEXT_STEPS)).cast("int"))
     steps = F.create_map(*[F.lit(x) for kv in NEXT_STEPS.items() for x in kv])
-    return model.usage(spark, d).select("event_id", steps[tools].alias("suggestion"))
+    tool = F.when(F.contains("text", F.lit(",")), named).otherwise("scrap")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.try_element_at(steps, tool).alias("suggestion"))
 
 
 @register(
@@ -175,8 +183,27 @@ def mo_complete_check(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", verdict.alias("verdict"))
 
 
-@register("method_gate", "SELECT event_id, CASE WHEN m IN ('search_read', 'read_group', 'name_search') THEN 'read' WHEN m IN ('create', 'write', 'action_confirm') THEN 'write' ELSE 'deny' END AS class FROM (SELECT event_id, ['search_read', 'unlink', 'write', 'read_group', 'exec'][event_id % 5 + 1] AS m FROM events)")
+#: Methods that a call may name, the last one unknown to the gate.
+_METHODS = ("search_read", "unlink", "write", "read_group", "exec", "create")
+
+
+@register(
+    "method_gate",
+    f"""SELECT conv_id, turn, CASE WHEN NOT regexp_full_match(model, '[a-zA-Z0-9._]+') THEN 'bad_model' WHEN m IN ('search_read', 'read_group', 'name_search') THEN 'read'
+    WHEN m NOT IN ('create', 'write', 'action_confirm') THEN 'deny' WHEN key <> '' AND NOT regexp_full_match(key, '[a-z_][a-z0-9_]*') THEN 'bad_key' WHEN verdict <> 'confirm' THEN 'unconfirmed' ELSE 'write' END AS class
+    FROM (SELECT *, {list(_METHODS)}[length(text) % 6 + 1] AS m, string_split(text, ' ')[1] AS model, coalesce(string_split(text, ' ')[2], '') AS key FROM (SELECT *, {language._VERDICT}))""",
+)
 def method_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Unknown methods are denied."""
-    m = F.get(F.array(*map(F.lit, ("search_read", "unlink", "write", "read_group", "exec"))), (F.col("event_id") % 5).cast("int"))
-    return model.usage(spark, d).select("event_id", F.when(m.isin("search_read", "read_group", "name_search"), "read").when(m.isin("create", "write", "action_confirm"), "write").otherwise("deny").alias("class"))
+    """A call's steps through the gate: the model's name, the method's class, the payload's keys, consent to what writes."""
+    words = F.split("text", " ")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.get(F.array(*map(F.lit, _METHODS)), (F.length("text") % 6).cast("int")).alias("m"), F.get(words, 0).alias("model"), F.coalesce(F.get(words, 1), F.lit("")).alias("key"))
+    bad_key = (F.col("key") != "") & ~F.col("key").rlike(variant.FIELD_KEY)
+    verdict = (
+        F.when(~F.col("model").rlike(r"^[a-zA-Z0-9._]+\z"), "bad_model")
+        .when(F.col("m").isin("search_read", "read_group", "name_search"), "read")
+        .when(~F.col("m").isin("create", "write", "action_confirm"), "deny")
+        .when(bad_key, "bad_key")
+        .when(language.consent(F.col("text")) != "confirm", "unconfirmed")
+        .otherwise("write")
+    )
+    return rows.select("conv_id", "turn", verdict.alias("class"))

@@ -12,17 +12,26 @@ from ledgerloom.plans.registry import register
 from ledgerloom.session import table
 
 
-@register("selection_parse", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS picked FROM events")
+@register(
+    "selection_parse",
+    """SELECT conv_id, turn, CASE WHEN number BETWEEN 1 AND len(names) THEN number WHEN list_position(names, r) > 0 THEN list_position(names, r) WHEN len(part) = 1 THEN part[1] END::INT AS picked FROM (
+    SELECT *, try_cast(CASE WHEN regexp_full_match(r, '[0-9]+') THEN r END AS INT) AS number, list_filter(range(1, len(names) + 1), lambda i: contains(names[i], r)) AS part FROM (
+    SELECT u.conv_id, u.turn, list_filter(string_split(lower(string_split(a.text, chr(10))[1]), ' '), lambda w: w <> '') AS names,
+        CASE WHEN length(u.text) % 3 = 0 THEN (length(u.text) % 7)::VARCHAR ELSE rtrim(lower(trim(string_split(u.text, ' ')[-1])), '.') END AS r
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1 WHERE u.role = 'user' AND a.role = 'assistant'))""",
+)
 def selection_parse(spark: SparkSession, d: str) -> DataFrame:
-    """A reply picks by number, by exact name, or by a part of just one name; else nothing is picked."""
-    names = F.array(*map(F.lit, ("alpha lens", "beta lens", "gamma frame")))
-    reply = F.get(F.array(*map(F.lit, (" 2 ", "GAMMA frame", "alpha", "lens"))), (F.col("event_id") % 4).cast("int"))
-    rows = table(spark, d, "events").select("event_id", F.lower(F.trim(reply)).alias("r"), names.alias("names"))
+    """A reply to an answer picks one of the names in its first line: by number, by exact name, or by a part of just one name; else nothing."""
+    c = table(spark, d, "conversations")
+    offered = c.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.filter(F.split(F.lower(F.split("text", "\n")[0]), " "), lambda w: w != "").alias("names"))
+    last = F.rtrim(F.lower(F.trim(F.element_at(F.split("text", " "), -1))), F.lit("."))
+    reply = F.when(F.length("text") % 3 == 0, (F.length("text") % 7).cast("string")).otherwise(last)
+    rows = c.where("role = 'user'").select("conv_id", "turn", reply.alias("r")).join(offered, ["conv_id", "turn"])
     number = F.when(F.col("r").rlike("^[0-9]+$"), F.expr("try_cast(r as int)"))
     exact = F.array_position("names", F.col("r"))
-    partial = F.filter(F.sequence(F.lit(1), F.size("names")), lambda i: F.contains(F.element_at("names", i), F.col("r")))
-    picked = F.when(number.between(1, F.size("names")), number).when(exact > 0, exact.cast("int")).when(F.size(partial) == 1, F.element_at(partial, 1))
-    return rows.select("event_id", picked.alias("picked"))
+    partial = F.filter(F.transform("names", lambda n, i: F.when(F.contains(n, F.col("r")), i + 1)), lambda i: i.isNotNull())
+    picked = F.when(number.between(1, F.size("names")), number).when(exact > 0, exact.cast("int")).when(F.size(partial) == 1, F.get(partial, 0))
+    return rows.select("conv_id", "turn", picked.alias("picked"))
 
 
 @register(
@@ -36,51 +45,54 @@ def line_match(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("verdict", F.when(F.col("hits") == 0, "none").when(F.col("hits") == 1, "one").otherwise("many"))
 
 
-@register("usage_pick", "SELECT event_id, CASE WHEN event_id % 3 = 0 AND floor(abs(value)) <> 0 THEN floor(abs(value))::BIGINT WHEN event_id % 5 = 0 THEN 7 ELSE event_id % 10 + user_id % 10 END AS tokens FROM events")
+@register("usage_pick", "SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'assistant' THEN length(text) // 4 END, 0), nullif(CASE WHEN contains(text, ',') THEN len(string_split(text, ',')) END, 0), len(string_split(text, ' ')) + len(string_split(text, chr(10)))) AS tokens FROM conversations")
 def usage_pick(spark: SparkSession, d: str) -> DataFrame:
-    """The provider's total, else the reported one, else both parts added; 0 counts as missing."""
-    given = F.nullif(F.when(F.col("event_id") % 3 == 0, F.floor(F.abs("value")).cast("long")), F.lit(0))
-    reported = F.when(F.col("event_id") % 5 == 0, 7)
-    return table(spark, d, "events").select("event_id", F.coalesce(given, reported, F.col("event_id") % 10 + F.col("user_id") % 10).alias("tokens"))
+    """The provider's total (of answers), else the reported one (by their commas), else both parts added; 0 counts as missing."""
+    parts = lambda mark: F.size(F.split("text", mark)).cast("long")
+    given = F.nullif(F.when(F.col("role") == "assistant", F.floor(F.length("text") / 4)), F.lit(0))
+    reported = F.nullif(F.when(F.contains("text", F.lit(",")), parts(",")), F.lit(0))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(given, reported, parts(" ") + parts("\n")).alias("tokens"))
 
 
-@register("flatten_blocks", "SELECT event_id, 'a' || event_type AS text FROM events")
+@register("flatten_blocks", "SELECT conv_id, turn, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: ends_with(x, '.') AND NOT contains(x, ',')), '')) AS text_md5 FROM conversations")
 def flatten_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Of an answer's blocks only the texts count; thoughts and unknown kinds go."""
-    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    blocks = F.array(block("text", F.lit("a")), block("thinking", F.lit("secret")), block("text", F.col("event_type")), block("image", F.lit("?")))
+    """Of an answer's blocks, here its lines, only the texts count; thoughts (with a comma) and unknown kinds (without an end) go."""
+    kind = lambda x: F.when(F.contains(x, F.lit(",")), "thinking").when(F.endswith(x, F.lit(".")), "text").otherwise("image")
+    blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(kind(x).alias("type"), x.alias("text")))
     texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
-    return table(spark, d, "events").select("event_id", F.array_join(texts, "").alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(texts, "").cast("binary")).alias("text_md5"))
 
 
-@register("honorific_strip", "SELECT c_custkey AS id, c_name AS name FROM customer")
+@register("honorific_strip", "SELECT c_custkey AS id, length(c_name) + CASE WHEN c_acctbal < 0 THEN 4 WHEN c_mktsegment = 'BUILDING' THEN 5 ELSE 0 END AS said, c_name AS name FROM customer")
 def honorific_strip(spark: SparkSession, d: str) -> DataFrame:
     """Forms of address before a name don't belong to it."""
-    titles = F.get(F.array(*map(F.lit, ("", "anh ", "Chị ", "ông "))), (F.col("c_custkey") % 4).cast("int"))
-    said = F.concat(titles, "c_name")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.regexp_replace(said, r"(?iu)^\s*(anh|chị|ông|bà|em)\s+", "").alias("name"))
+    said = F.concat(F.when(F.col("c_acctbal") < 0, "Chị ").when(F.col("c_mktsegment") == "BUILDING", " ông ").otherwise(""), "c_name")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.length(said).cast("long").alias("said"), F.regexp_replace(said, r"(?iu)^\s*(anh|chị|ông|bà|em)\s+", "").alias("name"))
 
 
-@register("recipients", oracle("SELECT id, CASE WHEN id % 3 = 0 THEN email_from || ',copy@example.org' ELSE email_from END AS recipients FROM lead", "lead"))
+@register("recipients", r"SELECT doc_id, array_to_string(list_concat([source || '@example.org'], regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')), ',') AS recipients FROM documents WHERE source IS NOT NULL")
 def recipients(spark: SparkSession, d: str) -> DataFrame:
-    """Partners' addresses and those typed in, in one list."""
-    typed = F.when(F.col("id") % 3 == 0, F.array(F.lit("copy@example.org"))).otherwise(F.array().cast("array<string>"))
-    return model.lead(spark, d).select("id", F.array_join(F.concat(F.array("email_from"), typed), ",").alias("recipients"))
+    """A partner's address and those written in a text, in one list."""
+    typed = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))
+    docs = table(spark, d, "documents").where("source is not null")
+    return docs.select("doc_id", F.array_join(F.concat(F.array(F.concat("source", F.lit("@example.org"))), typed), ",").alias("recipients"))
 
 
-@register("draft_total", oracle("SELECT order_id, CASE WHEN bool_or(product_id % 97 = 0) THEN NULL ELSE SUM(price_subtotal) END AS total FROM sale_order_line GROUP BY 1", "sale_order_line"))
+@register("draft_total", oracle("SELECT order_id, CASE WHEN bool_or(p.size > 48) THEN NULL ELSE SUM(price_subtotal) END AS total FROM sale_order_line l JOIN product p ON p.id = l.product_id GROUP BY 1", "sale_order_line", "product"))
 def draft_total(spark: SparkSession, d: str) -> DataFrame:
-    """A draft with an unpriced line has no total."""
-    priced = F.when(F.bool_or(F.col("product_id") % 97 == 0), F.lit(None)).otherwise(F.sum("price_subtotal"))
-    return model.sale_order_line(spark, d).groupBy("order_id").agg(priced.alias("total"))
+    """A draft with a line whose product has no price (the largest ones) has no total."""
+    p = model.product(spark, d).select(F.col("id").alias("product_id"), (F.col("size") > 48).alias("unpriced"))
+    lines = model.sale_order_line(spark, d).join(p, "product_id")
+    return lines.groupBy("order_id").agg(F.when(F.bool_or("unpriced"), F.lit(None)).otherwise(F.sum("price_subtotal")).alias("total"))
 
 
-@register("reverified_candidates", oracle("SELECT rank, p.id, p.name FROM (SELECT unnest(range(1, 41)) AS rank) r JOIN product p ON p.id = r.rank * 7 % 53 WHERE p.list_price > 903", "product"))
+@register("reverified_candidates", oracle("SELECT categ, rank, id, name FROM (SELECT *, row_number() OVER (PARTITION BY categ ORDER BY list_price DESC, id) AS rank FROM product) WHERE rank <= 20 AND size > 5", "product"))
 def reverified_candidates(spark: SparkSession, d: str) -> DataFrame:
     """An index proposes ids in an order; live rows supply the values, and what they lack drops out."""
-    proposed = spark.range(1, 41).select(F.col("id").alias("rank"), (F.col("id") * 7 % 53).alias("pid"))
-    live = model.product(spark, d).where("list_price > 903").select("id", "name")
-    return live.join(F.broadcast(proposed), F.col("id") == F.col("pid")).select("rank", "id", "name")
+    p = model.product(spark, d)
+    rank = F.row_number().over(Window.partitionBy("categ").orderBy(F.desc("list_price"), "id"))
+    proposed = p.select("categ", "id", rank.cast("long").alias("rank")).where("rank <= 20")
+    return proposed.join(p.where("size > 5").select("id", "name"), "id").select("categ", "rank", "id", "name")
 
 
 @register("expected_ids", oracle("SELECT p.id, COUNT(*) AS n FROM product p JOIN sale_order_line l ON 'P' || l.product_id = p.default_code GROUP BY 1", "product", "sale_order_line"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.ranks import value_at_ranks
@@ -11,13 +12,13 @@ from ledgerloom.plans.registry import register
 from ledgerloom.session import table
 
 #: Predictions that the metrics judge: the label is guessed from the text's length.
-_CASES = "cases AS (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.text, d.n_chars, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS predicted, d.doc_id % 17 = 0 AS errored FROM labels l JOIN documents d USING (doc_id))"
+_CASES = "cases AS (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.text, d.n_chars, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS predicted, d.n_chars % 17 = 0 AS errored FROM labels l JOIN documents d USING (doc_id))"
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "text", "n_chars")
     joined = table(spark, d, "labels").join(docs, "doc_id")
-    return joined.withColumns({"predicted": F.when(F.col("n_chars") > 1500, 1).otherwise(0), "errored": F.col("doc_id") % 17 == 0})
+    return joined.withColumns({"predicted": F.when(F.col("n_chars") > 1500, 1).otherwise(0), "errored": F.col("n_chars") % 17 == 0})
 
 
 @register("metric_accuracy", f"WITH {_CASES} SELECT lang, COUNT(*) AS n, COUNT(*) FILTER (WHERE errored) AS errors, round(COUNT(*) FILTER (WHERE NOT errored AND predicted = quality) / COUNT(*), 6) AS acc FROM cases GROUP BY 1")
@@ -33,11 +34,19 @@ def metric_violations(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).agg(F.count_if((p == 1) & (q == 0)).alias("false_confirm"), F.count_if((p == 0) & (q == 1)).alias("false_cancel"), F.count_if((F.col("toxic") == 1) & (p == 1)).alias("dangerous"), F.count("*").alias("n"))
 
 
-@register("metric_tool_args", "SELECT event_type, round(COUNT(*) FILTER (WHERE event_id % 10 <> 3) / COUNT(*), 6) AS tool_acc, round(COUNT(*) FILTER (WHERE event_id % 10 <> 3 AND value > 20) / COUNT(*), 6) AS args_acc, COUNT(*) FILTER (WHERE event_id % 50 = 7) AS parse_fail FROM events GROUP BY 1")
+@register(
+    "metric_tool_args",
+    """SELECT event_type, round(COUNT(*) FILTER (WHERE tool) / COUNT(*), 6) AS tool_acc, round(COUNT(*) FILTER (WHERE tool AND k >= floor(abs(value))) / COUNT(*), 6) AS args_acc, COUNT(*) FILTER (WHERE k IS NULL) AS parse_fail FROM (
+    SELECT event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type AS tool, try_cast(CASE WHEN value < 90 THEN props::JSON->>'k' END AS BIGINT) AS k FROM events) GROUP BY 1""",
+)
 def metric_tool_args(spark: SparkSession, d: str) -> DataFrame:
-    tool = F.col("event_id") % 10 != 3
+    """Per kind of event: is it the one that the caller's last event foretells, do its arguments reach its value, and can they be read at all?"""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    k = F.when(F.col("value") < 90, F.get_json_object("props", "$.k")).try_cast("bigint")
+    rows = table(spark, d, "events").select("event_type", "value", before.eqNullSafe(F.col("event_type")).alias("tool"), k.alias("k"))
     n = F.count("*")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.count_if(tool) / n, 6).alias("tool_acc"), F.round(F.count_if(tool & (F.col("value") > 20)) / n, 6).alias("args_acc"), F.count_if(F.col("event_id") % 50 == 7).alias("parse_fail"))
+    right = F.col("tool") & (F.col("k") >= F.floor(F.abs("value")))
+    return rows.groupBy("event_type").agg(F.round(F.count_if("tool") / n, 6).alias("tool_acc"), F.round(F.count_if(right) / n, 6).alias("args_acc"), F.count_if(F.col("k").isNull()).alias("parse_fail"))
 
 
 @register("metric_grounded", f"WITH {_CASES} SELECT doc_id, contains(lower(text), ' the ') OR contains(lower(text), ' der ') OR contains(lower(text), ' les ') AS grounded FROM cases")

@@ -75,20 +75,20 @@ def question_veto(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    """A router's two-line answers, made from the events: intent, perhaps a procedure, now and then malformed."""
-    e = table(spark, d, "events")
-    names = F.array(*map(F.lit, [*INTENTS, "nonsense"]))
-    intent = F.get(names, (F.col("event_id") % 6).cast("int"))
-    sop = F.when(F.col("event_id") % 4 == 0, "\nSOP: receive_goods").when(F.col("event_id") % 4 == 1, "\nsop: made_up").otherwise("")
-    return e.select("event_id", F.when(F.col("event_id") % 11 == 0, intent).otherwise(F.concat(F.lit("Intent: "), intent, sop)).alias("answer"))
+    """A router's answers: a message, then the intent, perhaps a procedure, now and then malformed, by how long the message is."""
+    n = F.length("text")
+    intent = F.get(F.array(*map(F.lit, [*INTENTS, "nonsense"])), (n % 6).cast("int"))
+    sop = F.when(n % 4 == 0, "\nSOP: receive_goods").when(n % 4 == 1, "\nsop: made_up").otherwise("")
+    answer = F.when(n % 11 == 0, intent).otherwise(F.concat("text", F.lit("\n Intent: "), intent, sop))
+    return table(spark, d, "conversations").select("conv_id", "turn", answer.alias("answer"))
 
 
-_PROPOSALS = f"(SELECT event_id, CASE WHEN event_id % 11 = 0 THEN i ELSE 'Intent: ' || i || CASE event_id % 4 WHEN 0 THEN chr(10) || 'SOP: receive_goods' WHEN 1 THEN chr(10) || 'sop: made_up' ELSE '' END END AS answer FROM (SELECT event_id, {_list([*INTENTS, 'nonsense'])}[event_id % 6 + 1] AS i FROM events))"
+_PROPOSALS = f"(SELECT conv_id, turn, CASE WHEN n % 11 = 0 THEN i ELSE text || chr(10) || ' Intent: ' || i || CASE n % 4 WHEN 0 THEN chr(10) || 'SOP: receive_goods' WHEN 1 THEN chr(10) || 'sop: made_up' ELSE '' END END AS answer FROM (SELECT *, length(text) AS n, {_list([*INTENTS, 'nonsense'])}[length(text) % 6 + 1] AS i FROM conversations))"
 
 
 @register(
     "proposal_parse",
-    f"""SELECT event_id, CASE WHEN list_contains({_list(INTENTS)}, v) THEN v WHEN list_contains({_list(INTENTS)}, lower(trim(answer))) THEN lower(trim(answer)) ELSE 'unknown' END AS intent, CASE WHEN s = 'receive_goods' THEN s END AS sop
+    f"""SELECT conv_id, turn, CASE WHEN list_contains({_list(INTENTS)}, v) THEN v WHEN list_contains({_list(INTENTS)}, lower(trim(answer))) THEN lower(trim(answer)) ELSE 'unknown' END AS intent, CASE WHEN s = 'receive_goods' THEN s END AS sop
     FROM (SELECT *, trim(regexp_extract(lower(answer), '(?m)^\\s*intent:(.*)$', 1)) AS v, trim(regexp_extract(answer, '(?im)^\\s*sop:(.*)$', 1)) AS s FROM {_PROPOSALS})""",
 )
 def proposal_parse(spark: SparkSession, d: str, sops=("receive_goods",)) -> DataFrame:
@@ -97,44 +97,50 @@ def proposal_parse(spark: SparkSession, d: str, sops=("receive_goods",)) -> Data
     bare = F.lower(F.trim("answer"))
     intent = F.when(value.isin(INTENTS), value).when(bare.isin(INTENTS), bare).otherwise("unknown")
     sop = F.trim(F.regexp_extract("answer", "(?im)^\\s*sop:(.*)$", 1))
-    return proposals(spark, d).select("event_id", intent.alias("intent"), F.when(sop.isin(list(sops)), sop).alias("sop"))
+    return proposals(spark, d).select("conv_id", "turn", intent.alias("intent"), F.when(sop.isin(list(sops)), sop).alias("sop"))
 
 
 @register(
     "route_decision",
     f"""SELECT conv_id, turn, CASE WHEN suggested AND verdict = 'confirm' THEN 'erp_write' WHEN sop AND (intent = 'erp_write' OR NOT asks) THEN 'receive_goods' ELSE intent END AS route FROM (
-    SELECT conv_id, turn, turn % 5 = 3 AS suggested, conv_id % 3 = 0 AS sop, {_list(INTENTS)}[(conv_id + turn) % 5 + 1] AS intent, contains(text, '?') AS asks, verdict FROM (SELECT *, {_VERDICT}))""",
+    SELECT c.conv_id, c.turn, coalesce(length(a.text) > 300, false) AS suggested, len(string_split(c.text, chr(10))) >= 3 AS sop, contains(c.text, '?') AS asks, verdict,
+        CASE WHEN regexp_matches(c.text, '[0-9]') THEN 'erp_read' WHEN verdict = 'confirm' THEN 'erp_write' WHEN length(c.text) > 400 THEN 'rag' WHEN contains(c.text, ',') THEN 'mixed' ELSE 'chitchat' END AS intent
+    FROM (SELECT *, {_VERDICT}) c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 AND a.role = 'assistant')""",
 )
 def route_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Consent to a suggestion comes first, then a procedure unless the text asks something, then the intent."""
+    """Consent to a suggestion (a long answer just before) comes first, then a procedure (a message of several lines) unless the text asks
+    something, then the intent that its words tell."""
     c = table(spark, d, "conversations")
-    intent = F.get(F.array(*map(F.lit, INTENTS)), ((F.col("conv_id") + F.col("turn")) % 5).cast("int"))
-    agreed = (F.col("turn") % 5 == 3) & (consent(F.col("text")) == "confirm")
-    take_sop = (F.col("conv_id") % 3 == 0) & ((intent == "erp_write") | ~F.contains("text", F.lit("?")))
-    return c.select("conv_id", "turn", F.when(agreed, "erp_write").when(take_sop, "receive_goods").otherwise(intent).alias("route"))
+    before = c.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), (F.length("text") > 300).alias("suggested"))
+    verdict = consent(F.col("text"))
+    intent = F.when(F.col("text").rlike("[0-9]"), "erp_read").when(F.col("verdict") == "confirm", "erp_write").when(F.length("text") > 400, "rag").when(F.contains("text", F.lit(",")), "mixed").otherwise("chitchat")
+    rows = c.withColumn("verdict", verdict).join(before, ["conv_id", "turn"], "left").withColumn("intent", intent)
+    agreed = F.coalesce("suggested", F.lit(False)) & (F.col("verdict") == "confirm")
+    take_sop = (F.size(F.split("text", "\n")) >= 3) & ((F.col("intent") == "erp_write") | ~F.contains("text", F.lit("?")))
+    return rows.select("conv_id", "turn", F.when(agreed, "erp_write").when(take_sop, "receive_goods").otherwise(F.col("intent")).alias("route"))
 
 
 @register(
     "plan_parse_tier",
-    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 0 THEN 'raw' ELSE 'salvage' END AS tier, CASE WHEN event_id % 5 < 4 THEN event_type END AS tool FROM events""",
+    """SELECT conv_id, turn, CASE WHEN length(text) % 5 = 4 THEN NULL WHEN length(text) % 5 = 0 THEN 'raw' ELSE 'salvage' END AS tier, CASE WHEN length(text) % 5 < 4 THEN md5(text) END AS tool_md5 FROM conversations""",
 )
 def plan_parse_tier(spark: SparkSession, d: str) -> DataFrame:
-    """Plans as a model writes them: bare, fenced, after thoughts, or spoilt; parsed raw, then cleaned, else given up."""
-    e = table(spark, d, "events")
-    plan = F.to_json(F.struct(F.col("event_type").alias("tool")))
+    """Plans as a model writes them, with whole messages in them: bare, fenced, after thoughts, or spoilt; parsed raw, then cleaned, else given up."""
+    plan = F.to_json(F.struct(F.col("text").alias("tool")))
+    kind = F.length("text") % 5
     dressed = (
-        F.when(F.col("event_id") % 5 == 0, plan)
-        .when(F.col("event_id") % 5 == 1, F.concat(F.lit("```json\n"), plan, F.lit("\n```")))
-        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('<think>{"tool": 1}</think> '), plan))
-        .when(F.col("event_id") % 5 == 3, F.concat(F.lit("<think>x</think>\n```\n"), plan, F.lit("\n```")))
+        F.when(kind == 0, plan)
+        .when(kind == 1, F.concat(F.lit("```json\n"), plan, F.lit("\n```")))
+        .when(kind == 2, F.concat(F.lit('<think>{"tool": 1}</think> '), plan))
+        .when(kind == 3, F.concat(F.lit("<think>x</think>\n```\n"), plan, F.lit("\n```")))
         .otherwise(F.concat(F.lit("I would call "), plan, F.lit(" now")))
     )
-    raw = e.select("event_id", dressed.alias("answer"))
+    raw = table(spark, d, "conversations").select("conv_id", "turn", dressed.alias("answer"))
     schema = "tool string"
     parse = lambda c: F.when(F.trim(c).rlike(r"(?s)\A\{.*\}\z"), F.from_json(F.trim(c), schema)["tool"])
     first, second = parse(F.col("answer")), parse(T.strip_thinking_and_fence(F.col("answer")))
     tier = F.when(first.isNotNull(), "raw").when(second.isNotNull(), "salvage")
-    return raw.select("event_id", tier.alias("tier"), F.coalesce(first, second).alias("tool"))
+    return raw.select("conv_id", "turn", tier.alias("tier"), F.md5(F.coalesce(first, second).cast("binary")).alias("tool_md5"))
 
 
 #: Names of tools that an answer must not show.
@@ -150,25 +156,28 @@ def leaks(text: Column) -> Column:
     return F.filter(F.array(*map(F.lit, TOOL_NAMES)), lambda x: F.contains(F.lower(text), x))
 
 
-@register("tool_leaks", f"SELECT conv_id, turn, array_to_string(list_filter({_list(TOOL_NAMES)}, lambda x: contains(lower(text || CASE WHEN role = 'assistant' THEN ' via ' || {_list([*TOOL_NAMES, 'list_orders'])}[turn % 8 + 1] ELSE '' END), x)), ',') AS leaked FROM conversations")
+@register("tool_leaks", f"SELECT conv_id, turn, array_to_string(list_filter({_list(TOOL_NAMES)}, lambda x: contains(lower(CASE WHEN role = 'assistant' THEN replace(text, ',', ' ' || upper({_list([*TOOL_NAMES, 'list_orders'])}[length(text) % 8 + 1])) ELSE text END), x)), ',') AS leaked FROM conversations")
 def tool_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Answers, some of which name a tool."""
+    """Answers, some of which name a tool where a comma was."""
     c = table(spark, d, "conversations")
-    named = F.concat("text", F.when(F.col("role") == "assistant", F.concat(F.lit(" via "), F.get(F.array(*map(F.lit, [*TOOL_NAMES, "list_orders"])), (F.col("turn") % 8).cast("int")))).otherwise(""))
-    return c.select("conv_id", "turn", F.array_join(leaks(named), ",").alias("leaked"))
+    name = F.upper(F.get(F.array(*map(F.lit, [*TOOL_NAMES, "list_orders"])), (F.length("text") % 8).cast("int")))
+    said = F.when(F.col("role") == "assistant", F.replace("text", F.lit(","), F.concat(F.lit(" "), name))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.array_join(leaks(said), ",").alias("leaked"))
 
 
-@register("order_refs", "SELECT o_orderkey AS id, 'see S0' || o_orderkey || ' now' SIMILAR TO '.*S[0-9]{4,6}.*' AS refers FROM orders")
+@register("order_refs", "SELECT doc_id, regexp_matches(text || ' S' || length(text), 'S[0-9]{4,6}') AS refers FROM documents")
 def order_refs(spark: SparkSession, d: str) -> DataFrame:
-    """Values shaped like references don't pass as names."""
-    text = F.concat(F.lit("see S0"), F.col("o_orderkey").cast("string"), F.lit(" now"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.rlike("S[0-9]{4,6}").alias("refers"))
+    """Texts with values shaped like references don't pass as names."""
+    said = F.concat("text", F.lit(" S"), F.length("text").cast("string"))
+    return table(spark, d, "documents").select("doc_id", said.rlike("S[0-9]{4,6}").alias("refers"))
 
 
-@register("resume_decision", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'restart' WHEN turn % 2 = 0 THEN 'resume' ELSE 'ask_again' END AS decision FROM conversations")
+@register("resume_decision", f"SELECT conv_id, turn, CASE WHEN role = 'system' OR contains(text, '?') THEN 'restart' WHEN verdict <> 'unclear' THEN 'resume' ELSE 'ask_again' END AS decision FROM (SELECT *, {_VERDICT})")
 def resume_decision(spark: SparkSession, d: str) -> DataFrame:
+    """A question starts anew, a clear reply goes on, anything else is asked again."""
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.when(F.col("role") == "system", "restart").when(F.col("turn") % 2 == 0, "resume").otherwise("ask_again").alias("decision"))
+    anew = (F.col("role") == "system") | F.contains("text", F.lit("?"))
+    return c.select("conv_id", "turn", F.when(anew, "restart").when(consent(F.col("text")) != "unclear", "resume").otherwise("ask_again").alias("decision"))
 
 
 @register("token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
@@ -176,8 +185,9 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@register("thought_strip", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 3 = 0 THEN trim(text) ELSE text END) AS h FROM documents")
+@register("thought_strip", "SELECT doc_id, md5(CASE WHEN length(text) % 3 = 1 THEN '' WHEN length(text) % 3 = 0 THEN trim(text) ELSE text END) AS h FROM documents")
 def thought_strip(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts: behind a thought block, behind one that never closes, or bare."""
-    dressed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<thought>a\nb</thought>"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" <thought>never closed "), "text")).otherwise(F.col("text"))
+    kind = F.length("text") % 3
+    dressed = F.when(kind == 0, F.concat(F.lit("<thought>a\nb</thought>"), "text")).when(kind == 1, F.concat(F.lit(" <thought>never closed "), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.md5(T.strip_thoughts(dressed).cast("binary")).alias("h"))

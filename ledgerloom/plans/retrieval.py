@@ -206,35 +206,39 @@ def context_rendering(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("context"))
 
 
-@register("used_sources", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '1,2,3' WHEN event_id % 4 = 1 THEN '2' WHEN event_id % 4 = 2 THEN '1,3' ELSE '1,2,3' END AS used FROM events")
+@register("used_sources", """SELECT conv_id, turn, array_to_string(CASE WHEN len(used) > 0 THEN used ELSE [1, 2, 3] END, ',') AS used FROM (SELECT conv_id, turn, CASE WHEN contains(text, ',') THEN
+    list_filter([1, 2, 3], lambda i: i = len(string_split(text, chr(10))) OR i = len(string_split(text, ' ')) % 5) ELSE [] END AS used FROM conversations WHERE role = 'assistant')""")
 def used_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Indices that an answer names; a missing or impossible list means all three."""
-    e = table(spark, d, "events")
-    answer = F.when(F.col("event_id") % 4 == 0, "text only").when(F.col("event_id") % 4 == 1, "text\nUSED: 2").when(F.col("event_id") % 4 == 2, "text\nUSED: 1, 3").otherwise("text\nUSED: 9")
-    marked = F.regexp_extract("answer", "\\n?USED:\\s*([0-9,\\s]*)", 1)
-    named = F.transform(F.regexp_extract_all(marked, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    """Indices that an answer's last line names; a missing or impossible list means all three."""
+    size = lambda mark: F.size(F.split("text", mark))
+    named = F.concat(F.lit("\nUSED: "), size("\n").cast("string"), F.lit(", "), (size(" ") % 5).cast("string"))
+    answer = F.concat("text", F.when(F.contains("text", F.lit(",")), named).otherwise(""))
+    marked = F.regexp_extract(answer, "\\n?USED:\\s*([0-9,\\s]*)", 1)
+    found = F.transform(F.regexp_extract_all(marked, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
     everything = F.array(*map(F.lit, (1, 2, 3)))
-    used = F.filter(everything, lambda i: F.array_contains(F.col("named"), i))
-    out = e.select("event_id", answer.alias("answer")).withColumn("named", named).withColumn("used", used)
-    return out.select("event_id", F.array_join(F.when(F.size("used") > 0, F.col("used")).otherwise(everything).cast("array<string>"), ",").alias("used"))
+    rows = table(spark, d, "conversations").where("role = 'assistant'").withColumn("named", found)
+    rows = rows.withColumn("used", F.filter(everything, lambda i: F.array_contains(F.col("named"), i)))
+    return rows.select("conv_id", "turn", F.array_join(F.when(F.size("used") > 0, F.col("used")).otherwise(everything).cast("array<string>"), ",").alias("used"))
 
 
-@register("verdict_filter", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '1,3' WHEN 1 THEN '1,2,3' ELSE '2,3' END AS kept FROM events")
+@register("verdict_filter", "SELECT conv_id, turn, array_to_string(list_filter(range(1, 11), lambda i: i > len(x) OR length(x[i]) % 4 <> 0), ',') AS kept FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x FROM conversations)")
 def verdict_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Only an explicit no drops a source; unknown ones stay."""
-    answer = F.when(F.col("event_id") % 3 == 0, "1: YES\n2: NO").when(F.col("event_id") % 3 == 1, "maybe").otherwise("1: no\n3: yes")
-    no = F.regexp_extract_all(F.upper(answer), F.lit("([0-9]+): NO"), F.lit(1))
-    kept = F.filter(F.array(*map(F.lit, ("1", "2", "3"))), lambda i: ~F.array_contains(F.col("no"), i))
-    return table(spark, d, "events").select("event_id", no.alias("no")).select("event_id", F.array_join(kept, ",").alias("kept"))
+    """Of ten sources only an explicit no drops one; unknown ones stay. A verdict stands for each line of a message."""
+    said = lambda x, i: F.concat((i + 1).cast("string"), F.when(F.length(x) % 4 == 0, F.lit(": No")).when(F.length(x) % 4 == 1, F.lit(": maybe")).otherwise(F.lit(": YES")))
+    answer = F.array_join(F.transform(F.split("text", "\n"), said), "\n")
+    no = F.regexp_extract_all(F.upper(answer), F.lit("(?m)^([0-9]+): NO$"), F.lit(1))
+    kept = F.filter(F.array(*[F.lit(str(i)) for i in range(1, 11)]), lambda i: ~F.array_contains(F.col("no"), i))
+    return table(spark, d, "conversations").select("conv_id", "turn", no.alias("no")).select("conv_id", "turn", F.array_join(kept, ",").alias("kept"))
 
 
-@register("write_suggestion", "SELECT event_id, event_id % 3 = 0 AS suggested, 'body ' || event_id AS body FROM events")
+@register("write_suggestion", "SELECT conv_id, turn, length(text) % 3 = 0 AS suggested, md5(text) AS body_md5 FROM conversations")
 def write_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    """A marker line is cut out of the body; its first value says whether an action is suggested."""
-    body = F.concat(F.lit("body "), F.col("event_id").cast("string"))
-    text = F.concat(body, F.when(F.col("event_id") % 3 == 0, "\nSUGGEST: yes\nSUGGEST: no").when(F.col("event_id") % 3 == 1, "\nSUGGEST: no").otherwise(""))
-    value = F.lower(F.trim(F.regexp_extract("text", "(?m)^SUGGEST:([^\\n]*)", 1)))
-    return table(spark, d, "events").select("event_id", text.alias("text")).select("event_id", value.isin("yes", "true", "1").alias("suggested"), F.regexp_replace("text", "(?m)\\n?^SUGGEST:[^\\n]*", "").alias("body"))
+    """Marker lines are cut out of the body; the first one's value says whether an action is suggested."""
+    kind = F.length("text") % 3
+    marked = F.concat("text", F.when(kind == 0, "\nSUGGEST: Yes \nSUGGEST: no").when(kind == 1, "\nSUGGEST: no\nSUGGEST: yes").otherwise(""))
+    value = F.lower(F.trim(F.regexp_extract("marked", "(?m)^SUGGEST:([^\\n]*)", 1)))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", marked.alias("marked"))
+    return rows.select("conv_id", "turn", value.isin("yes", "true", "1").alias("suggested"), F.md5(F.regexp_replace("marked", "(?m)\\n?^SUGGEST:[^\\n]*", "").cast("binary")).alias("body_md5"))
 
 
 # --- entities -------------------------------------------------------------------------------
