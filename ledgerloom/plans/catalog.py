@@ -9,6 +9,7 @@ from ledgerloom.plans import (  # noqa: F401
     ledger,
     relational,
     retrieval,
+    rules,
     sales,
     supply,
 )
