@@ -29,8 +29,8 @@ from pyspark.sql.types import LongType
 from ledgerloom.session import saved
 
 Segmentation = Callable[[Column], Column]
-#: Documents of a packed block of postings, at most.
-BLOCK = 4096
+#: Documents of a packed block of postings, and terms of them after which a block ends.
+BLOCK, BLOCK_TERMS = 4096, 400_000
 POSTINGS = "term string, block long, docs array<long>, counts array<int>, sizes array<int>"
 #: Terms of a question, rarest first, whose postings are read; the rest is verified on the texts of what they leave.
 LEADING = 3
@@ -99,10 +99,13 @@ def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextInde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in batches:
-            for at in range(0, part.num_rows, BLOCK):
-                rows = part.slice(at, BLOCK)
+            ends = np.cumsum(part.column("terms").value_lengths().to_numpy(zero_copy_only=False))
+            at = 0
+            while at < part.num_rows:
+                upto = np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_TERMS, "right")
+                rows = part.slice(at, min(max(1, int(upto) - at), BLOCK))
                 yield packed(number, rows.column("doc_id").to_numpy(), rows.column("terms"))
-                number += 1
+                number, at = number + 1, at + rows.num_rows
 
     terms = texts.select("doc_id", segment(F.col("text")).alias("terms")).where("doc_id is not null and size(terms) > 0")
     postings = saved(terms.mapInArrow(run, POSTINGS))
