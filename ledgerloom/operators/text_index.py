@@ -34,7 +34,7 @@ BLOCK, BLOCK_TERMS = 4096, 400_000
 POSTINGS = "term string, block long, docs array<long>, counts array<int>, sizes array<int>"
 #: Terms of a question, rarest first, whose postings are read; the rest is verified on the texts of what they leave.
 LEADING = 3
-#: Documents up to this many are looked up by a broadcast of their ids.
+#: Documents, or terms, up to this many are looked up by a broadcast.
 BROADCAST_IDS = 200_000
 
 
@@ -123,6 +123,11 @@ def occurrences(asked: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series(found, dtype="Int64")
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """Keys for a semi join, broadcast if they are few; keys should be materialised, as they are counted."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
 def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
     """asked(query_id, text) -> (query_id, doc_id, score, rank): the k documents that have all terms, most often first."""
     terms = F.array_sort(F.array_distinct(index.segment(F.col("text"))))
@@ -136,15 +141,19 @@ def conjunctive(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
     leading = known.select("*", place.alias("place"), of_all.alias("known")).where(f"known = need and place <= {LEADING}")
     leading = saved(leading.groupBy("same", "need").pivot("place", list(range(1, LEADING + 1))).agg(F.first("term")))
     first, *rest = [str(i) for i in range(1, LEADING + 1)]
-    found = leading.withColumn("term", F.col(first)).join(index.postings.select("term", "block", "docs", "sizes"), "term")
+    def read(column: str, fields: list[str]) -> DataFrame:
+        """The postings of the terms that a column has; those of other terms aren't moved."""
+        wanted = saved(leading.where(F.col(column).isNotNull()).select(F.col(column).alias("term")).distinct())
+        return index.postings.select("term", "block", *fields).join(few(wanted), "term", "left_semi").withColumnRenamed("term", column)
+
+    found = leading.join(read(first, ["docs", "sizes"]), first)
     hits = found.select("same", "need", *rest, "block", F.explode(F.arrays_zip("docs", "sizes")).alias("p")).where("p.sizes >= need").select("same", *rest, "block", F.col("p.docs").alias("doc_id"))
     for column in rest:
-        others = index.postings.select(F.col("term").alias(column), "block", "docs")
-        hits = hits.join(others, [column, "block"], "left").where(F.col(column).isNull() | F.array_contains("docs", F.col("doc_id"))).drop("docs")
+        hits = hits.join(read(column, ["docs"]), [column, "block"], "left").where(F.col(column).isNull() | F.array_contains("docs", F.col("doc_id"))).drop("docs")
     hits = saved(hits.select("same", "doc_id"))
-    ids = hits.select("doc_id").distinct()
-    read = index.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("doc_id", index.segment(F.col("text")).alias("found"))
-    scored = hits.join(unique, "same").join(read, "doc_id").select("same", "doc_id", occurrences("terms", "found").alias("score")).where("score is not null")
+    ids = saved(hits.select("doc_id").distinct())
+    texts = index.texts.join(few(ids), "doc_id", "left_semi").select("doc_id", index.segment(F.col("text")).alias("found"))
+    scored = hits.join(unique, "same").join(texts, "doc_id").select("same", "doc_id", occurrences("terms", "found").alias("score")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("score"), "doc_id"))
     ranked = scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
     return queries.select("query_id", "same").join(ranked, "same").select("query_id", "doc_id", "score", "rank")

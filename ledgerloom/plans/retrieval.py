@@ -151,16 +151,14 @@ def reranked(spark: SparkSession, d: str, name: str, loader: H.Loader, k: int =
     """The fused pool, reordered by a model that reads question and text, cut to k only then."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     pool = saved(fuse(_both(spark, d), ["query_id"]).where(F.col("pos") <= POOL).select("query_id", "id", "pos", "rrf"))
-    ids = saved(pool.select(F.col("id").alias("doc_id")).union(pool.select("query_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= X.BROADCAST_IDS else ids
+    ids = X.few(saved(pool.select(F.col("id").alias("doc_id")).union(pool.select("query_id")).distinct()))
     # equal texts are read once, however many rows of pools have them
     named = saved(docs.join(ids, "doc_id", "left_semi").select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("same")))
     for row, same in (("id", "text_of"), ("query_id", "asked_of")):
         pool = pool.join(named.select(F.col("doc_id").alias(row), F.col("same").alias(same)), row, "left")
     pool = saved(pool.fillna("", ["text_of", "asked_of"]))  # ids without a document have no text
     pairs = pool.select("text_of", "asked_of").distinct()
-    leaders = saved(named.groupBy("same").agg(F.min("doc_id").alias("doc_id")))
-    leaders = F.broadcast(leaders) if leaders.count() <= X.BROADCAST_IDS else leaders
+    leaders = X.few(saved(named.groupBy("same").agg(F.min("doc_id").alias("doc_id"))))
     texts = saved(docs.join(leaders, "doc_id").select("same", "text"))
     for same, text in (("text_of", "text"), ("asked_of", "asked")):
         pairs = pairs.join(texts.select(F.col("same").alias(same), F.col("text").alias(text)), same, "left")
