@@ -5,7 +5,6 @@ The watermark is an addition of this library: rows later than it are left out of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import register
-from ledgerloom.session import shared_dir
+from ledgerloom.session import new_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -38,7 +37,7 @@ def admitted_calls(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # a caller's calls of one micro-batch
         verdicts = []
         for t in rows["ts"]:
             now = t.value // 1000
@@ -56,7 +55,7 @@ def admitted_calls(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Process all that is there and return the sink's rows, written to the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/out").start()
