@@ -6,13 +6,14 @@ tags. A line weighs as many characters as it has outside links. The text dives w
 BLOCK lines on end weighs nothing, and surges in a stretch between two dives if a block's sum reaches
 SURGE characters (or the page's highest sum, if that is less). All lines from the first stretch that
 surges to the end of the last one are kept, light lines and links among them too. Where a page marks its
-article, the body is sought among the article's lines only, and their links weigh as text.
+article and the heaviest block lies in it, the body is sought among the article's lines only, and their links weigh as text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +23,15 @@ from pyspark.sql import functions as F
 BLOCK = 3
 SURGE = 80
 
+#: What a tag has after its name: a quote opens a value only behind '='; where it never closes, the tag ends at the next '>'.
+_REST = r"(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
+_REST_CLOSED = r"(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>/]|/(?!>))*+/>"
+_EXACT = r"(?![^\s/>])"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    rf"|<(?:svg|math){_EXACT}{_REST_CLOSED}"
+    rf"|<(script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas|math){_EXACT}{_REST}>.*?(?:</\1{_EXACT}[^>]*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_REST})(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|([^<]+|<)",
     re.S | re.I,
@@ -51,6 +57,14 @@ MARKS = frozenset(
     "cookies consent gdpr alert newsletter subscribe subscription signup login popup modal overlay share sharing social "
     "related recommended recommendations pagination pager search searchform skip".split()
 )
+#: Words beside a mark in a name that still leave the name one of its kind: places, sizes, containers.
+PLAIN = frozenset(
+    "a area areas article articles bar base block blocks body bottom box boxes btn button buttons card col column container content cta desktop "
+    "fixed float fluid for form full global grid group head holder home icon icons image img in inline inner item items js label large layer "
+    "layout left line link links list lists logo main mini mobile module news of on outer page pages panel part parts position post posts "
+    "primary right row secondary section sections side site slot small space static sticky story stories sub tab tabs tag tags text the title top "
+    "unit view wide wp wrap wrapper zone".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 ROOTS = frozenset("html body main".split())
 PARTS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
@@ -66,8 +80,8 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             for word in value.split():
-                parts = [x.lower() for x in PARTS.split(word) if x]
-                if parts and parts[0] not in ("has", "with", "no", "is") and MARKS.intersection(parts):
+                parts = [x for part in PARTS.split(word) if (x := part.lower().strip("0123456789"))]
+                if MARKS.intersection(parts) and all(x in MARKS or x in PLAIN for x in parts):
                     return not (in_article and tag == "header")
         elif name == "role" and value.lower() in ROLES:
             return True
@@ -84,6 +98,8 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     text: list[str] = []
     linked = 0
     open_tags: list[tuple[str, bool]] = []  # each with: dropped, itself or by what it stands in
+    places: dict[str, list[int]] = defaultdict(list)  # where in open_tags each name stands
+    blocks: list[int] = []  # where the blocks stand
     articles = links = 0
     marked = False
 
@@ -99,6 +115,9 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal articles, links
         while len(open_tags) > to:
             tag, _ = open_tags.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
             articles -= tag in ("article", "main")
             links -= tag == "a"
 
@@ -119,12 +138,9 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif tag == "br":
             text.append(" ")
         if closes:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    leave(i)
-                    break
-                if tag not in BLOCKS and open_tags[i][0] in BLOCKS:
-                    break  # an inline end tag doesn't reach over blocks
+            # an inline end tag doesn't reach over blocks
+            if places[tag] and (tag in BLOCKS or not blocks or places[tag][-1] > blocks[-1]):
+                leave(places[tag][-1])
             continue
         if tag in VOID:
             continue
@@ -137,6 +153,9 @@ def strip_markup(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             elif open_tags and open_tags[-1][0] == "p":
                 leave(len(open_tags) - 1)
         dropped = bool(open_tags and open_tags[-1][1]) or is_boilerplate(tag, m[4], articles > 0)
+        places[tag].append(len(open_tags))
+        if tag in BLOCKS:
+            blocks.append(len(open_tags))
         open_tags.append((tag, dropped))
         if tag in ("article", "main"):
             articles += 1
@@ -150,6 +169,10 @@ def main_text(page: str | None) -> str:
     """The kept blocks, joined by an empty line."""
     lines, marked = strip_markup(page or "")
     article = [line for line in lines if line[2]] if marked else []
+    if article and len(article) < len(lines):
+        heaviest = max(range(len(lines)), key=lambda i: sum(w for _, w, _ in lines[i : i + BLOCK]))
+        # a marked part that the heaviest block lies beside isn't the article
+        article = article if any(inside for _, _, inside in lines[heaviest : heaviest + BLOCK]) else []
     if article:
         lines = article
     weights = [len(line) if article else w for line, w, _ in lines]
@@ -186,7 +209,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """Per row: page_id, url, text, n_chars. Rows are independent: no shuffle.
 
     Defined results: a null or empty page, and one without main text, has the text ''; null ids and urls
-    stay null; unclosed or cut-off markup ends with its parent or the page; other columns are not looked at.
+    stay null, and repeated rows each have their own result; pages of any length take time in proportion to it; unclosed or cut-off markup ends with its parent or the page; other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality_rules, textscan, toxicity
+from ledgerloom.llm import html_text, quality_rules, textscan, toxicity
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,3 +121,41 @@ def test_verdicts_equal_those_of_plain_estimates(spark):
             assert judged[i].kept == (d <= quality_rules.CUTOFF), i
     assert not judged[900].kept and not judged[901].kept and judged[905].kept and judged[906].kept
     assert sum(r.kept for r in judged.values()) >= 235
+
+
+# --- pages ----------------------------------------------------------------------------------
+
+LONG = "A sentence of the article that has enough characters to be a surge by itself alone."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p data-x=it's>hello", "hello"), ("<svg/><p>hello</p>", "hello"), ('<svg a="/>"><text>no</text></svg><p>hello', "hello"), ("<math/>x<p>y", "x\n\ny"),
+        ("<svg-icon></svg-icon><p>hello", "hello"), ("<object-list>x</object-list><p>hello", "x\n\nhello"), ("<select-menu>a</select-menu>", "a"), ("<title-x>t</title-x>", "t"),
+        ("<title>t</title><p>hello", "hello"), ('<script>"</div>"</script ><p>hello', "hello"), ("<style>p{}</style><p>a</p><noscript>n</noscript>", "a"), ("<textarea>never closed <p>x", ""),
+        ('<article class="post has-sidebar comments-open"><p>hello</p></article>', "hello"), ('<div class="ad-free-story">hello</div>', "hello"), ('<div id="sharing-economy">hello</div>', "hello"),
+        ('<div class="ad-slot">x</div><p>hello', "hello"), ('<div class="site-header">x</div><p>hello', "hello"), ('<div id="sidebar-2">x</div><p>hello', "hello"), ('<div class="relatedPosts">x</div><p>hello', "hello"),
+        ('<div class="post-comments">x</div><p>hello', "hello"), ('<div role="navigation">x</div><p>hello', "hello"), ("<div hidden>x</div><p>hello", "hello"), ('<div style="display: none">x</div><p>hello', "hello"),
+        (f"<main><p>An intro.</p></main><div>{f'<p>{LONG}</p>' * 3}</div>", "\n\n".join(["An intro.", *[LONG] * 3])), (f"<div>aside of it</div><article><p>{LONG}</p></article><div>more</div>", LONG),
+        ("<p>a&nbsp;&lt;b&gt; &#233;\u00a0 c", "a <b> é c"), ("a<br>b<p>c<b>d</b>e", "a b\n\ncde"), ("<i>x<p>y</i>z", "x\n\nyz"), ("<p>a <a href='x>y'>b</a> c", "a b c"), ("<p>1 < 2 & 3", "1 < 2 & 3"), ("<!-- <p>x --><p>y", "y"), ("<", "<"),
+    ],
+)
+def test_pages_literally(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<div>|</p>", "<b>|</i>", "<i><div>|<b>|</i>", '<div class="x', "<svg ", "a='", "<p ='", "<a href=x>|</b>", "<ul><li>|</p>", "</div>", "&#", "<!"])
+def test_malformed_pages_take_linear_time(part):
+    n = 2_000_000 // len(part)
+    page = "".join(x * (n // (part.count("|") + 1)) for x in part.split("|"))
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (1, None, "<p>b"), (None, None, None), (2, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("other") for c in ("text", "n_chars", "line")})
+    got = sorted(map(tuple, html_text.extract_main_text(df).collect()), key=repr)
+    assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (1, None, "b", 1), (None, None, "", 0), (2, "", "", 0)], key=repr)
