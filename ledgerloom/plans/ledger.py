@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
-from ledgerloom.session import table
+from ledgerloom.session import new_folder, table
+from ledgerloom.sources.files import append_log, read_fixture, write_job_result
 
 NOW = "2024-01-20 00:00:00"
 GENESIS = "0" * 64
@@ -298,3 +299,21 @@ def clipped_audit_text(spark: SparkSession, d: str) -> DataFrame:
 @register("friction_counts", "SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE value < 40) AS n_failed FROM events GROUP BY 1")
 def friction_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 40).alias("n_failed"))
+
+
+@register("usage_log", oracle("SELECT event_id, alias, total_tokens FROM usage WHERE total_tokens > 0", "usage"))
+def usage_log(spark: SparkSession, d: str) -> DataFrame:
+    """Usage appended to a log provider by provider, each event once, and read back with the fields that are named."""
+    path = new_folder(spark, "log")
+    rows = model.usage(spark, d).where("total_tokens > 0")
+    for provider, _, _, _, _, _ in QUOTAS:
+        append_log(rows.where(F.col("provider") == provider), path)
+    return read_fixture(spark, path, "event_id long, alias string, total_tokens long", lines=True)
+
+
+@register("job_result", oracle("SELECT provider, COUNT(*) AS requests, SUM(total_tokens)::BIGINT AS tokens FROM usage GROUP BY 1", "usage"))
+def job_result(spark: SparkSession, d: str) -> DataFrame:
+    """A run's result, one small file, as a later job reads it."""
+    path = new_folder(spark, "result")
+    write_job_result(model.usage(spark, d).groupBy("provider").agg(F.count("*").alias("requests"), F.sum("total_tokens").alias("tokens")), path)
+    return read_fixture(spark, path, "provider string, requests long, tokens long", lines=True)

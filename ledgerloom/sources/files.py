@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import re
 import zipfile
 from collections.abc import Iterator
@@ -124,14 +125,21 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     return mark_headings(_files(spark, path, "*.pdf").mapInPandas(run, "path string, position long, text string, page int"))
 
 
-def read_fixture(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records with the fields that are named; others are left out."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_fixture(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
+    """A JSON array of records (or a record per line) with the fields that are named; others are left out."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
-def append_log(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines."""
-    events.write.mode("append").json(path)
+def append_log(events: DataFrame, path: str, *, fail_open: bool = False) -> bool:
+    """Append events as JSON lines. Failing open, a log that can't be written only leaves a warning: what is logged must not fail by it."""
+    try:
+        events.write.mode("append").json(path)
+    except Exception:
+        if not fail_open:
+            raise
+        logging.getLogger(__name__).warning("nothing was logged to %s", path, exc_info=True)
+        return False
+    return True
 
 
 def upsert(spark: SparkSession, path: str, fresh: DataFrame, key: str, *, delete_missing: bool = False) -> str:
