@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions import variant
+from ledgerloom.operators import model_hook as H
 from ledgerloom.operators.ranks import placed
 from ledgerloom.plans import model
 from ledgerloom.plans.model import oracle
@@ -187,6 +188,24 @@ def doc_replace(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks().select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"), "version")
 
 
+def letter_model() -> H.Model:
+    """Stands in for an embedding model: a text's length and how many of its letters are e and n, alike for documents and questions."""
+    return lambda texts, role: [[float(len(t)), float(t.count("e")), float(t.count("n"))] for t in texts]
+
+
+@register(
+    "embedded_chunks",
+    """SELECT doc_id, i - 1 AS chunk_index, length(c) AS size, length(c) - length(replace(c, 'e', '')) AS n_e, length(c) - length(replace(c, 'n', '')) AS n_n FROM (
+    SELECT doc_id, unnest(t) AS c, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM documents))""",
+)
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their vectors, batch by batch, from a model that must answer for every text."""
+    chunks = line_chunks(table(spark, d, "documents"))
+    rows = H.embedded(chunks, "letters", letter_model, "chunk_text", 3)
+    value = lambda i: F.get("embedding", i).cast("long")
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), value(0).alias("size"), value(1).alias("n_e"), value(2).alias("n_n"))
+
+
 @register("mirror_sync", "SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'delete' WHEN p_size >= 45 THEN 'insert' ELSE 'update' END AS action FROM part")
 def mirror_sync(spark: SparkSession, d: str) -> DataFrame:
     """What a second run over the source's pages changes in a mirror: upserts of all it brings, deletes of what it no longer has."""

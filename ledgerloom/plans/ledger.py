@@ -141,7 +141,14 @@ def admit(calls: DataFrame, limit: int, seconds: int = RATE_LIMIT_SECONDS) -> Da
     return ordered.mapInPandas(fold, "caller long, ts timestamp_ntz, event_id long, admitted boolean")
 
 
-@register("rate_limit_admit")
+#: Call by call: one is admitted if the second last admitted one lies outside the window.
+ADMITTED_SQL = """WITH RECURSIVE n AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, ts, i, true AS admitted, ts AS a1, NULL::TIMESTAMP AS a2 FROM n WHERE i = 1
+      UNION ALL SELECT event_id, user_id, ts, i, ok, CASE WHEN ok THEN ts ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END
+      FROM (SELECT n.*, r.a1, r.a2, r.a2 IS NULL OR r.a2 <= n.ts - INTERVAL 1 DAY AS ok FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))"""
+
+
+@register("rate_limit_admit", f"{ADMITTED_SQL} SELECT user_id AS caller, ts, event_id, admitted FROM r")
 def rate_limit_admit(spark: SparkSession, d: str, limit: int = 2) -> DataFrame:
     return admit(model.usage(spark, d), limit, 86_400)
 

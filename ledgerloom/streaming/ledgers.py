@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.ledger import ADMITTED_SQL
 from ledgerloom.plans.registry import register
 from ledgerloom.session import new_folder
 
@@ -75,7 +76,7 @@ def stream_hourly_usage(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@register("stream_rate_limit")
+@register("stream_rate_limit", f"{ADMITTED_SQL} SELECT user_id, event_id, admitted FROM r")
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Admission with state per caller; the batch query rate_limit_admit gives the same verdicts."""
-    return run_available(admitted_calls(event_stream(spark, d), 2, 86_400), "append")
+    return run_available(admitted_calls(event_stream(spark, d), 2, 86_400), "append").select("user_id", "event_id", "admitted")
