@@ -274,9 +274,9 @@ def verify_chain(linked: DataFrame) -> DataFrame:
 @register(
     "chain_append",
     f"""WITH RECURSIVE n AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END || '+00:00' AS at FROM events),
-    r AS (SELECT n.*, '{GENESIS}' AS prev_hash, sha256('["{GENESIS}", "' || at || '", "' || event_type || '", "' || user_id || '", "tool_' || event_type || '"]') AS entry_hash FROM n WHERE i = 1
-          UNION ALL SELECT n.*, r.entry_hash, sha256('["' || r.entry_hash || '", "' || n.at || '", "' || n.event_type || '", "' || n.user_id || '", "tool_' || n.event_type || '"]') FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+    strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END || '+00:00' AS iso FROM events),
+    r AS (SELECT n.*, '{GENESIS}' AS prev_hash, sha256('["{GENESIS}", "' || iso || '", "' || event_type || '", "' || user_id || '", "tool_' || event_type || '"]') AS entry_hash FROM n WHERE i = 1
+          UNION ALL SELECT n.*, r.entry_hash, sha256('["' || r.entry_hash || '", "' || n.iso || '", "' || n.event_type || '", "' || n.user_id || '", "tool_' || n.event_type || '"]') FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
     SELECT user_id AS chain, event_id AS id, ts, event_type, user_id AS caller, 'tool_' || event_type AS tool_name, prev_hash, entry_hash FROM r""",
 )
 def chain_append(spark: SparkSession, d: str) -> DataFrame:
