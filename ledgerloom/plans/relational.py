@@ -13,6 +13,7 @@ from ledgerloom.operators.ranks import placed, value_at_ranks
 from ledgerloom.plans.registry import register
 from ledgerloom.plans.sales import day_range, period_start
 from ledgerloom.session import table
+from ledgerloom.sources.store import numbered_pages
 
 
 @register("pred_ilike", "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'red pl')")
@@ -190,9 +191,9 @@ def sliding_minute(spark: SparkSession, d: str) -> DataFrame:
 
 @register("rank_by_enumeration", "SELECT l_suppkey AS supplier, row_number() OVER (ORDER BY SUM(l_quantity) DESC, l_suppkey) AS rank FROM lineitem GROUP BY 1")
 def rank_by_enumeration(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks over group totals: one row per supplier reaches the single ordering task."""
-    sums = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.sum("l_quantity").alias("q"))
-    return sums.select("supplier", F.row_number().over(Window.orderBy(F.desc("q"), "supplier")).cast("long").alias("rank"))
+    """Ranks over group totals, in ranges of the total."""
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg((-F.sum("l_quantity")).alias("less"))
+    return placed(sums.withColumn("all", F.lit(0)), "all", ["less", "supplier"]).select("supplier", (F.col("pos") + 1).alias("rank"))
 
 
 @register("display_cap", "SELECT l_partkey AS id, COUNT(*) AS n, (SELECT COUNT(DISTINCT l_partkey) FROM lineitem) AS total FROM lineitem GROUP BY 1 ORDER BY n DESC, id LIMIT 15")
@@ -213,7 +214,7 @@ def group_pushed_down(spark: SparkSession, d: str) -> DataFrame:
     return read_group(spark, d, "sale_order", [("state", "in", ["sale", "done"])], {"total": "amount_total"}, ["partner_id.c_mktsegment"])
 
 
-@register("keyset_pages", "SELECT p_partkey // 500 AS page, COUNT(*) AS n, MAX(p_partkey) AS last FROM part GROUP BY 1")
+@register("keyset_pages", "SELECT n // 500 AS page, COUNT(*) AS n, MIN(p_partkey) AS first, MAX(p_partkey) AS last FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_size > 5) GROUP BY 1")
 def keyset_pages(spark: SparkSession, d: str, size: int = 500) -> DataFrame:
-    """What paging by key would fetch: a partitioned scan needs no loop."""
-    return table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / size).alias("page")).agg(F.count("*").alias("n"), F.max("p_partkey").alias("last"))
+    """What paging by key, after the last one seen until a page is empty, would fetch: a partitioned scan needs no loop."""
+    return numbered_pages(table(spark, d, "part").where("p_size > 5"), "p_partkey", size).select("page", "n", "first", "last")
