@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators import domain
+from ledgerloom.operators import domain, guards
 from ledgerloom.plans import language, model
 from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
@@ -154,3 +154,24 @@ def retried_runs(spark: SparkSession, d: str, rpm: int = 30) -> DataFrame:
     before = F.coalesce(F.sum(F.when(ran, F.col("attempts")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     outcome = F.when(~ran, "not_run").when(F.col("failed"), "error").otherwise("ok")
     return c.select("user_id", "day", outcome.alias("outcome"), F.when(ran, F.col("attempts")).alias("attempts"), F.round(60.0 / rpm * 1.2 * before, 6).alias("starts_at"))
+
+
+@register("name_guard", oracle(r"SELECT kind, name, regexp_full_match(name, '(S\d{4,6}|P\d{4,6}|WH/(IN|OUT|INT)/\d+|INV/\d{4}/\d+)') AS refused FROM (SELECT 'order' AS kind, name FROM sale_order UNION ALL SELECT 'invoice', name FROM invoice UNION ALL SELECT 'partner', name FROM partner UNION ALL SELECT 'product', default_code FROM product)", "sale_order", "invoice", "partner", "product"))
+def name_guard(spark: SparkSession, d: str) -> DataFrame:
+    """A value for a name that has the shape of a document's reference is refused; here all names and codes there are."""
+    named = lambda kind, df, c="name": df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    rows = named("order", model.sale_order(spark, d)).unionByName(named("invoice", model.invoice(spark, d)))
+    rows = rows.unionByName(named("partner", model.partner(spark, d))).unionByName(named("product", model.product(spark, d), "default_code"))
+    return rows.select("kind", "name", F.col("name").rlike(guards.REFERENCES.pattern).alias("refused"))
+
+
+#: Arguments that a call may have.
+_ARGUMENTS = ("k", "click", "view")
+
+
+@register("argument_guard", f"SELECT event_id, array_to_string(list_sort(list_filter(list_distinct(['k', event_type]), lambda x: x NOT IN {_ARGUMENTS})), ',') AS unknown FROM events")
+def argument_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments of a call that its tool doesn't name, by which it is refused."""
+    call = F.to_json(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map("event_type", F.lit("1"))))
+    unknown = F.array_except(F.json_object_keys(call), F.array(*map(F.lit, _ARGUMENTS)))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(unknown), ",").alias("unknown"))
