@@ -14,13 +14,12 @@ the smaller doc_id.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,14 +112,14 @@ def build_text_index(docs: DataFrame, segment: Segmentation = words) -> TextInde
     return TextIndex(segment, texts, postings, frequencies)
 
 
-@F.pandas_udf(LongType())
-def occurrences(asked: pd.Series, terms: pd.Series) -> pd.Series:
-    """How often all of the asked terms occur together; null if one is missing."""
+@F.arrow_udf(LongType())
+def occurrences(asked: pa.Array, terms: pa.Array) -> pa.Array:
+    """How often all of the asked terms, which are distinct, occur together; null if one is missing."""
     found = []
     for wanted, has in zip(asked, terms, strict=True):
-        counts = Counter(has)
-        found.append(sum(counts[t] for t in wanted) if all(t in counts for t in wanted) else None)
-    return pd.Series(found, dtype="Int64")
+        places = pc.index_in(has.values, value_set=wanted.values).drop_null()
+        found.append(len(places) if len(places.unique()) == len(wanted) else None)
+    return pa.array(found, pa.int64())
 
 
 def few(keys: DataFrame) -> DataFrame:
