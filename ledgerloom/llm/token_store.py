@@ -29,7 +29,7 @@ CHUNK_BITS = (8, 8, 8, 8)
 #: Tokens after which a segment ends (it ends with a document).
 SEGMENT_TOKENS = 1 << 18
 #: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 END_ID = 0
 
 SEGMENT_SCHEMA = (
