@@ -110,21 +110,23 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return text_blocks(docs).mapInPandas(run, CHUNK_SCHEMA)
 
 
+#: White space as Python has it, for regular expressions of SQL.
+_SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Lines; which of them open a section (of headings in a row every other one); sections' bodies; their sentences with running sums; and windows,
-#: each from where at most OVERLAP_TOKENS of the one before are left.
+#: each from where at most OVERLAP_TOKENS of the one before are left. Windows go by their last sentence, as several may have one start.
 _CHUNKS = rf"""WITH RECURSIVE b AS (SELECT doc_id, i, x, (upper(x) = x AND lower(x) <> x AND length(x) <= 80) OR len(string_split(x, ' ')) <= 3 AS head FROM (
     SELECT doc_id, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(0), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS t FROM documents))),
 h AS (SELECT *, head AND (i - coalesce(max(CASE WHEN NOT head THEN i END) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 2 = 1 AS opens FROM b),
 s AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY i) AS sec, min(i) FILTER (WHERE head) OVER (PARTITION BY doc_id) AS first FROM h),
-p AS (SELECT doc_id, sec, coalesce(max(x) FILTER (WHERE opens), max(title), 'document ' || doc_id) AS path, trim(string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT opens)) AS body
+p AS (SELECT doc_id, sec, coalesce(max(x) FILTER (WHERE opens), max(title), 'document ' || doc_id) AS path, regexp_replace(string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT opens), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS body
       FROM (SELECT *, max(CASE WHEN i = first THEN x END) OVER (PARTITION BY doc_id) AS title FROM s) GROUP BY 1, 2),
-t AS (SELECT doc_id, sec, path, body, length(body) // 4 <= {SMALL_TOKENS} AS small, list_filter(string_split(regexp_replace(body, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM p WHERE body <> ''),
+t AS (SELECT doc_id, sec, path, body, length(body) // 4 <= {SMALL_TOKENS} AS small, list_filter(string_split(regexp_replace(body, '([.!?…]){_SPACE}+', '\1' || chr(0), 'g'), chr(0)), lambda x: x <> '') AS ss FROM p WHERE body <> ''),
 u AS (SELECT *, list_transform(range(0, len(ss) + 1), lambda k: coalesce(list_sum(list_transform(ss[1:k], lambda x: greatest(1, length(x) // 4))), 0)::BIGINT) AS upto FROM t),
 w AS (SELECT doc_id, sec, 0::BIGINT AS a, greatest(1, len(list_filter(upto, lambda v: v <= {CHUNK_TOKENS})) - 1)::BIGINT AS z FROM u WHERE NOT small
       UNION ALL SELECT doc_id, sec, a, greatest(z + 1, len(list_filter(upto, lambda v: v <= upto[a + 1] + {CHUNK_TOKENS})) - 1)::BIGINT FROM (
           SELECT w.doc_id, w.sec, len(list_filter(upto, lambda v: v < upto[z + 1] - {OVERLAP_TOKENS}))::BIGINT AS a, z, upto FROM w JOIN u USING (doc_id, sec) WHERE z < len(ss))),
-c AS (SELECT doc_id, sec, 0 AS a, path, body AS piece FROM u WHERE small UNION ALL SELECT doc_id, sec, a, path, array_to_string(ss[a + 1:z], ' ') FROM w JOIN u USING (doc_id, sec)),
-chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, a) - 1 AS chunk_index, path AS section_path, greatest(1, length(piece) // 4) AS token_count, piece AS chunk_text FROM c)"""
+c AS (SELECT doc_id, sec, 0 AS z, path, body AS piece FROM u WHERE small UNION ALL SELECT doc_id, sec, z, path, array_to_string(ss[a + 1:z], ' ') FROM w JOIN u USING (doc_id, sec)),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, z) - 1 AS chunk_index, path AS section_path, greatest(1, length(piece) // 4) AS token_count, piece AS chunk_text FROM c)"""
 
 
 @register("chunk_sections", f"{_CHUNKS} SELECT doc_id, chunk_index, section_path, token_count, chunk_text FROM chunks")
