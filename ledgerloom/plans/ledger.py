@@ -60,13 +60,19 @@ def budget_verdict(spark: SparkSession, d: str, base_tokens: int = 20) -> DataFr
     An account's models share one window, other models have their own. The call itself isn't in its window.
     """
     quotas = spark.createDataFrame(QUOTAS, "provider string, scope string, rpd int, rpm int, tpm int, mult double")
-    u = model.usage(spark, d).join(F.broadcast(quotas), "provider").withColumn("scope_key", F.when(F.col("scope") == "account", F.col("provider")).otherwise(F.col("alias")))
+    scopes = F.broadcast(quotas.select("provider", "scope"))
+    u = model.usage(spark, d).join(scopes, "provider").select("event_id", "provider", "ts", "total_tokens", F.when(F.col("scope") == "account", F.col("provider")).otherwise(F.col("alias")).alias("scope_key"))
     # a day of a key is one group, with the day before carried along; so no key's whole history is in one task
     own = F.to_date("ts")
-    days = u.withColumn("day", F.explode(F.array(own, F.date_add(own, 1))))
-    over = "over (partition by scope_key, day order by ts range between interval {} preceding and current row)"
-    day, minute = over.format("24 hours"), over.format("60 seconds")
-    w = days.selectExpr("*", f"count(*) {day} - 1 as day_requests", f"count(*) {minute} - 1 as minute_requests", f"sum(total_tokens) {minute} - total_tokens as minute_tokens").where(F.col("day") == own)
+    days = u.withColumn("day", F.explode(F.array(own, F.date_add(own, 1)))).withColumn("event_id", F.when(F.col("day") == own, F.col("event_id")))
+    # calls up to now less those before the window: both run along, whereas a window that slides is counted anew for each call
+    upto = "over (partition by scope_key, day order by ts range between unbounded preceding and {})"
+    now, day, minute = upto.format("current row"), upto.format("interval '24:00:00.000001' hour to second preceding"), upto.format("interval '01:00.000001' minute to second preceding")
+    w = days.selectExpr(
+        "event_id", "scope_key", "provider", "day = to_date(ts) as own",
+        f"count(*) {now} - count(*) {day} - 1 as day_requests", f"count(*) {now} - count(*) {minute} - 1 as minute_requests",
+        f"sum(total_tokens) {now} - coalesce(sum(total_tokens) {minute}, 0) - total_tokens as minute_tokens",
+    ).where("own").join(F.broadcast(quotas.drop("scope")), "provider")
     verdict = (
         F.when(F.col("day_requests") >= F.col("rpd"), "RPD")
         .when(F.col("minute_requests") >= F.col("rpm"), "RPM")
