@@ -12,6 +12,9 @@ from ledgerloom.plans.model import oracle
 from ledgerloom.plans.registry import register
 from ledgerloom.session import table
 
+#: Lines of sale orders that one task sorts.
+LINES_PER_TASK = 1_000_000
+
 #: The step that follows each tool of a chain.
 NEXT_STEPS = {
     "create_quotation": "confirm_sale_order",
@@ -57,11 +60,14 @@ def deliver_order_check(spark: SparkSession, d: str) -> DataFrame:
 )
 def edit_lines_validate(spark: SparkSession, d: str) -> DataFrame:
     """Edits (25 fewer of each line) checked: drafts only, quantities above 0, one line per product."""
-    lines = model.sale_order_line(spark, d).withColumn("new_qty", F.col("qty") - 25)
+    rows = model.sale_order_line(spark, d).withColumn("new_qty", F.col("qty") - 25).select("order_id", "product_id", "new_qty")
+    # dealt once by order, into as many tasks as there are million lines: windows and join sort these only, however many lines there are
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LINES_PER_TASK))
+    lines = rows.repartition(pieces, "order_id")
     several = F.count("*").over(Window.partitionBy("order_id", "product_id")) > 1
     o = model.sale_order(spark, d).select(F.col("id").alias("order_id"), "state")
-    op = F.when(F.col("state") != "draft", "locked").when(F.col("new_qty") <= 0, "bad_quantity").when(several, "ambiguous").otherwise("update")
-    return lines.join(o, "order_id").select("order_id", "product_id", op.alias("op"), "new_qty")
+    op = F.when(F.col("state") != "draft", "locked").when(F.col("new_qty") <= 0, "bad_quantity").when(F.col("several"), "ambiguous").otherwise("update")
+    return lines.withColumn("several", several).join(o, "order_id").select("order_id", "product_id", op.alias("op"), "new_qty")
 
 
 @register(
