@@ -34,7 +34,7 @@ TARGET, CALIBRATED_K, CALIBRATIONS = 0.95, 20, 500
 #: Stored vectors of a list that one task scores, and queries of a list that it scores them for.
 PIECE, ASKERS = 20_000, 20_000
 #: Entries of a score matrix that exist at once.
-CELLS = 4 << 20
+CELLS = 1 << 19
 DIGITS = 6
 NEAR = "query_id long, vec_id long, score double"
 #: Queries that are sent to all tasks at once; more go in blocks.
