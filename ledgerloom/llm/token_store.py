@@ -12,13 +12,13 @@ decoded. Spark does all file access, so the folder may be in any store that Spar
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,10 @@ from ledgerloom.session import new_folder
 CHUNK_BITS = (8, 8, 8, 8)
 #: Tokens after which a segment ends (it ends with a document).
 SEGMENT_TOKENS = 1 << 18
-#: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 250_000
+#: Distinct pieces whose ids a worker remembers; beyond that it keeps the half that is used most.
+CACHE_PIECES = 600_000
+#: Pieces that are encoded as one text.
+JOINED = 16
 END_ID = 0
 
 SEGMENT_SCHEMA = (
@@ -91,12 +93,13 @@ def dac_decode(levels: list[bytes], more: list[bytes]) -> np.ndarray:
 # --- tokens ---------------------------------------------------------------------------------
 
 
-#: A word, one mark, and perhaps a line break and the next word: the vocabulary's pattern always cuts here.
-WORD_AND_MARK = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?])(?:(\n)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+))?")
+_SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A piece of which a space is beside other white space, at an end of the text, or near a special token.
+UNSURE = rf"(?s)\A ?\z|{_SPACE}\z|\A.{_SPACE}|<\|"
 
 
-class Encoder(dict):
-    """The tokenizer with a bounded memory of pieces (piece -> its number).
+class Encoder:
+    """The tokenizer with a bounded memory of pieces, as Arrow strings with their ids on end.
 
     The byte-level vocabulary's word pattern lets a token start with a space but never run across
     one, so a text whose spaces all stand between two characters that aren't white space equals
@@ -107,53 +110,74 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.parts: dict[str, list[int]] = {}
+        #: Bytes that each id stands for: a byte-level token has a character for each.
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, np.uint32)
         self.size = np.zeros(0, np.int64)
         self.unsure = np.zeros(0, bool)
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.fresh.append(piece)
-        return n
-
-    @staticmethod
-    def is_unsure(piece: str) -> bool:
-        """Is a space of it beside other white space, at an end of the text, or near a special token?"""
-        return not piece or piece == " " or piece[-1].isspace() or piece[1:2].isspace() or "<|" in piece
+        self.uses = np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        if not self.fresh:
-            return
-        cut = [[x for x in m.groups() if x] if (m := WORD_AND_MARK.fullmatch(p)) else [p] for p in self.fresh]
-        parts = self.parts
-        new = list(dict.fromkeys(x for c in cut for x in c if x not in parts))
-        parts.update(zip(new, self._encode(new), strict=True))
-        ids = [[i for x in c for i in parts[x]] for c in cut]
-        self.unsure = np.concatenate([self.unsure, np.fromiter(map(self.is_unsure, self.fresh), bool, len(ids))])
-        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.fresh = []
-
-    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces on end, and how many of each. They may stand side by side, so they are encoded together and told apart by their bytes."""
+        texts = pieces.to_numpy(zero_copy_only=False).tolist()
+        ids = self._flat(self._encode(["".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]))
+        ends = np.concatenate([[0], np.cumsum(self.width[ids])])
+        stop = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)
+        upto = np.searchsorted(ends, stop)
+        if len(stop) and (ends[-1] != stop[-1] or (ends[upto] != stop).any()):  # a token across an edge
+            each = self._encode(texts)
+            return self._flat(each), np.fromiter(map(len, each), np.int64, len(each))
+        return ids, np.diff(upto, prepend=0)
+
+    @staticmethod
+    def _flat(lists: list[list[int]]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(lists), np.uint32)
+
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """The places that these pieces get in the memory."""
+        unsure = pc.match_substring_regex(fresh, UNSURE).to_numpy(zero_copy_only=False)
+        goes_on = pc.starts_with(fresh, " ").to_numpy(zero_copy_only=False)
+        # those that start a text, those that go on, and those whose texts are encoded whole, which need no ids
+        start, on, none = (np.flatnonzero(x) for x in (~unsure & ~goes_on, ~unsure & goes_on, unsure))
+        alone = self._encode(fresh.take(pa.array(start)).to_pylist())
+        ids, sizes = self._encode_pieces(fresh.take(pa.array(on)))
+        order = np.concatenate([start, on, none])
+        self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
+        self.flat = np.concatenate([self.flat, self._flat(alone), ids])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, alone), np.int64, len(alone)), sizes, np.zeros(len(none), np.int64)])
+        self.unsure = np.concatenate([self.unsure, unsure[order]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
+        codes = np.empty(len(order), np.int64)
+        codes[order] = np.arange(len(self.known) - len(order), len(self.known))
+        return codes
+
+    def _forget(self) -> None:
+        """Keep the more used half of what may be remembered; uses fade."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2])
+        at = np.repeat(np.cumsum(self.size)[kept] - np.cumsum(self.size[kept]), self.size[kept]) + np.arange(self.size[kept].sum())
+        self.flat, self.known = self.flat[at], self.known.take(pa.array(kept))
+        self.size, self.unsure, self.uses = self.size[kept], self.unsure[kept], self.uses[kept] // 2
+
+    def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many of each."""
-        if len(self) > CACHE_PIECES:
-            self.forget()
-        pieces = [t.replace(" ", "\x00 ").split("\x00") if t and "\x00" not in t else () for t in texts]
-        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64)
-        self._learn()
-        upto = np.cumsum([0, *map(len, pieces)])
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        pieces = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
+        coded = pieces.flatten().dictionary_encode()
+        code_of = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        if (fresh := code_of < 0).any():
+            code_of[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
+        codes = code_of[coded.indices.to_numpy(zero_copy_only=False)]
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        upto = np.cumsum(np.concatenate([[0], pieces.value_lengths().to_numpy(zero_copy_only=False)]))
         doubts = np.concatenate([[0], np.cumsum(self.unsure[codes])])
-        doubted = doubts[upto[1:]] > doubts[upto[:-1]]
-        whole = [i for i, p in enumerate(pieces) if texts[i] and (not p or doubted[i])]
+        doubted = (doubts[upto[1:]] > doubts[upto[:-1]]) | pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(doubted & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)).tolist()
         start = np.cumsum(self.size) - self.size
         lengths = self.size[codes]
         ends = np.cumsum(lengths)
@@ -162,7 +186,7 @@ class Encoder(dict):
         ends = np.concatenate([[0], ends])
         counts = ends[upto[1:]] - ends[upto[:-1]]
         if whole:
-            ids_of = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+            ids_of = dict(zip(whole, self._encode(texts.take(pa.array(whole)).to_pylist()), strict=True))
             parts, at = [], 0
             for i, c in enumerate(counts.tolist()):
                 parts.append(np.array(ids_of[i], np.uint32) if i in ids_of else all_ids[at : at + c])
@@ -189,7 +213,7 @@ def _tokenizer_path(name: str) -> str:
 
 
 #: Bytes of text that are tokenized at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _segments(tokenizer: str):
@@ -228,14 +252,13 @@ def _segments(tokenizer: str):
             if not batch.num_rows:
                 continue
             part = batch.column("range")[0].as_py()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             ids = batch.column("doc_id").to_pylist()
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
             while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (size == 0 or size + len(texts[to]) <= BATCH_BYTES):
-                    size, to = size + len(texts[to]) + 1, to + 1
-                flat, each = encoder.run(texts[at:to])
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                flat, each = encoder.run(texts.slice(at, to - at))
                 stop = np.cumsum(each)
                 for i, (n, e) in enumerate(zip(each.tolist(), stop.tolist(), strict=True)):
                     docs.append(ids[at + i])
