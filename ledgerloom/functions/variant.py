@@ -1,6 +1,6 @@
-"""Walks over JSON values as VARIANT, in the JVM: shapes of payloads, containment of arguments.
+"""JSON values as VARIANT, in the JVM: shapes of payloads, containment of arguments.
 
-A walk has a bound on its depth, known when the plan is built: one column of nodes per level, each made from the one above. Text that isn't JSON, or
+Shapes are read off the value's text, which has no white space and only the escapes that must be. A walk has a bound on its depth, known when the plan is built: one column of nodes per level, each made from the one above. Text that isn't JSON, or
 has a key twice in one object, is no value.
 """
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Deepest value that a payload may have (itself at 0), and what its keys look like.
 MAX_DEPTH = 10
 FIELD_KEY = "^[a-z_][a-z0-9_]*\\z"
+#: In a value's text: a field's key, and any string.
+_FIELD = '"[a-z_][a-z0-9_]*+":'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
@@ -46,13 +49,16 @@ def levels(df: DataFrame, value: str, name: str, depth: int) -> DataFrame:
 
 def payload_verdicts(df: DataFrame, text: str, output: str = "verdict") -> DataFrame:
     """df with the verdict on a JSON text: 'unreadable', 'deep' (a value below MAX_DEPTH), 'key' (a key that is no field's), 'ok'."""
-    names = [f"__level_{i}" for i in range(MAX_DEPTH + 2)]
-    walked = levels(df.withColumn("__value", F.try_parse_json(text)), "__value", "__level", MAX_DEPTH + 1)
-    bad = F.lit(False)
-    for n in names[1:]:
-        bad = bad | F.exists(n, lambda x: x["key"].isNotNull() & ~x["key"].rlike(FIELD_KEY))
-    verdict = F.when(F.col("__value").isNull(), "unreadable").when(F.size(names[-1]) > 0, "deep").when(bad, "key").otherwise("ok")
-    return walked.withColumn(output, verdict).drop("__value", *names)
+    df = df.withColumn("__value", F.try_parse_json(text)).withColumn("__shape", F.to_json("__value"))
+    # a key that is no field's leaves its first quote
+    bad = F.contains(F.regexp_replace("__shape", f"{_FIELD}|{_STRING}(?!:)", ""), F.lit('"'))
+    # brackets around something; a turn takes the innermost off
+    around = F.replace(F.replace(F.regexp_replace("__shape", _STRING, ""), F.lit("[]")), F.lit("{}"))
+    pairs = F.translate(F.regexp_replace(around, r"[^\[\]{}]+", ""), "{}", "[]")
+    for _ in range(MAX_DEPTH):
+        pairs = F.replace(pairs, F.lit("[]"))
+    verdict = F.when(F.col("__value").isNull(), "unreadable").when(pairs != "", "deep").when(bad, "key").otherwise("ok")
+    return df.withColumn(output, verdict).drop("__value", "__shape")
 
 
 def _norm(v: Column) -> Column:

@@ -326,10 +326,10 @@ def args_match(spark: SparkSession, d: str) -> DataFrame:
 def payload_check(spark: SparkSession, d: str) -> DataFrame:
     """Payloads with a document's words as keys, as deep as it has lines (up to twenty): are they ones to take?"""
     words = F.array_distinct(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != ""))
-    keys = F.to_json(F.map_from_arrays(words, F.transform(words, lambda w: F.lit(1))))
+    keys = F.to_json(F.map_from_arrays("words", F.transform("words", lambda w: F.lit(1))))
     n = F.least(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(20))
     payload = F.concat(F.lit('{"lines": '), F.repeat(F.lit("["), n), keys, F.repeat(F.lit("]"), n), F.lit("}"))
-    docs = table(spark, d, "documents").select("doc_id", payload.alias("payload"))
+    docs = table(spark, d, "documents").withColumn("words", words).select("doc_id", payload.alias("payload"))
     return variant.payload_verdicts(docs, "payload").select("doc_id", "verdict")
 
 
