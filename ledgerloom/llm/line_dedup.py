@@ -212,7 +212,8 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = saved(_with_bits(_keyed(texts.where(F.array_contains("nos", F.col("line_no"))), ranks)))
+    wanted_lines = texts.where(F.array_contains("nos", F.col("line_no")))
+    sets = saved(_with_bits(wanted_lines.select(*line, F.array_distinct(_tokens(F.col("line"))).alias("keys"))))  # compared as sets, so no order is made
     bits = sets.select(*line, "low", "high")
     settled = cut(_verified(star, sets))
     # lines without a match so far meet the other earliest lines of their tokens, and of tokens of more lines those of a
