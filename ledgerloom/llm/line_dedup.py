@@ -4,10 +4,13 @@ A line's tokens are its distinct shingles of SHINGLE words (the whole line if it
 goes if an earlier line, by document id and then place, has a token set of Jaccard similarity PERCENT / 100
 or more. Lines with equal sets are one class from the start; its first line stands for it.
 
-Tokens are ordered by rarity: a pass over the corpus counts CELLS hash cells (a table of fixed size), and a
-token's key is its cell's rank before its hash, so one sort of integers orders by rarity. A token that
-makes up more than a cell's usual share of the corpus stands out and comes last; all others are rare alike. Two
-similar lines share a token in their prefixes, the first n - ceil(n * PERCENT / 100) + 1 keys.
+Tokens are ordered by hash, but frequent ones come last. Two similar lines share a token in their prefixes, the first
+n - ceil(n * PERCENT / 100) + 1 tokens. All texts are hashed once: prefixes are first taken by hash alone, one per class.
+Their tokens are counted in CELLS hash cells, and those of the cells that stand out, at most FREQUENT, once more in
+cells of other bits (tables of fixed size). Tokens that stand out in both are the frequent ones, the most frequent last; all
+others are rare alike. Lines with a frequent token often share more that come late by hash, so all tokens of these lines
+are hashed and counted again, which decides. A prefix without a frequent token is the same in either order; only lines
+with one get a new prefix.
 
 Prefix tokens travel once, and only those that recur go on. The length filter and the positional filter
 (tokens still to come on the shorter side) thin the candidates, and the sets decide. First each line
@@ -21,6 +24,7 @@ aren't similar with all.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -33,11 +37,14 @@ SHINGLE = 5
 PERCENT = 75
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
-LOW_BITS = (1 << (64 - CELL_BITS)) - 1
 #: What stands between words besides the space; line feeds cut lines before.
 OTHER_SPACES = "\t\x0b\x0c\r"
 #: A cell with this many times the usual share of the corpus is dealt over several tasks.
 HOT_SHARE = 16
+#: Cells of each table that may be taken for frequent.
+FREQUENT = CELLS // 32
+#: A cell stands out by so many square roots of the usual count.
+STANDS_OUT = 5
 #: Ids of candidate lines, and pairs, are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,33 +64,32 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.when(others, F.regexp_replace(line, f"[{OTHER_SPACES}]", " ")).otherwise(line), " "), "")
 
 
-def _places(w: Column) -> Column:
-    """Places in w at which a token starts; a line of fewer words than a shingle has one token."""
-    return F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
-
-
-def _token(w: Column, i: Column) -> Column:
-    """Hash of the words from place i on, as many as there are up to SHINGLE (nulls behind the last leave a hash as it is)."""
-    return F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is bound to a variable, so that it isn't written to a row and read for each token."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _tokens(line: Column) -> Column:
-    """All tokens of a line; its words are bound to a variable, so that they aren't written to a row and read for each token."""
-    starts = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
-    hashed = lambda w: F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
-    return F.get(F.transform(F.array(_words(line)), hashed), 0)
+    """All tokens of a line: hashes of SHINGLE words, or of all if there are fewer (nulls behind the last leave a hash as it is).
+
+    A token is the hash of two overlapping runs of words, each hashed once: fewer lookups than a word at a time.
+    """
+    reach = SHINGLE // 2
+    count = lambda a: F.greatest(F.size(a) - (SHINGLE - 1), F.lit(1))
+    runs = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE - reach)]))
+    paired = lambda r: F.zip_with(F.slice(r, F.lit(1), count(r)), F.slice(r, F.lit(reach + 1), count(r)), lambda a, b: F.xxhash64(a, b))
+    return _let(_words(line), lambda w: _let(runs(w), paired))
 
 
-def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CELL_BITS)
+def _cell(h: Column, table: int = 0) -> Column:
+    """Cell of a hash in either table; of its low bits, as the high ones are alike in prefixes by hash."""
+    return F.shiftrightunsigned(h, table * CELL_BITS).bitwiseAND(CELLS - 1).cast("int")
 
 
-def _cells(docs: DataFrame) -> np.ndarray:
-    """Tokens of the corpus in each hash cell."""
-    worded = _lines(docs).select(_words(F.col("line")).alias("w"))
-    tokens = worded.select("w", F.explode(_places(F.col("w"))).alias("i")).select(_cell(_token(F.col("w"), F.col("i"))).alias("cell"))
+def _cells(tokens: DataFrame, table: int = 0) -> np.ndarray:
+    """Tokens (h) in each hash cell."""
     counts = np.zeros(CELLS, np.int64)
-    for r in tokens.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CELLS rows
+    for r in tokens.groupBy(_cell(F.col("h"), table).alias("cell")).agg(F.count("*").alias("n")).collect():  # at most CELLS rows
         counts[r["cell"]] = r["n"]
     return counts
 
@@ -93,25 +99,59 @@ def _listed(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """What changes each cell's number to its rank, rarest first (the sign turned round); small numbers, as plans print the list."""
-    rank = np.empty(CELLS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    return (rank ^ np.arange(CELLS, dtype=np.uint64) ^ np.uint64(CELLS >> 1)).astype(np.uint16).view(np.int16)
+def _ranks(counts: np.ndarray, least: float) -> np.ndarray:
+    """1 and up for cells of over least tokens, the fullest last, and 0 for all others."""
+    last = np.argsort(counts, kind="stable")[-FREQUENT:]
+    last = last[counts[last] > least]
+    ranks = np.zeros(CELLS, np.int16)
+    ranks[last] = np.arange(1, len(last) + 1)
+    return ranks
+
+
+def _frequent(tokens: DataFrame, counts: np.ndarray, excess: float) -> Callable[[Column], Column] | None:
+    """What gives a token's rank among the frequent ones and 0 for all others; none if no token is frequent."""
+    fuller = _ranks(counts, counts.sum() / CELLS + excess)
+    likely = lambda h: F.get(_listed(fuller, "smallint"), _cell(h)) > 0
+    again = _cells(tokens.where(likely(F.col("h"))), 1) if fuller.any() else np.zeros(CELLS, np.int64)
+    ranks = _ranks(again, again.sum() / CELLS + excess)
+    return (lambda h: F.when(likely(h), F.get(_listed(ranks, "smallint"), _cell(h, 1))).otherwise(F.lit(0).cast("smallint"))) if ranks.any() else None
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
-    """Tasks that the tokens of each rank are dealt over: one but for hot cells."""
+    """Tasks that the tokens of each cell are dealt over: one but for hot cells."""
     usual = max(1.0, counts.sum() / CELLS) * HOT_SHARE
-    return np.sort(np.maximum(1, np.ceil(counts / usual)).astype(np.int32), kind="stable")
+    return np.maximum(1, np.ceil(counts / usual)).astype(np.int32)
+
 
+def _prefix(keys: Column) -> Column:
+    return F.slice(keys, 1, (F.size(keys) - F.ceil(F.size(keys) * PERCENT / 100) + 1).cast("int"))
 
-def _keyed(lines: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, line_no, keys): distinct tokens, rarest first."""
-    by_cell = _listed(ranks, "smallint")
-    change = lambda h: F.shiftleft(F.coalesce(F.get(by_cell, _cell(h)), F.lit(0).cast("smallint")).cast("long"), 64 - CELL_BITS)
-    key = lambda h: change(h).bitwiseXOR(h)  # noqa: E731  never null: sorted as plain numbers
-    return lines.select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(_tokens(F.col("line"))), key)).alias("keys"))
+
+def _lines_at(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of the lines in ids(doc_id, line_no)."""
+    wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
+    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return texts.where(F.array_contains("nos", F.col("line_no"))).select("doc_id", "line_no", "line")
+
+
+def _frequent_last(first: DataFrame, docs: DataFrame, tokens: DataFrame, counts: np.ndarray) -> DataFrame:
+    """first(doc_id, line_no, n, prefix) with prefixes in which frequent tokens come last; tokens(h) of its prefixes and their cells' counts."""
+    excess = STANDS_OUT * math.sqrt(max(1.0, counts.sum() / CELLS))
+    seen = _frequent(tokens, counts, excess)
+    if seen is None:
+        return first
+    has = lambda rank: (F.col("n") > 1) & F.exists("prefix", lambda h: rank(h) > 0)  # noqa: E731  a single token is the prefix in any order
+    sets_of = lambda lines: saved(_lines_at(docs, lines.select("doc_id", "line_no")).select("doc_id", "line_no", F.array_distinct(_tokens(F.col("line"))).alias("keys")))
+    sets = sets_of(first.where(has(seen)))
+    every = sets.select(F.explode("keys").alias("h"))
+    rank = _frequent(every, _cells(every), excess)
+    if rank is None:
+        return first
+    sets = sets.union(sets_of(first.where(~has(seen) & has(rank))))
+    ordered = F.sort_array(F.transform("keys", lambda h: F.struct(rank(h).alias("rank"), h.alias("h"))))
+    again = sets.select("doc_id", "line_no", ordered.alias("keys")).select("doc_id", "line_no", F.size("keys").alias("n"), F.transform(_prefix(F.col("keys")), lambda x: x["h"]).alias("prefix"))
+    return first.where(~has(seen) & ~has(rank)).union(saved(again))  # saved, as filters on prefixes would make them twice
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -165,17 +205,16 @@ def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
     rows = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "token")).select("token", "doc_id", "line_no", pack.alias("ni"))
     keys, hot = ["token"], F.lit(False)
     if shares.max() > 1:
-        share = F.get(_listed(shares, "int"), _cell(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
+        share = F.get(_listed(shares, "int"), _cell(F.col("token")))
         rows = rows.withColumn("part", F.when(share > 1, F.pmod(F.hash("doc_id", "line_no"), share)).otherwise(0))
         keys, hot = ["token", "part"], share > 1
     of_token = Window.partitionBy(*keys).orderBy("doc_id", "line_no")
+    whole = of_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = of_token.rowsBetween(Window.unboundedPreceding, 0)
-    place, next_one, one_after = F.row_number().over(of_token), F.lead("ni").over(of_token), F.lead("ni", 2).over(of_token)
-    rows = rows.withColumns({"p": F.first(F.struct("doc_id", "line_no", "ni")).over(upto), "place": place, "next": next_one, "after": one_after})
-    rows = rows.where(F.col("next").isNotNull() | (F.col("place") > 1) | hot)
-    many = F.when(F.col("place") == 1, F.col("after").isNotNull()).when(F.col("place") == 2, F.col("next").isNotNull()).otherwise(True)
+    rows = rows.withColumn("alike", F.count("*").over(whole)).where((F.col("alike") > 1) | hot)  # most go here, before the rest is worked out
+    rows = rows.withColumns({"p": F.first(F.struct("doc_id", "line_no", "ni")).over(upto), "next": F.lead("ni").over(of_token)})
     n, i = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    rows = rows.withColumn("many", many | hot)
+    rows = rows.withColumn("many", (F.col("alike") > 2) | hot)
     met = rows.select(
         "token", "doc_id", "line_no", n(F.col("ni")).alias("n"), i(F.col("ni")).alias("i"), F.col("p.doc_id").alias("to_doc"), F.col("p.line_no").alias("to_line"),
         n(F.col("p.ni")).alias("m"), i(F.col("p.ni")).alias("j"), "many", F.coalesce(_may_match(n(F.col("ni")), i(F.col("ni")), n(F.col("next")), i(F.col("next"))), F.lit(False)).alias("ahead"),
@@ -187,14 +226,13 @@ def _recurring(first: DataFrame, shares: np.ndarray) -> DataFrame:
 
 def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (classes(doc_id, line_no) of first lines, later(doc_id, line_no) of those with an earlier match)."""
-    counts = _cells(docs)
-    ranks = _ranks(counts)
-    keyed = _keyed(_lines(docs), ranks).withColumn("n", F.size("keys"))
-    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    sealed = keyed.select(F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), "n", F.struct("doc_id", "line_no").alias("id"), prefix.alias("prefix"))
+    keyed = _lines(docs).select("doc_id", "line_no", F.sort_array(F.array_distinct(_tokens(F.col("line")))).alias("keys"))
+    sealed = keyed.select(F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), F.size("keys").alias("n"), F.struct("doc_id", "line_no").alias("id"), _prefix(F.col("keys")).alias("prefix"))
     first = sealed.groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
     first = saved(first.select("id.doc_id", "id.line_no", "n", "prefix"))
-    met = saved(_recurring(first, _shares(counts)))
+    tokens = first.select(F.explode("prefix").alias("h"))
+    counts = _cells(tokens)
+    met = saved(_recurring(_frequent_last(first, docs, tokens, counts), _shares(counts)))
     line, to = ["doc_id", "line_no"], ["to_doc", "to_line"]
     near = _may_match(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
     other = (F.col("doc_id") != F.col("to_doc")) | (F.col("line_no") != F.col("to_line"))
@@ -208,12 +246,8 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = ["token", *line, "n", "i", *to, "m", "j", "room"]
     found = saved(met.where(near & other).groupBy(*line, *to).agg(F.count("*").alias("shared")))
     star = found.groupBy(*line).agg(F.max_by(F.struct(*to), F.struct("shared", *to)).alias("p")).select(*line, "p.*")
-    ids = met.select(*line).distinct()
-    wanted = saved(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")))
-    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.join(listed, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    wanted_lines = texts.where(F.array_contains("nos", F.col("line_no")))
-    sets = saved(_with_bits(wanted_lines.select(*line, F.array_distinct(_tokens(F.col("line"))).alias("keys"))))  # compared as sets, so no order is made
+    lines = _lines_at(docs, met.select(*line).distinct())
+    sets = saved(_with_bits(lines.select(*line, F.array_distinct(_tokens(F.col("line"))).alias("keys"))))  # compared as sets, so no order is made
     bits = sets.select(*line, "low", "high")
     settled = cut(_verified(star, sets))
     # lines without a match so far meet the other earliest lines of their tokens, and of tokens of more lines those of a
@@ -224,7 +258,7 @@ def find_first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     late = many.join(settled, line, "left_anti").join(bits, line).select("token", *line, "n", "i", "low", "high", F.explode(F.array(*[band("n") + k for k in (-1, 0, 1)])).alias("band"))
     mapped = many.join(bits, line).withColumns({"to_low": F.col("low"), "to_high": F.col("high")})
     early = mapped.select("token", band("n").alias("band"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("n").alias("m"), F.col("i").alias("j"), "to_low", "to_high")
-    before = F.struct(*to) < F.struct(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
+    before = (F.col("to_doc") < F.col("doc_id")) | ((F.col("to_doc") == F.col("doc_id")) & (F.col("to_line") < F.col("line_no")))  # a struct each would be made per pair
     tokens = late.join(early, ["token", "band"]).where(before & near).withColumn("room", _room(F.col("n"), F.col("m"))).where(F.col("room") >= _needed(F.col("n"), F.col("m"))).select(*own)
     tokens = tokens.union(met.where(~F.col("many") & near & other).join(settled, line, "left_anti").withColumn("room", F.least("n", "m")).select(*own))
     pairs = saved(pairs_of(tokens).join(star, [*line, *to], "left_anti"))
