@@ -284,11 +284,14 @@ def live_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fused_candidates(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
-    """Trigram ranks of the texts and ranks of the vectors, fused and held against the live records; at most 2k per question."""
+    """Trigram ranks of the texts and ranks of the vectors, fused and held against the live records; at most 2k per question.
+
+    All joins are told to merge: by the size of its files a table of names looks small enough to broadcast when its rows no longer fit the driver.
+    """
     mirror = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"))
-    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(mirror, "vec_id", "left_semi")
-    asked = asked_names(spark, d).select("query_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    near = V.nearest(asked, vectors, k).select("query_id", F.col("vec_id").alias("id"), "rank")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(mirror.hint("merge"), "vec_id", "left_semi")
+    asked = asked_names(spark, d).select("query_id").hint("merge").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    near = V.nearest(saved(asked), vectors, k).select("query_id", F.col("vec_id").alias("id"), "rank")
     return E.verified(E.fused(trigram_ranks(spark, d, k), near), live_names(spark, d))
 
 
